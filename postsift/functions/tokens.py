@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from .text import STRIP_CLASS, sql_str
 
-# Token pattern (Java).  Han, Hiragana and Katakana (with the long-vowel mark) runs are
-# separate tokens; other letters/digits form runs; anything else that is not white
-# space is a symbol token of one character.
+# Token pattern (Java).  Letters/digits outside Han, Hiragana and Katakana (with the
+# long-vowel mark) form runs; Han, Hiragana and Katakana runs are separate tokens;
+# anything else that is not white space is a symbol token of one character.  The
+# alternatives are disjoint; the common (non-CJK) run is tried first.
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
-TOKEN_PATTERN = (r"\p{IsHan}+|\p{IsHiragana}+|[\p{IsKatakana}ー]+|[\p{L}\p{N}&&[^" + _CJK + r"]]+"
+TOKEN_PATTERN = (r"[\p{L}\p{N}&&[^" + _CJK + r"]]+|\p{IsHan}+|\p{IsHiragana}+|[\p{IsKatakana}ー]+"
                  r"|[^\p{L}\p{N}" + STRIP_CLASS + r"]")
 # RE2 twin for the oracle (equal to the Java pattern on text without CJK characters).
 TOKEN_PATTERN_RE2 = r"[\p{L}\p{N}]+|[^\p{L}\p{N}" + STRIP_CLASS + r"]"
@@ -83,21 +84,30 @@ def default_pos(tok: Column) -> Column:
 
 def base_forms(tokens, lexicon: dict | None = None, keep_pos=None) -> Column:
     """J6 + F45 + F46 on a token array: keep-listed parts of speech, base form unless
-    the lexicon has none (`*`), then the surface."""
+    the lexicon has none (`*`), then the surface.
+
+    The lexicon is compiled to a drop set (surfaces whose part of speech is not kept;
+    an ``isin`` that the optimizer turns into a hash-set lookup) and a base-form map for
+    the kept surfaces that have one."""
     lexicon = DEFAULT_LEXICON if lexicon is None else lexicon
     keep = KEEP_POS if keep_pos is None else list(keep_pos)
     toks = F.col(tokens) if isinstance(tokens, str) else tokens
-    pos_map = _map_lit({k: v[0] for k, v in lexicon.items()}) if lexicon else None
-    base_map = _map_lit({k: v[1] for k, v in lexicon.items()}) if lexicon else None
+    drop = [s for s, (pos, _) in lexicon.items() if pos not in keep]
+    base = {s: b for s, (pos, b) in lexicon.items() if pos in keep and b != NO_BASE}
+    known = list(lexicon)
 
-    def tag(t):
-        pos = F.coalesce(F.try_element_at(pos_map, t), default_pos(t)) if lexicon else default_pos(t)
-        base = F.coalesce(F.try_element_at(base_map, t), F.lit(NO_BASE)) if lexicon else F.lit(NO_BASE)
-        return F.struct(pos.alias("pos"), F.when(base == NO_BASE, t).otherwise(base).alias("word"))
+    def kept(t):
+        in_drop = t.isin(drop) if drop else F.lit(False)
+        if "noun" in keep and "symbol" in keep:        # unknown tokens are always kept
+            return ~in_drop
+        unknown_ok = default_pos(t).isin(keep) & ~(t.isin(known) if known else F.lit(False))
+        return (~in_drop & (t.isin(known) if known else F.lit(False))) | unknown_ok
 
-    tagged = F.transform(toks, tag)
-    kept = F.filter(tagged, lambda s: s["pos"].isin(keep))
-    return F.transform(kept, lambda s: s["word"])
+    out = F.filter(toks, kept)
+    if base:
+        bmap = _map_lit(base)
+        out = F.transform(out, lambda t: F.coalesce(F.try_element_at(bmap, t), t))
+    return out
 
 
 def join_tokens(tokens) -> Column:
@@ -121,7 +131,8 @@ def lexicon_join(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame
     kept words are regrouped in position order.  A regroup holds one post's tokens only.
     """
     keep = KEEP_POS if keep_pos is None else list(keep_pos)
-    ex = df.select(id_col, F.posexplode(tokens_col).alias("pos_i", "surface"))
+    ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos_i", "surface"))
+            .filter(F.col("pos_i").isNotNull()))
     j = ex.join(lexicon.select("surface", "pos", "base"), "surface", "left")
     j = (j.withColumn("pos", F.coalesce("pos", default_pos(F.col("surface"))))
           .withColumn("word", F.when(F.coalesce(F.col("base"), F.lit(NO_BASE)) == NO_BASE, F.col("surface"))

@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources import csv_files, html, json_posts
 from ..sinks import writers
 from ..streaming import ingest
-from .tables import table
+from .tables import spread_for_cpu, table
 
 # Parameters of the registered queries.
 ZONE = "Asia/Tokyo"                 # local zone for F37 rendering
@@ -32,6 +32,11 @@ def _t(spark, sf, name):
     return table(spark, sf, name)
 
 
+def _text(spark, sf, name, *cols):
+    """A text table pruned to ``cols`` and spread over the cores for per-row CPU work."""
+    return spread_for_cpu(_t(spark, sf, name).select(*cols))
+
+
 def _ts(c):
     return F.date_format(F.col(c), TS_FMT)
 
@@ -44,7 +49,7 @@ def with_words(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def labelled_docs(spark, sf) -> DataFrame:
     labels = _t(spark, sf, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("label"))
-    return _t(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return _text(spark, sf, "documents", "doc_id", "text").join(labels, "doc_id")
 
 
 def nb_model(spark, sf):
@@ -53,25 +58,25 @@ def nb_model(spark, sf):
 
 def nb_scored(spark, sf, carry=()) -> DataFrame:
     model = nb_model(spark, sf)
-    docs = with_words(_t(spark, sf, "documents").select("doc_id", "text", *carry))
+    docs = with_words(_text(spark, sf, "documents", "doc_id", "text", *carry))
     return naive_bayes.score_nb(model, docs, "doc_id", "words_arr", "words", carry=carry)
 
 
 # ------------------------------------------------------------------ text
 def q_clean_documents(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", clean_text("text").alias("clean_text"))
+    return _text(spark, sf, "documents", "doc_id", "text").select("doc_id", clean_text("text").alias("clean_text"))
 
 
 def q_clean_pages(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", clean_text("html").alias("clean_text"))
+    return _text(spark, sf, "pages", "page_id", "html").select("page_id", clean_text("html").alias("clean_text"))
 
 
 def q_scrape_clean(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", scrape_clean("html").alias("text"))
+    return _text(spark, sf, "pages", "page_id", "html").select("page_id", scrape_clean("html").alias("text"))
 
 
 def q_nfkc_documents(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", nfkc(F.col("text")).alias("text_nfkc"))
+    return _text(spark, sf, "documents", "doc_id", "text").select("doc_id", nfkc(F.col("text")).alias("text_nfkc"))
 
 
 def q_tidy_output(spark, sf):
@@ -82,7 +87,7 @@ def q_tidy_output(spark, sf):
 
 
 def q_html_links(spark, sf):
-    return html.page_links(_t(spark, sf, "pages"))
+    return html.page_links(_text(spark, sf, "pages", "page_id", "html"))
 
 
 # ------------------------------------------------------------------ parsing
@@ -179,7 +184,7 @@ def _conv_posts(spark, sf):
 
 def q_exclude_replies(spark, sf):
     p = filters.exclude_replies(_conv_posts(spark, sf), "in_reply_to_turn")
-    return p.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    return p.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def q_retweeter_edges(spark, sf):
@@ -206,7 +211,7 @@ def q_search_predicate(spark, sf):
 
 def q_keyword_label(spark, sf):
     kw = joins.keyword_frame(spark, DATA_KEYWORDS)
-    d = _t(spark, sf, "documents").select("doc_id", "text")
+    d = _text(spark, sf, "documents", "doc_id", "text")
     return joins.keyword_label(d, kw).select("doc_id", "category", "keyword", "label")
 
 
@@ -257,7 +262,7 @@ def q_dedupe_then_min_faves(spark, sf):
 
 def q_cap_per_query(spark, sf):
     e = _t(spark, sf, "events").filter(F.col("event_type") != "click").select("event_id", "user_id")
-    e = e.withColumn("rank", dedupe.row_number_in(["user_id"], dedupe.newest_first("event_id")))
+    e = e.withColumn("rank", dedupe.row_number_in(["user_id"], dedupe.newest_first("event_id")).cast("bigint"))
     return e.filter(F.col("rank") <= CAP_PER_USER)
 
 
@@ -279,8 +284,8 @@ def q_union_sources(spark, sf):
 
 # ------------------------------------------------------------------ tokens / training
 def q_tokens_lexicon(spark, sf):
-    d = with_words(_t(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "words", F.size("words_arr").alias("n_words"))
+    d = with_words(_text(spark, sf, "documents", "doc_id", "text"))
+    return d.select("doc_id", "words", F.size("words_arr").cast("bigint").alias("n_words"))
 
 
 def q_training_lines(spark, sf):
@@ -297,15 +302,15 @@ def q_training_corpus(spark, sf):
 
 
 def q_vocabulary(spark, sf):
-    d = with_words(_t(spark, sf, "documents").select("doc_id", "text"))
+    d = with_words(_text(spark, sf, "documents", "doc_id", "text"))
     return aggregate.vocabulary(d, "words_arr")
 
 
 def q_ngram_counts(spark, sf):
-    d = with_words(_t(spark, sf, "documents").select("doc_id", "text"))
+    d = with_words(_text(spark, sf, "documents", "doc_id", "text"))
     w = F.col("words_arr")
     grams = [_ngrams(w, n) for n in (2, 3)]
-    ex = d.select(F.explode(F.concat(*grams)).alias("ngram"))
+    ex = d.select(F.explode_outer(F.concat(*grams)).alias("ngram")).filter(F.col("ngram").isNotNull())
     return (ex.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= aggregate.MIN_COUNT))
 
@@ -334,7 +339,7 @@ def q_lr_predict(spark, sf):
     from ..operators import linear
     train = with_words(labelled_docs(spark, sf))
     model = linear.fit_lr(train, tokens_col="words_arr", label_col="label")
-    docs = with_words(_t(spark, sf, "documents").select("doc_id", "text"))
+    docs = with_words(_text(spark, sf, "documents", "doc_id", "text"))
     return linear.predict_lr(model, docs, "doc_id")
 
 

@@ -46,6 +46,13 @@ def compare(spark_df, con, sql: str) -> dict:
     d_recs = [dict(zip(d_cols_raw, r)) for r in rel.fetchall()]
     d_cols = sorted(d_cols_raw)
     rep = {"spark_cols": s_cols, "duck_cols": d_cols, "spark_rows": len(s_rows), "duck_rows": len(d_recs)}
+    s_types = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
+    d_types = {d[0]: str(d[1]) for d in rel.description}
+    tmap = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    bad_types = {c: (s_types.get(c), d_types.get(c)) for c in s_cols
+                 if tmap.get(s_types.get(c), s_types.get(c)) != d_types.get(c)}
+    if bad_types:
+        rep["type_mismatch"] = bad_types
     if s_cols != d_cols:
         rep["ok"] = False
         return rep

@@ -41,7 +41,8 @@ def zip_lists(df: DataFrame, names, keep=("page_id",), rotate: bool = True) -> D
     for c in names[1:]:
         aligned = aligned & (F.size(c) == F.size(names[0]))
     z = df.select(*keep, n.alias("n_items"), aligned.alias("aligned"),
-                  F.posexplode(F.arrays_zip(*[F.col(c) for c in names])).alias("pos", "z"))
+                  F.posexplode_outer(F.arrays_zip(*[F.col(c) for c in names])).alias("pos", "z"))
+    z = z.filter(F.col("pos").isNotNull())   # outer + filter: no inferred filter pushed below shuffles
     seq = rotate_positions(F.col("pos"), F.col("n_items")) if rotate else F.col("pos")
     return z.select(*keep, "pos", seq.alias("seq"), "n_items", "aligned",
                     *[F.col(f"z.{c}").alias(c) for c in names])
@@ -51,6 +52,7 @@ def page_links(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> D
     """S5 + J5 + F40 + F41 on anchors: one row per link with its rotated order."""
     lists = extract_lists(pages, html_col, LINK_LISTS, keep)
     z = zip_lists(lists, list(LINK_LISTS), keep)
-    return z.select(*keep, "pos", "seq", "n_items", "aligned", "href",
+    return z.select(*keep, F.col("pos").cast("bigint").alias("pos"), F.col("seq").cast("bigint").alias("seq"),
+                    F.col("n_items").cast("bigint").alias("n_items"), "aligned", "href",
                     strip_tags(F.col("anchor")).alias("anchor_text"),
                     first_path_segment(F.col("href")).alias("first_segment"))

@@ -52,7 +52,8 @@ def _elements(page: Column, shape: str) -> Column:
 
 def explode_pages(pages: DataFrame, page_col: str, shape: str, keep=()) -> DataFrame:
     """Page text -> one row per element with its position (``page_pos``) and raw JSON."""
-    return pages.select(*keep, F.posexplode(_elements(F.col(page_col), shape)).alias("page_pos", "raw"))
+    return (pages.select(*keep, F.posexplode_outer(_elements(F.col(page_col), shape)).alias("page_pos", "raw"))
+                 .filter(F.col("page_pos").isNotNull()))
 
 
 def read_pages(spark: SparkSession, path: str, shape: str, whole_files: bool = False) -> DataFrame:
