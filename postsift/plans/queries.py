@@ -10,7 +10,7 @@ from ..functions import parse
 from ..functions.text import clean_text, nfkc, scrape_clean, tidy_text
 from ..functions.tokens import base_forms, join_tokens, tokenize
 from ..operators import aggregate, dedupe, filters, joins, naive_bayes, segment, union
-from ..session import scratch_path
+from ..session import checkpoint_root, scratch_path
 from ..sources import csv_files, html, json_posts
 from ..sinks import writers
 from ..streaming import ingest
@@ -53,6 +53,7 @@ def labelled_docs(spark, sf) -> DataFrame:
 
 
 def nb_model(spark, sf):
+    checkpoint_root(spark)   # the session's checkpoint dir (a private one only when unset)
     return naive_bayes.fit_nb(with_words(labelled_docs(spark, sf)), "label", "words_arr")
 
 
