@@ -387,7 +387,7 @@ def q_csv_round_trip(spark, sf):
     path = scratch_path(spark, "csv")
     csv_files.write_csv(d, path, partition_by="source")
     schema = "doc_id BIGINT, text STRING, n_chars BIGINT"
-    back = csv_files.read_csv(spark, path, schema=spark.createDataFrame([], schema).schema, glob="*.csv")
+    back = csv_files.read_csv(spark, path, schema=spark.createDataFrame([], schema).schema, glob="*.csv", line_sep=None)
     return back.select("doc_id", csv_files.key_from_file("src_file").alias("source"), "text", "n_chars")
 
 

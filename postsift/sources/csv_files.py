@@ -1,10 +1,11 @@
 """CSV tables with declared schemas (S6-S8, N3) and the header alias map.
 
-Python's csv writer ends rows with CRLF and quotes fields holding newlines.  Spark's
-``multiLine`` reader without an explicit ``lineSep`` round-trips quoted ``\\n``, ``\\r\\n``
-and ``\\r`` exactly whether rows end in LF or CRLF (an explicit ``lineSep='\\r\\n'`` on
-read rewrites embedded newlines); the writer emits CRLF rows like Python's.  Multi-line
-CSV files cannot be split, so land them once to Parquet and work from there.
+Python's csv writer (the reference's) ends rows with CRLF and quotes fields holding
+newlines; Spark's ``multiLine`` reader with ``lineSep='\\r\\n'`` reads such files exactly
+(embedded ``\\n`` and ``\\r\\n`` kept).  Files written by Spark itself use LF rows (Spark's
+CRLF writer rewrites embedded ``\\n``) and are read back exactly with the default line
+handling (``line_sep=None``).  Multi-line CSV files cannot be split, so land them once to
+Parquet and work from there.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ def canonical_names(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv",
-             with_file: bool = True) -> DataFrame:
+             with_file: bool = True, line_sep: str | None = "\r\n") -> DataFrame:
     """S6 + S7: header CSV files under ``path`` matching ``glob`` (non-recursive), read
     with a declared schema.  The words NA / null stay text (N3)."""
     r = spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", glob).schema(schema)
+    if line_sep:
+        r = r.option("lineSep", line_sep)
     df = r.csv(path)
     if with_file:
         df = df.withColumn("src_file", F.col("_metadata.file_path"))
@@ -54,9 +57,9 @@ def key_from_file(path_col: Column | str) -> Column:
 
 
 def write_csv(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
-    """Header CSV, CRLF rows; one directory per key with
+    """Header CSV (LF rows, read back with ``line_sep=None``); one directory per key with
     ``partition_by``; ``overwrite`` replaces previous outputs (static overwrite)."""
-    w = df.write.mode(mode).options(header="true", escape='"', lineSep="\r\n", encoding="UTF-8")
+    w = df.write.mode(mode).options(header="true", escape='"', encoding="UTF-8")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.csv(path)

@@ -1,0 +1,114 @@
+"""Operator semantics on literal rows."""
+import math
+
+from pyspark.sql import functions as F
+
+from postsift.functions import parse
+from postsift.functions.tokens import base_forms, join_tokens, tokenize
+from postsift.operators import aggregate, dedupe, filters, joins, segment
+from postsift.operators.naive_bayes import fit_nb, score_nb, top_k
+from postsift.sources import html, json_posts
+
+
+def test_keep_first_last_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (7, 3, "c"), (7, 4, "d")], "k long, seq long, v string")
+    first = {(r.k, r.v) for r in dedupe.dedupe_first(df, ["k"], ["seq"]).collect()}
+    last = {(r.k, r.v) for r in dedupe.dedupe_last(df, ["k"], ["seq"]).collect()}
+    assert first == {(None, "a"), (7, "c")}
+    assert last == {(None, "b"), (7, "d")}
+
+
+def test_dedupe_then_filter_drops_user(spark):
+    df = spark.createDataFrame([(1, 1, 9), (1, 2, 50), (2, 3, 12)], "user long, seq long, fav long")
+    out = dedupe.dedupe_then_filter(df, ["user"], ["seq"], F.col("fav") >= 10)
+    assert {r.user for r in out.collect()} == {2}
+
+
+def test_cap_per_key(spark):
+    df = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 1)], "k long, id long")
+    out = dedupe.cap_per_key(df, ["k"], dedupe.newest_first("id"), 3)
+    assert sorted((r.k, r.id) for r in out.collect()) == [(1, 7), (1, 8), (1, 9), (2, 1)]
+    assert dedupe.cap_per_key(df, ["k"], ["id"], 0).count() == 11
+
+
+def test_activity_floor(spark):
+    rows = [(1, "a")] * 5 + [(2, "b")] * 6
+    df = spark.createDataFrame(rows, "u long, name string")
+    keys = aggregate.active_keys(df, "u", "name")
+    assert [r.u for r in keys.collect()] == [2]
+
+
+def test_share_semantics_and_routing(spark):
+    rows = [
+        ("zero", 1, "unmeasurable", 100),          # 0/0 -> NULL -> lower branch
+        ("inf", None, "__label__q1", 100),          # x/0 -> +inf -> upper branch
+        ("half", 1, "__label__q1", 6000), ("half", 2, "__label__q0", 6000),
+    ]
+    df = spark.createDataFrame(rows, "u string, tid long, prediction string, followers long")
+    out = segment.segment_users(df, "u", ["tid"], ["followers"], "q1", "followers", id_col="tid")
+    got = {r.u: (r.target_share, r.segment) for r in out.collect()}
+    assert got["zero"][0] is None and got["zero"][1] == "ordinaly_account"
+    assert math.isinf(got["inf"][0]) and got["inf"][1] == "beauty_account"
+    assert got["half"] == (0.5, "beauty_infulencer")
+
+
+def test_route_thresholds_inclusive(spark):
+    rows = [(0.42, 5000), (0.42, 4999), (0.41, 3000), (0.41, 2999), (None, None)]
+    df = spark.createDataFrame(rows, "s double, f long")
+    got = [r.seg for r in df.select(segment.route(F.col("s"), F.col("f")).alias("seg")).collect()]
+    assert got == ["beauty_infulencer", "beauty_account", "lifestyle_account", "ordinaly_account", "ordinaly_account"]
+
+
+def test_retweet_key_present_but_null(spark):
+    pages = spark.createDataFrame([('{"statuses":[{"id":1,"text":"a"},{"id":2,"text":"b","retweeted_status":null},'
+                                    '{"id":3,"full_text":"c","text":"x","retweeted_status":{"id":9}}]}',)], "page string")
+    posts = json_posts.flatten_posts(json_posts.explode_pages(pages, "page", "search"))
+    got = {r.tweet_id: (r.is_retweet, r.text) for r in posts.collect()}
+    assert got == {1: (False, "a"), 2: (True, "b"), 3: (True, "c")}
+
+
+def test_time_parsing(spark):
+    df = spark.createDataFrame([("Wed Aug 27 13:08:45 +0000 2008", "9:05 - 2019年3月7日")], "a string, b string")
+    r = df.select(parse.api_time_to_local_minute("a", "Asia/Tokyo").alias("x"),
+                  parse.scrape_time_to_minute("b").alias("y")).first()
+    assert (r.x, r.y) == ("2008-08-27 22:08", "2019-03-07 09:05")
+
+
+def test_count_text_and_href(spark):
+    df = spark.createDataFrame([("<span>1,234 いいね</span>", "/user/status/1"), ("n/a", "/x")], "c string, h string")
+    got = [(r.n, r.s) for r in df.select(parse.count_text_to_long("c").alias("n"),
+                                         parse.first_path_segment("h").alias("s")).collect()]
+    assert got == [(1234, "user"), (None, None)]
+
+
+def test_rotated_zip_flags_unequal_lists(spark):
+    page = '<a href="/a/1">A</a><a href="/b/2">B</a><a href="/c/3">C</a>'
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    out = html.page_links(df).orderBy("seq").collect()
+    assert [r.anchor_text for r in out] == ["C", "A", "B"]
+    assert all(r.aligned for r in out)
+
+
+def test_tokens_and_lexicon(spark):
+    df = spark.createDataFrame([("the cat is on 猫がコーヒー。",)], "t string")
+    r = df.select(tokenize("t").alias("tok"), join_tokens(base_forms(tokenize("t"))).alias("w")).first()
+    assert r.tok == ["the", "cat", "is", "on", "猫", "が", "コーヒー", "。"]
+    assert r.w == "cat be on 猫 が コーヒー 。"
+
+
+def test_keyword_label_multi_match(spark):
+    kw = joins.keyword_frame(spark, {"A": ["cat", "dog"], "B": ["cat"]})
+    posts = spark.createDataFrame([(1, "cat and dog"), (2, "bird")], "id long, text string")
+    got = sorted((r.id, r.category, r.keyword) for r in joins.keyword_label(posts, kw).collect())
+    assert got == [(1, "A", "cat"), (1, "A", "dog"), (1, "B", "cat")]
+
+
+def test_naive_bayes_small(spark):
+    train = spark.createDataFrame([("a", ["x", "x", "y"]), ("a", ["x"]), ("b", ["z", "z", "y"])], "label string, w array<string>")
+    m = fit_nb(train, "label", "w")
+    docs = spark.createDataFrame([(1, ["x", "x", "x", "x", "x"]), (2, ["z", "z", "z", "z", "z"]), (3, ["q"])],
+                                 "id long, w array<string>")
+    s = score_nb(m, docs, "id", "w")
+    got = {r.id: r.prediction for r in s.collect()}
+    assert got == {1: "__label__a", 2: "__label__b", 3: "unmeasurable"}
+    assert top_k(s, "id", 3).filter("id = 1").count() == 2
