@@ -14,7 +14,7 @@ from ..session import checkpoint_root, scratch_path
 from ..sources import csv_files, html, json_posts
 from ..sinks import writers
 from ..streaming import ingest
-from .tables import spread_for_cpu, table
+from .tables import materialize, spread_for_cpu, table
 
 # Parameters of the registered queries.
 ZONE = "Asia/Tokyo"                 # local zone for F37 rendering
@@ -361,7 +361,8 @@ def q_class_share(spark, sf):
 
 
 def q_share_stats(spark, sf):
-    return aggregate.share_stats(_shares(spark, sf))
+    # one row per user, read by several passes (count, quantile band, stats): written once
+    return aggregate.share_stats(materialize(_shares(spark, sf), "shares"))
 
 
 def segmented(spark, sf) -> DataFrame:

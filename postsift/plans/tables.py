@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -35,3 +37,12 @@ def spread_for_cpu(df: DataFrame, small_bytes: int = SMALL_INPUT_BYTES) -> DataF
         if df.rdd.getNumPartitions() < n:
             return df.repartition(n)
     return df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the checkpoint folder and read it back: later
+    passes read the table instead of recomputing the lineage (and survive executor
+    loss); the planner sees the table's real size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

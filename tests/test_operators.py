@@ -112,3 +112,15 @@ def test_naive_bayes_small(spark):
     got = {r.id: r.prediction for r in s.collect()}
     assert got == {1: "__label__a", 2: "__label__b", 3: "unmeasurable"}
     assert top_k(s, "id", 3).filter("id = 1").count() == 2
+
+
+def test_exact_median_matches_sorted_middle(spark):
+    import random
+    rnd = random.Random(7)
+    for n in (1, 2, 5, 1000, 1001):
+        vals = [rnd.random() for _ in range(n)] + [None]
+        df = spark.createDataFrame([(v,) for v in vals], "s double")
+        xs = sorted(v for v in vals if v is not None)
+        want = (xs[(n - 1) // 2] + xs[n // 2]) / 2
+        assert abs(aggregate.exact_median(df, "s", accuracy=100) - want) < 1e-15
+    assert aggregate.exact_median(spark.createDataFrame([(None,)], "s double"), "s") is None
