@@ -173,6 +173,15 @@ def oracle_sql() -> dict[str, str]:
         "tokens_lexicon": (f"SELECT doc_id, array_to_string(w, ' ') AS words, CAST(len(w) AS BIGINT) AS n_words FROM"
                            f" (SELECT doc_id, {_words('text')} AS w FROM documents)"),
         "training_lines": _training(True),
+        "weak_training_lines": (
+            f"WITH {_kw_values()}, m AS (SELECT d.doc_id, d.source, d.text, kw.category, kw.keyword FROM documents d"
+            " JOIN kw ON contains(d.text, kw.keyword)),"
+            " c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, keyword ORDER BY doc_id DESC) AS rn"
+            f" FROM m) WHERE rn <= {Q.TRAINING_CAP}),"
+            " dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, keyword, source ORDER BY doc_id DESC)"
+            " AS r2 FROM c) WHERE r2 = 1)"
+            f" SELECT category, keyword, doc_id, '__label__' || category || ', ' || array_to_string({_words('text')}, ' ')"
+            " AS line FROM dd"),
         "training_corpus": _training(False),
         "vocabulary": (f"SELECT token, count(*) AS n FROM (SELECT unnest({_words('text')}) AS token FROM documents)"
                        " GROUP BY token HAVING count(*) >= 10"),

@@ -20,6 +20,7 @@ from .tables import materialize, spread_for_cpu, table
 ZONE = "Asia/Tokyo"                 # local zone for F37 rendering
 TARGET_CLASS = "q1"                 # stand-in for the reference's target class
 CAP_PER_USER = 50                   # W2/L1 cap (reference: 10000 / 5000 / 3000 per query)
+TRAINING_CAP = 3000                 # posts per keyword of the reference's training searches
 SEARCH = dict(keyword="the", min_faves=100, lang="en")
 MIN_FAVES = 10                      # P9 popularity floor of the scraper path
 # Stand-in dictionary for J1 on the given tables (the reference's own dictionary,
@@ -322,6 +323,20 @@ def _ngrams(w, n: int):
     return F.transform(idx, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
 
 
+def q_weak_training_lines(spark, sf):
+    """M2 end to end (E1): keyword search per category (J1), capped per keyword newest
+    first (L1/L4), one post per user and keyword (A10, newest kept), then cleaned,
+    tokenised and written as ``__label__<category>, words`` lines (S11)."""
+    kw = joins.keyword_frame(spark, DATA_KEYWORDS)
+    d = _text(spark, sf, "documents", "doc_id", "source", "text")
+    m = joins.keyword_label(d, kw)
+    m = dedupe.cap_per_key(m, ["category", "keyword"], dedupe.newest_first("doc_id"), TRAINING_CAP)
+    m = dedupe.dedupe_last(m.select("doc_id", "source", "text", "category", "keyword"),
+                           ["category", "keyword", "source"], ["doc_id"])
+    w = with_words(m)
+    return w.select("category", "keyword", "doc_id", filters.label_line(F.col("category"), F.col("words")).alias("line"))
+
+
 def q_row_counts(spark, sf):
     d = with_words(labelled_docs(spark, sf))
     return aggregate.row_counts(writers.training_lines(d, "label", "words"), ["label"])
@@ -432,6 +447,7 @@ QUERIES = {
     "activity_floor": q_activity_floor,
     "tokens_lexicon": q_tokens_lexicon,
     "training_lines": q_training_lines,
+    "weak_training_lines": q_weak_training_lines,
     "training_corpus": q_training_corpus,
     "vocabulary": q_vocabulary,
     "ngram_counts": q_ngram_counts,
