@@ -9,6 +9,7 @@ partitions (``spark.sql.adaptive.skewJoin.enabled``).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,32 +28,51 @@ REFERENCE_KEYWORDS = {
               "ティターン", "OPTIWEB"],
 }
 
-# A literal dictionary is broadcast only below this many entries; larger ones are
-# joined as data (see `keyword_label`).
+# A dictionary is broadcast whole only below this many entries; larger ones are split
+# into chunks below it (see `keyword_label`).
 MAX_LITERAL_KEYWORDS = 10_000
 
 
 def keyword_frame(spark: SparkSession, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(category, keyword) rows of a category -> keywords mapping."""
+    """(category, keyword) rows of a category -> keywords mapping (size: `keyword_count`)."""
     rows = [(c, k) for c, kws in mapping.items() for k in kws]
     schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("keyword", T.StringType())])
     return spark.createDataFrame(rows, schema)
 
 
 def keyword_label(posts: DataFrame, keywords: DataFrame, text_col: str = "text",
-                  bounded: bool = True) -> DataFrame:
+                  n_keywords: int | None = None, max_broadcast_rows: int = MAX_LITERAL_KEYWORDS) -> DataFrame:
     """J1 + P13: every (post, category, keyword) whose text contains the keyword.
 
     A post matching several keywords appears once per keyword, as in the reference's
-    per-keyword searches.  With a dictionary of bounded size (``bounded=True``: built
-    from a literal) the dictionary is broadcast and each post is tested against every
-    keyword in its own task (BroadcastNestedLoopJoin; linear in the posts, no shuffle).
+    per-keyword searches.  The dictionary is broadcast and each post is tested against
+    the keywords in its own task (BroadcastNestedLoopJoin: linear in the posts, no
+    shuffle of posts) — but only after its size is checked: ``n_keywords`` (known for a
+    literal dictionary) or a count.  A dictionary above ``max_broadcast_rows`` is split
+    by hash into chunks below the bound, each chunk broadcast and joined, and the results
+    unioned: still exact, every broadcast bounded, never a cartesian product.
     """
-    kw = F.broadcast(keywords) if bounded else keywords
-    j = posts.join(kw, F.col(text_col).contains(F.col("keyword")), "inner")
+    n = keywords.count() if n_keywords is None else n_keywords
+    chunks = max(1, -(-n // max_broadcast_rows))
+
+    def match(kw: DataFrame) -> DataFrame:
+        return posts.join(F.broadcast(kw), F.col(text_col).contains(F.col("keyword")), "inner")
+
+    if chunks == 1:
+        j = match(keywords)
+    else:
+        # chunk sizes are ~n/chunks; the slack keeps each one under the bound
+        chunks = max(chunks, -(-n * 5 // (4 * max_broadcast_rows)))
+        kw = keywords.withColumn("_chunk", F.pmod(F.xxhash64("keyword"), F.lit(chunks)))
+        parts = [match(kw.filter(F.col("_chunk") == c).drop("_chunk")) for c in range(chunks)]
+        j = reduce(lambda a, b: a.unionByName(b), parts)
     return j.withColumn("label", F.concat(F.lit(LABEL_PREFIX), F.col("category")))
 
 
+def keyword_count(mapping: Mapping[str, Sequence[str]]) -> int:
+    return sum(len(v) for v in mapping.values())
+
+
 def user_timeline(posts: DataFrame, users: DataFrame, key: str) -> DataFrame:
     """J2 + P12: posts of listed users (inner equi-join: unknown users yield no rows)."""
     return posts.join(users, key, "inner")

@@ -214,7 +214,8 @@ def q_search_predicate(spark, sf):
 def q_keyword_label(spark, sf):
     kw = joins.keyword_frame(spark, DATA_KEYWORDS)
     d = _text(spark, sf, "documents", "doc_id", "text")
-    return joins.keyword_label(d, kw).select("doc_id", "category", "keyword", "label")
+    return joins.keyword_label(d, kw, n_keywords=joins.keyword_count(DATA_KEYWORDS)).select(
+        "doc_id", "category", "keyword", "label")
 
 
 def _candidate_users(spark, sf):
@@ -329,7 +330,7 @@ def q_weak_training_lines(spark, sf):
     tokenised and written as ``__label__<category>, words`` lines (S11)."""
     kw = joins.keyword_frame(spark, DATA_KEYWORDS)
     d = _text(spark, sf, "documents", "doc_id", "source", "text")
-    m = joins.keyword_label(d, kw)
+    m = joins.keyword_label(d, kw, n_keywords=joins.keyword_count(DATA_KEYWORDS))
     m = dedupe.cap_per_key(m, ["category", "keyword"], dedupe.newest_first("doc_id"), TRAINING_CAP)
     m = dedupe.dedupe_last(m.select("doc_id", "source", "text", "category", "keyword"),
                            ["category", "keyword", "source"], ["doc_id"])

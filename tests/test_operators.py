@@ -99,8 +99,12 @@ def test_tokens_and_lexicon(spark):
 def test_keyword_label_multi_match(spark):
     kw = joins.keyword_frame(spark, {"A": ["cat", "dog"], "B": ["cat"]})
     posts = spark.createDataFrame([(1, "cat and dog"), (2, "bird")], "id long, text string")
+    want = [(1, "A", "cat"), (1, "A", "dog"), (1, "B", "cat")]
     got = sorted((r.id, r.category, r.keyword) for r in joins.keyword_label(posts, kw).collect())
-    assert got == [(1, "A", "cat"), (1, "A", "dog"), (1, "B", "cat")]
+    assert got == want
+    # over the broadcast bound: chunked broadcasts give the same rows
+    chunked = joins.keyword_label(posts, kw, max_broadcast_rows=1)
+    assert sorted((r.id, r.category, r.keyword) for r in chunked.collect()) == want
 
 
 def test_naive_bayes_small(spark):
@@ -124,3 +128,45 @@ def test_exact_median_matches_sorted_middle(spark):
         want = (xs[(n - 1) // 2] + xs[n // 2]) / 2
         assert abs(aggregate.exact_median(df, "s", accuracy=100) - want) < 1e-15
     assert aggregate.exact_median(spark.createDataFrame([(None,)], "s double"), "s") is None
+
+
+def test_lexicon_join_equals_map_lookup(spark):
+    from postsift.functions.tokens import DEFAULT_LEXICON, lexicon_join
+    lex = spark.createDataFrame([(k, p, b) for k, (p, b) in DEFAULT_LEXICON.items()], "surface string, pos string, base string")
+    docs = spark.createDataFrame([(1, "the cat is on the mat , not here"), (2, ""), (3, "und die katze ist")],
+                                 "id long, t string")
+    docs = docs.withColumn("toks", tokenize("t"))
+    via_map = {r.id: r.w for r in docs.select("id", base_forms("toks").alias("w")).collect()}
+    via_join = {r.id: r.words for r in lexicon_join(docs, "id", "toks", lex).select("id", "words").collect()}
+    assert via_join == via_map
+    assert via_map[1] == ["cat", "be", "on", "mat", ",", "here"]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+KEYS = st.one_of(st.none(), st.integers(0, 4))
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(KEYS, st.integers(0, 10**6)), min_size=1, max_size=60, unique_by=lambda t: t[1]))
+def test_dedupe_one_row_per_key_property(spark, rows):
+    df = spark.createDataFrame(rows, "k long, seq long")
+    out = dedupe.dedupe_first(df, ["k"], ["seq"]).collect()
+    want = {}
+    for k, s in rows:
+        want[k] = min(s, want.get(k, s))
+    assert sorted(((r.k is None, r.k, r.seq) for r in out), key=str) == sorted(((k is None, k, s) for k, s in want.items()), key=str)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from(["__label__q1", "__label__q0", "unmeasurable", None]),
+                          st.integers(0, 8000)), min_size=1, max_size=40))
+def test_segments_partition_users_property(spark, rows):
+    data = [(u, i, p, f) for i, (u, p, f) in enumerate(rows)]
+    df = spark.createDataFrame(data, "u string, tid long, prediction string, followers long")
+    seg = segment.segment_users(df, "u", ["tid"], ["followers"], "q1", "followers", id_col="tid")
+    got = seg.select("u", "segment").collect()
+    assert sorted(r.u for r in got) == sorted({u for u, _, _ in rows})
+    assert {r.segment for r in got} <= set(segment.SEGMENTS)
+    counts = segment.segment_counts(spark, seg).collect()
+    assert len(counts) == 4 and sum(r.n_users for r in counts) == len(got)
