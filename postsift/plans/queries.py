@@ -353,11 +353,17 @@ def q_nb_topk(spark, sf):
 
 
 def q_lr_predict(spark, sf):
+    """M3 + M5: training words written once; the vocabulary (A12, >= 10 occurrences in the
+    training corpus) restricts training and scored posts alike before the n-grams, as the
+    reference's trainer and predictor drop rare / unknown words."""
     from ..operators import linear
-    train = with_words(labelled_docs(spark, sf))
-    model = linear.fit_lr(train, tokens_col="words_arr", label_col="label")
+    train = materialize(with_words(labelled_docs(spark, sf)).select("doc_id", "label", "words_arr"), "lr-train")
+    vocab = materialize(aggregate.vocabulary(train, "words_arr"), "lr-vocab")
+    train_v = linear.restrict_to_vocabulary(train, "doc_id", "words_arr", vocab, carry=("label",))
+    model = linear.fit_lr(train_v, tokens_col="vocab_words", label_col="label")
     docs = with_words(_text(spark, sf, "documents", "doc_id", "text"))
-    return linear.predict_lr(model, docs, "doc_id")
+    docs_v = linear.restrict_to_vocabulary(docs, "doc_id", "words_arr", vocab)
+    return linear.predict_lr(model, docs_v, "doc_id")
 
 
 def q_class_split(spark, sf):
