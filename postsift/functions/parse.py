@@ -58,7 +58,7 @@ def scrape_time_to_minute(c) -> Column:
 def count_text_to_long(c) -> Column:
     """F39 + N2: '<span>1,234 いいね</span>' -> 1234 (NULL when not a number)."""
     t = F.replace(F.replace(strip_tags(_c(c)), F.lit(LIKE_SUFFIX), F.lit("")), F.lit(","), F.lit(""))
-    return F.try_cast(t, "bigint") if hasattr(F, "try_cast") else t.try_cast("bigint")
+    return t.try_cast("bigint")
 
 
 def first_path_segment(c) -> Column:

@@ -1,7 +1,8 @@
 """Joins that the reference runs as nested loops.
 
-Broadcasts are explicit only for sides whose size is bounded by construction (a
-keyword dictionary built from a Python literal).  Every data-derived side is left to
+An explicit broadcast is used only after a size check (the keyword dictionary: known
+size of a literal, or a count; over the bound it is split into bounded chunks).  Every
+other data-derived side is left to
 Catalyst + AQE, which broadcast it only after measuring it under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge join, splitting skewed
 partitions (``spark.sql.adaptive.skewJoin.enabled``).

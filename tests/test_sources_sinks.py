@@ -39,3 +39,39 @@ def test_stream_ingest_equals_batch(spark):
     out = ingest.ingest_events(spark, dup, n_files=4, files_per_trigger=1)
     assert out.count() == ev.count()
     assert out.select("event_id").distinct().count() == ev.count()
+
+
+def test_page_shapes_from_files(spark):
+    from postsift.sources import json_posts
+    d = tempfile.mkdtemp(prefix="pages-", dir="/tmp")
+    with open(os.path.join(d, "timeline.json"), "w") as f:   # one pretty-printed page per file
+        f.write('[\n  {"id": 5, "text": "a", "user": {"id_str": "9", "screen_name": "s"}},\n'
+                '  {"id": 4, "text": "b", "in_reply_to_status_id": 3, "user": {"id_str": "9"}}\n]\n')
+    tl = json_posts.flatten_posts(json_posts.read_pages(spark, d + "/timeline.json", "timeline", whole_files=True))
+    assert sorted((r.tweet_id, r.user_id, r.is_reply) for r in tl.collect()) == [(4, 9, True), (5, 9, False)]
+    with open(os.path.join(d, "rt.jsonl"), "w") as f:       # one page per line
+        f.write('[{"user": {"id_str": "1", "name": "n1", "screen_name": "s1"}}, {"user": {"id_str": "2", "name": "n2", "screen_name": "s2"}}]\n')
+        f.write('[]\n')
+    rt = json_posts.flatten_retweeters(json_posts.read_pages(spark, d + "/rt.jsonl", "retweeters"))
+    assert sorted((r.user_id, r.screen_name) for r in rt.collect()) == [(1, "s1"), (2, "s2")]
+    with open(os.path.join(d, "list.jsonl"), "w") as f:
+        f.write('{"users": [{"id": 7, "screen_name": "x", "name": "X"}]}\n')
+    lm = json_posts.flatten_users(json_posts.read_pages(spark, d + "/list.jsonl", "list"))
+    assert [(r.user_id, r.screen_name, r.user_name) for r in lm.collect()] == [(7, "x", "X")]
+
+
+def test_segment_sink_overwrite_and_append(spark):
+    from postsift.sinks import writers
+    df = spark.createDataFrame([("a", "beauty_account"), ("b", "ordinaly_account")], "u string, segment string")
+    path = tempfile.mkdtemp(prefix="seg-", dir="/tmp") + "/out"
+    writers.write_segments(df, path)
+    writers.write_segments(df, path)                  # rerun: idempotent
+    assert spark.read.parquet(path).count() == 2
+    writers.write_segments(df, path, mode="append")   # the reference's appending behaviour
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_high_water_mark_is_the_batch_cursor(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)], "tweet_id long")
+    assert ingest.high_water_mark(df, "tweet_id", 4).count() == 5
+    assert ingest.high_water_mark(df, "tweet_id", None).count() == 10
