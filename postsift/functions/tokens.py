@@ -144,6 +144,31 @@ def lexicon_join(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame
               .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))))
 
 
+def map_tagger(df: DataFrame, text_col: str, factory, keep_pos=None, out_col: str = "words") -> DataFrame:
+    """A pluggable analyser run with ``mapInPandas``.
+
+    ``factory()`` is called once per Python worker task (not per row) and returns
+    ``tag(text) -> list[(surface, pos, base)]`` — e.g. a dictionary-based morphological
+    analyser.  Each post keeps its keep-listed tokens, base form unless ``*``.  Rows stay
+    in their partition (no shuffle); Arrow moves them in batches."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    keep = set(KEEP_POS if keep_pos is None else keep_pos)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        tag = factory()
+        for pdf in batches:
+            words = []
+            for text in pdf[text_col]:
+                toks = [] if text is None else tag(text)
+                words.append([surface if base == NO_BASE else base for surface, pos, base in toks if pos in keep])
+            yield pdf.assign(**{out_col: pd.Series(words, index=pdf.index, dtype=object)})
+
+    return df.mapInPandas(run, schema)
+
+
 # ---------------------------------------------------------------- DuckDB twin
 def sql_words(clean_expr: str, lexicon: dict | None = None, keep_pos=None) -> str:
     """Kept words (list<varchar>) of a cleaned text, as DuckDB SQL."""

@@ -148,6 +148,14 @@ def oracle_sql() -> dict[str, str]:
             "SELECT p.conv_id AS parent_id, r.turn AS retweeter_turn, r.role AS retweeter_name,"
             " 'https://twitter.com/' || p.role || '/status/' || CAST(p.conv_id AS VARCHAR) AS post_url"
             " FROM conversations p JOIN conversations r ON p.conv_id = r.conv_id AND p.turn = 0 AND r.turn > 0"),
+        "retweeters_json": (
+            "SELECT p.conv_id AS parent_id, CAST(CAST(r.conv_id AS VARCHAR) || '0' || CAST(r.turn AS VARCHAR) AS BIGINT) AS user_id,"
+            " r.role AS user_name, r.role || CAST(r.turn AS VARCHAR) AS screen_name,"
+            " 'https://twitter.com/' || p.role || '/status/' || CAST(p.conv_id AS VARCHAR) AS post_url"
+            " FROM conversations p JOIN conversations r ON p.conv_id = r.conv_id AND p.turn = 0 AND r.turn > 0"),
+        "unresolved_users": (
+            "SELECT c.c_custkey AS user_id, c.c_name AS screen_name FROM customer c WHERE c.c_mktsegment = 'BUILDING'"
+            " AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')"),
         "dedupe_first": _dedupe("user_id"),
         "dedupe_first_two_keys": _dedupe("user_id, event_type"),
         "dedupe_last": (

@@ -197,6 +197,19 @@ def q_retweeter_edges(spark, sf):
     return e.select(F.col("conv_id").alias("parent_id"), "retweeter_turn", "retweeter_name", "post_url")
 
 
+def q_retweeters_json(spark, sf):
+    """S4 + J3 + P13: retweeter pages landed per reply (bare arrays of {user}), read
+    with the page reader, joined to the parent post for its link."""
+    c = _t(spark, sf, "conversations")
+    user = F.struct(F.concat(F.col("conv_id").cast("string"), F.lit("0"), F.col("turn").cast("string")).alias("id_str"),
+                    F.col("role").alias("name"), F.concat(F.col("role"), F.col("turn").cast("string")).alias("screen_name"))
+    pages = c.filter("turn > 0").select("conv_id", F.concat(F.lit("["), F.to_json(F.struct(user.alias("user"))), F.lit("]")).alias("page"))
+    rts = json_posts.flatten_retweeters(json_posts.explode_pages(pages, "page", "retweeters", keep=["conv_id"]), keep=["conv_id"])
+    parents = c.filter("turn = 0").select("conv_id", F.col("role").alias("parent_name"))
+    e = joins.retweeter_edges(parents, rts, "conv_id", "parent_name", "conv_id")
+    return e.select(F.col("conv_id").alias("parent_id"), "user_id", "user_name", "screen_name", "post_url")
+
+
 def q_rotate_order(spark, sf):
     c = _t(spark, sf, "conversations").select("conv_id", "turn")
     n = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
@@ -234,6 +247,13 @@ def q_user_timeline(spark, sf):
     return j.select("tweet_id", "user_id", "screen_name", "followers", _ts("o_orderdate").alias("created_at"))
 
 
+def q_unresolved_users(spark, sf):
+    """P12 report: listed users whose timeline lookup yields nothing (anti-join).  The
+    visible timeline of a user is their fulfilled orders (status 'F')."""
+    visible = _t(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("user_id"))
+    return joins.unresolved_users(_candidate_users(spark, sf), visible, "user_id").select("user_id", "screen_name")
+
+
 def q_activity_floor(spark, sf):
     posts = _order_posts(spark, sf)
     active = aggregate.active_keys(posts, "user_id", "tweet_id")
@@ -444,6 +464,8 @@ QUERIES = {
     "keyword_label": q_keyword_label,
     "user_timeline": q_user_timeline,
     "retweeter_edges": q_retweeter_edges,
+    "retweeters_json": q_retweeters_json,
+    "unresolved_users": q_unresolved_users,
     "dedupe_first": q_dedupe_first,
     "dedupe_first_two_keys": q_dedupe_first_two_keys,
     "dedupe_last": q_dedupe_last,

@@ -170,3 +170,18 @@ def test_segments_partition_users_property(spark, rows):
     assert {r.segment for r in got} <= set(segment.SEGMENTS)
     counts = segment.segment_counts(spark, seg).collect()
     assert len(counts) == 4 and sum(r.n_users for r in counts) == len(got)
+
+
+def test_map_tagger_hook_and_feature_field(spark):
+    from postsift.functions.tokens import feature_field, map_tagger
+
+    def factory():   # built once per worker task
+        lex = {"is": ("verb", "be"), "the": ("determiner", "*")}
+        return lambda text: [(w, *lex.get(w, ("noun", "*"))) for w in text.split()]
+
+    df = spark.createDataFrame([(1, "the cat is here"), (2, None)], "id long, t string")
+    got = {r.id: r.words for r in map_tagger(df, "t", factory).collect()}
+    assert got == {1: ["cat", "be", "here"], 2: []}
+    f = spark.createDataFrame([("名詞,一般,*,*,*,*,猫,ネコ,ネコ",)], "feat string")
+    r = f.select(feature_field("feat", 0).alias("pos"), feature_field("feat", 6).alias("base")).first()
+    assert (r.pos, r.base) == ("名詞", "猫")
