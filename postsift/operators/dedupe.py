@@ -51,14 +51,28 @@ def row_number_in(keys: Sequence[str], order: Sequence) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order)))
 
 
-def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, total: int) -> DataFrame:
+def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, total: int,
+                tree: bool = False) -> DataFrame:
     """At most ``total`` rows per key in ``order``; ``total <= 0`` = unlimited.
 
-    ``row_number() <= total`` is planned with a map-side WindowGroupLimit, so each map
-    task forwards at most ``total`` rows per key before the shuffle."""
+    ``row_number() <= total`` is planned with a map-side WindowGroupLimit, so each of the
+    M map tasks forwards at most ``total`` rows per key: a hot key's reducer still gets up
+    to ``total * M`` rows.  ``tree=True`` adds one level: rows are salted by their map
+    partition (``spark_partition_id() % S``, S ≈ √M), capped per (key, salt) — each such
+    reducer gets at most ``total * M / S`` rows — and the S·``total`` survivors of a key
+    are capped again.  Exact: the top rows of a key are among the top rows of its parts.
+    ``order`` must be a total order within a key."""
     if total is None or total <= 0:
         return df
     rn = "_rn"
+    if tree:
+        import math
+        m = df.rdd.getNumPartitions()
+        s = max(1, int(math.ceil(math.sqrt(m))))
+        if s > 1:
+            df = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(s)))
+            df = (df.withColumn(rn, row_number_in([*keys, "_salt"], order)).filter(F.col(rn) <= total)
+                    .drop(rn, "_salt"))
     return df.withColumn(rn, row_number_in(keys, order)).filter(F.col(rn) <= total).drop(rn)
 
 

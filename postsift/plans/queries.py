@@ -284,9 +284,11 @@ def q_dedupe_then_min_faves(spark, sf):
 
 
 def q_cap_per_query(spark, sf):
+    """Newest ``CAP_PER_USER`` non-retweet posts per user (tree cap: a user
+    holding a third of all posts is capped in parts first), with the final rank."""
     e = _t(spark, sf, "events").filter(F.col("event_type") != "click").select("event_id", "user_id")
-    e = e.withColumn("rank", dedupe.row_number_in(["user_id"], dedupe.newest_first("event_id")).cast("bigint"))
-    return e.filter(F.col("rank") <= CAP_PER_USER)
+    e = dedupe.cap_per_key(e, ["user_id"], dedupe.newest_first("event_id"), CAP_PER_USER, tree=True)
+    return e.withColumn("rank", dedupe.row_number_in(["user_id"], dedupe.newest_first("event_id")).cast("bigint"))
 
 
 def q_union_sources(spark, sf):

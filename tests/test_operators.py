@@ -29,6 +29,10 @@ def test_cap_per_key(spark):
     out = dedupe.cap_per_key(df, ["k"], dedupe.newest_first("id"), 3)
     assert sorted((r.k, r.id) for r in out.collect()) == [(1, 7), (1, 8), (1, 9), (2, 1)]
     assert dedupe.cap_per_key(df, ["k"], ["id"], 0).count() == 11
+    many = spark.createDataFrame([(i % 3, i) for i in range(3000)], "k long, id long").repartition(16)
+    plain = sorted((r.k, r.id) for r in dedupe.cap_per_key(many, ["k"], dedupe.newest_first("id"), 7).collect())
+    tree = sorted((r.k, r.id) for r in dedupe.cap_per_key(many, ["k"], dedupe.newest_first("id"), 7, tree=True).collect())
+    assert plain == tree and len(tree) == 21
 
 
 def test_activity_floor(spark):
