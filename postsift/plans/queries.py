@@ -430,17 +430,17 @@ def q_segment_counts(spark, sf):
 def q_csv_round_trip(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
     path = scratch_path(spark, "csv")
-    csv_files.write_csv(d, path, partition_by="source")
+    csv_files.write_csv(d, path, partition_by="source", tiebreak=["doc_id"])
     schema = "doc_id BIGINT, text STRING, n_chars BIGINT"
     back = csv_files.read_csv(spark, path, schema=spark.createDataFrame([], schema).schema, glob="*.csv", line_sep=None)
     return back.select("doc_id", csv_files.key_from_file("src_file").alias("source"), "text", "n_chars")
 
 
 def q_partitioned_sinks(spark, sf):
-    seg = segmented(spark, sf)
+    seg = materialize(segmented(spark, sf), "segmented")   # one row per user, written twice below
     path = scratch_path(spark, "segments")
-    writers.write_segments(seg, path)
-    writers.write_segments(seg, path)          # rerun: overwrite keeps the counts unchanged
+    writers.write_segments(seg, path, tiebreak=["screen_name"])
+    writers.write_segments(seg, path, tiebreak=["screen_name"])   # rerun: overwrite keeps the counts unchanged
     back = spark.read.parquet(path)
     return back.groupBy("segment").agg(F.count(F.lit(1)).alias("n_users"))
 

@@ -7,21 +7,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import label_line
-from ..sources.csv_files import write_csv
+from ..sources.csv_files import cluster_for_write, write_csv
 
-__all__ = ["write_csv", "write_segments", "write_training_text", "training_lines", "write_by_key"]
+__all__ = ["write_csv", "write_segments", "write_training_text", "training_lines", "write_by_key",
+           "cluster_for_write"]
 
 
-def write_segments(segmented: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_segments(segmented: DataFrame, path: str, mode: str = "overwrite", tiebreak=()) -> None:
     """S10 + S13 + S14: one table partitioned by ``segment`` (replaces the reference's
-    four appended files).  ``mode='append'`` reproduces appending."""
+    four appended files).  ``mode='append'`` reproduces appending.  With ``tiebreak``
+    columns the rows are range-clustered first (`cluster_for_write`)."""
+    if tiebreak:
+        segmented = cluster_for_write(segmented, "segment", tiebreak)
     (segmented.write.mode(mode).option("partitionOverwriteMode", "static")
      .partitionBy("segment").parquet(path))
 
 
-def write_by_key(df: DataFrame, path: str, keys, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One output directory per key value."""
+def write_by_key(df: DataFrame, path: str, keys, fmt: str = "parquet", mode: str = "overwrite",
+                 tiebreak=()) -> None:
+    """One output directory per key value (range-clustered first with ``tiebreak``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if tiebreak:
+        df = cluster_for_write(df, keys, tiebreak)
     df.write.mode(mode).partitionBy(*keys).format(fmt).save(path)
 
 
