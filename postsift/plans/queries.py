@@ -381,7 +381,8 @@ def q_lr_predict(spark, sf):
     from ..operators import linear
     train = materialize(with_words(labelled_docs(spark, sf)).select("doc_id", "label", "words_arr"), "lr-train")
     vocab = materialize(aggregate.vocabulary(train, "words_arr"), "lr-vocab")
-    train_v = linear.restrict_to_vocabulary(train, "doc_id", "words_arr", vocab, carry=("label",))
+    train_v = materialize(linear.restrict_to_vocabulary(train, "doc_id", "words_arr", vocab, carry=("label",)),
+                          "lr-train-vocab")
     model = linear.fit_lr(train_v, tokens_col="vocab_words", label_col="label")
     docs = with_words(_text(spark, sf, "documents", "doc_id", "text"))
     docs_v = linear.restrict_to_vocabulary(docs, "doc_id", "words_arr", vocab)
