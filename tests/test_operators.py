@@ -189,3 +189,28 @@ def test_map_tagger_hook_and_feature_field(spark):
     f = spark.createDataFrame([("名詞,一般,*,*,*,*,猫,ネコ,ネコ",)], "feat string")
     r = f.select(feature_field("feat", 0).alias("pos"), feature_field("feat", 6).alias("base")).first()
     assert (r.pos, r.base) == ("名詞", "猫")
+
+
+def test_models_beat_majority_on_held_out_labels(spark):
+    """SURVEY §5: both classifiers beat the majority class on a held-out fifth (fixed split)."""
+    from postsift.operators import linear
+    from postsift.plans import queries as Q
+    sf = "/root/testdata/sf0.1"
+    lab = Q.with_words(Q.labelled_docs(spark, sf)).select("doc_id", "label", "words_arr", "words").cache()
+    is_test = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    train, test = lab.filter(~is_test), lab.filter(is_test)
+    n_test = test.count()
+    majority = test.groupBy("label").count().agg(F.max("count")).first()[0] / n_test
+    truth = test.select("doc_id", F.concat(F.lit("__label__"), F.col("label")).alias("truth"))
+
+    def accuracy(pred):
+        return pred.join(truth, "doc_id").select(F.avg((F.col("prediction") == F.col("truth")).cast("double"))).first()[0]
+
+    nb = fit_nb(train, "label", "words_arr")
+    nb_acc = accuracy(score_nb(nb, test, "doc_id", "words_arr", "words"))
+    vocab = aggregate.vocabulary(train, "words_arr")
+    lr = linear.fit_lr(linear.restrict_to_vocabulary(train, "doc_id", "words_arr", vocab, carry=("label",)),
+                       tokens_col="vocab_words")
+    lr_acc = accuracy(linear.predict_lr(lr, linear.restrict_to_vocabulary(test, "doc_id", "words_arr", vocab), "doc_id"))
+    lab.unpersist()
+    assert nb_acc > majority and lr_acc > majority, (nb_acc, lr_acc, majority)
