@@ -1,0 +1 @@
+"""Column expressions: the cleaning chain, tokenizer/lexicon, time/count/link parsing."""

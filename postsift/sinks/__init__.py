@@ -1,0 +1 @@
+"""Writers: CSV, partitioned segment tables, training text."""

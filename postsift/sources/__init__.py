@@ -1,0 +1 @@
+"""Readers: landed API pages (JSON), scraped HTML lists, CSV tables with declared schemas."""
