@@ -75,3 +75,26 @@ def test_high_water_mark_is_the_batch_cursor(spark):
     df = spark.createDataFrame([(i,) for i in range(10)], "tweet_id long")
     assert ingest.high_water_mark(df, "tweet_id", 4).count() == 5
     assert ingest.high_water_mark(df, "tweet_id", None).count() == 10
+
+
+def test_watermark_dedup_keeps_everything_when_landed_in_time_order(spark):
+    """The bounded-state mode (exact=False) is exact when landings arrive in event-time
+    order; a repeated id inside the watermark delay is still dropped."""
+    ev = (spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+          .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("event_time")))
+    land = tempfile.mkdtemp(prefix="land-", dir="/tmp")
+    bounds = ev.selectExpr("percentile_approx(event_id, array(0.33, 0.66)) AS b").first()["b"]
+    cuts = [-1, bounds[0], bounds[1], 10**12]
+    for i in range(3):                           # three landings, oldest first
+        part = ev.filter((F.col("event_id") > cuts[i]) & (F.col("event_id") <= cuts[i + 1]))
+        if i == 2:
+            part = part.unionByName(part.limit(5))   # repeated ids inside the last landing
+        part.coalesce(1).write.parquet(f"{land}/l{i}")
+    schema = ev.schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(land))
+    out, ck = tempfile.mkdtemp(prefix="out-", dir="/tmp"), tempfile.mkdtemp(prefix="ck-", dir="/tmp")
+    ingest.run_available(ingest.dedup_stream(stream, "event_id", "event_time", "1 day", exact=False), out, ck)
+    got = spark.read.schema(schema).parquet(out)
+    assert got.count() == ev.count()
+    assert got.select("event_id").distinct().count() == ev.count()
