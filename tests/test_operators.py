@@ -214,3 +214,20 @@ def test_models_beat_majority_on_held_out_labels(spark):
     lr_acc = accuracy(linear.predict_lr(lr, linear.restrict_to_vocabulary(test, "doc_id", "words_arr", vocab), "doc_id"))
     lab.unpersist()
     assert nb_acc > majority and lr_acc > majority, (nb_acc, lr_acc, majority)
+
+
+def test_union_fill_cast_strict(spark):
+    import pytest
+    from postsift.operators import union
+    a = spark.createDataFrame([(1, "x", 5.0)], "`Unnamed: 0` long, name string, followers double")
+    b = spark.createDataFrame([(None, "y")], "user_id string, name string")
+    u = union.union_by_name([a, b], sort_columns=True)
+    assert u.columns == sorted(u.columns)                       # L3: code-point order
+    u = filters.drop_unnamed(union.fill_zero(u, ["followers", "user_id"]))
+    assert "Unnamed: 0" not in u.columns
+    assert sorted((r.name, r.followers) for r in u.collect()) == [("x", 5.0), ("y", 0.0)]
+    ok = union.cast_columns(spark.createDataFrame([("7",)], "user_id string"), {"user_id": "bigint"}, strict=True)
+    assert ok.first().user_id == 7
+    bad = union.cast_columns(spark.createDataFrame([(None,)], "user_id string"), {"user_id": "bigint"}, strict=True)
+    with pytest.raises(Exception):
+        bad.collect()
