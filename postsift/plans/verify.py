@@ -24,7 +24,7 @@ def _norm(v):
             return "NaN"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return round(v, 9)
+        return repr(v)          # exact: the driver hashes values, so no tolerance here
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
