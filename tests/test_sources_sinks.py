@@ -98,3 +98,14 @@ def test_watermark_dedup_keeps_everything_when_landed_in_time_order(spark):
     got = spark.read.schema(schema).parquet(out)
     assert got.count() == ev.count()
     assert got.select("event_id").distinct().count() == ev.count()
+
+
+def test_cluster_for_write_splits_a_hot_key(spark):
+    """A key holding most rows spans several write tasks after range clustering."""
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, id long")
+    c = csv_files.cluster_for_write(df, "key", ["id"], n=8)
+    parts = c.select("key", F.spark_partition_id().alias("p"))
+    hot_parts = parts.filter("key = 'hot'").select("p").distinct().count()
+    assert hot_parts >= 4
+    assert c.count() == len(rows)
