@@ -3,11 +3,12 @@ with production parameters.  The operators are general; digest columns are deriv
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..plans.tables import table
+from . import sentencepiece_codec
 from .jaccard_join import jaccard_components
 
+TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
+PIECE_MODEL = "piece_bpe_32k.model"
 OP10 = dict(num=90, den=100)
 
 
@@ -15,6 +16,17 @@ def op10_jaccard_join(spark, sf):
     return jaccard_components(table(spark, sf, "documents"), **OP10).select("doc_id", "n_shingles", "component_id")
 
 
+def tokenizer_path(name: str) -> str:
+    import importlib
+    return importlib.import_module(TOKENIZERS).path(name)
+
+
+def op6_sentencepiece(spark, sf):
+    model = sentencepiece_codec.load_model(tokenizer_path(PIECE_MODEL))
+    return sentencepiece_codec.encode_digests(table(spark, sf, "documents"), model)
+
+
 QUERIES = {
+    "op6_sentencepiece": op6_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
 }
