@@ -4,7 +4,7 @@ with production parameters.  The operators are general; digest columns are deriv
 from __future__ import annotations
 
 from ..plans.tables import table
-from . import sentencepiece_codec
+from . import language_id, sentencepiece_codec
 from .jaccard_join import jaccard_components
 
 TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
@@ -26,7 +26,12 @@ def op6_sentencepiece(spark, sf):
     return sentencepiece_codec.encode_digests(table(spark, sf, "documents"), model)
 
 
+def op8_language_id(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op8_language_id": op8_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
 }
