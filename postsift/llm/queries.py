@@ -3,12 +3,16 @@ with production parameters.  The operators are general; digest columns are deriv
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.tables import table
-from . import language_id, sentencepiece_codec
+from . import language_id, mixing, sentencepiece_codec, sharding
 from .jaccard_join import jaccard_components
 
 TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
 PIECE_MODEL = "piece_bpe_32k.model"
+SHARDS = 40
+SOURCE_WEIGHTS = (5, 2, 1)
 OP10 = dict(num=90, den=100)
 
 
@@ -30,7 +34,18 @@ def op8_language_id(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))
 
 
+def op2_sharding(spark, sf):
+    out = sharding.shard(table(spark, sf, "documents"), [1.0] * SHARDS, more_weights=[1.0])
+    return out.withColumn("law", F.lit("key"))
+
+
+def op4_source_mixing(spark, sf):
+    return mixing.Mix(table(spark, sf, "documents"), SOURCE_WEIGHTS).taken()
+
+
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_source_mixing": op4_source_mixing,
     "op8_language_id": op8_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
