@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import language_id, mixing, sentencepiece_codec, sharding
+from . import language_id, mixing, pii, quality, secrets, sentencepiece_codec, sharding
 from .jaccard_join import jaccard_components
 
 TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
@@ -43,7 +43,22 @@ def op4_source_mixing(spark, sf):
     return mixing.Mix(table(spark, sf, "documents"), SOURCE_WEIGHTS).taken()
 
 
+def op1_pii(spark, sf):
+    return pii.digests(table(spark, sf, "documents"))
+
+
+def op3_quality_rules(spark, sf):
+    return quality.judge(table(spark, sf, "documents"))
+
+
+def op9_secrets(spark, sf):
+    return secrets.digests(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_quality_rules": op3_quality_rules,
+    "op9_secrets": op9_secrets,
     "op2_sharding": op2_sharding,
     "op4_source_mixing": op4_source_mixing,
     "op8_language_id": op8_language_id,
