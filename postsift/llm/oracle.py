@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from .licenses import DEN, NUM, TEMPLATES
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 OP10 = f"""
@@ -31,6 +33,47 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles,
 FROM s
 """
 
+OP5 = """
+WITH c AS (
+  SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS bits
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+         len(list_filter(range(1, 65), lambda i: q.bits[i] <> c.bits[i]))::INTEGER AS distance
+  FROM c q, c WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM d
+)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+_values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+_bigrams = ("list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))")
+_words = f"regexp_extract_all(translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[a-z0-9]+')"
+OP7 = f"""
+WITH t AS (
+  SELECT name, {_bigrams.format("ws")} AS b FROM (SELECT name, {_words.format("body")} AS ws FROM (VALUES {_values}) v(name, body))
+), u AS (
+  SELECT DISTINCT doc_id, unnest(list_concat([text], list_concat(
+    regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n'), string_split(text, chr(10))))) AS unit FROM documents
+), a AS (
+  SELECT doc_id, {_bigrams.format("ws")} AS a FROM (SELECT doc_id, unit, {_words.format("unit")} AS ws FROM u) WHERE len(ws) > 1
+), m AS (
+  SELECT a.doc_id, a.a, t.name, len(list_intersect(a.a, t.b)) AS shared, len(a.a) + len(t.b) AS sizes FROM a JOIN t
+  ON len(a.a) * {NUM} <= len(t.b) * {2 * DEN - NUM} AND len(t.b) * {NUM} <= len(a.a) * {2 * DEN - NUM}
+), hit AS (
+  SELECT doc_id, a, name, 2.0::DOUBLE * shared / sizes AS score FROM m WHERE 2 * shared * {DEN} >= {NUM} * sizes
+), best AS (
+  SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS nth FROM hit
+)
+SELECT d.doc_id, best.name AS license, best.score AS score,
+       (SELECT count(*) FROM (SELECT DISTINCT u.unit FROM u JOIN (SELECT doc_id, a FROM hit) h ON h.doc_id = u.doc_id
+         AND h.a = (SELECT {_bigrams.format("ws")} FROM (SELECT {_words.format("u.unit")} AS ws)) WHERE u.doc_id = d.doc_id))::BIGINT AS n_units
+FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id AND best.nth = 1
+"""
+
 ORACLE = {
+    "op5_topk_search": OP5,
+    "op7_license_scan": OP7,
     "op10_jaccard_join": OP10,
 }

@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import language_id, mixing, pii, quality, secrets, sentencepiece_codec, sharding
+from . import binary_search, language_id, licenses, mixing, pii, quality, secrets, sentencepiece_codec, sharding
 from .jaccard_join import jaccard_components
 
 TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
 PIECE_MODEL = "piece_bpe_32k.model"
 SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
+QUERY_STEP, TOP_K, CODE_BITS = 50, 10, 64
 OP10 = dict(num=90, den=100)
 
 
@@ -55,7 +56,18 @@ def op9_secrets(spark, sf):
     return secrets.digests(table(spark, sf, "documents"))
 
 
+def op5_topk_search(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return binary_search.search(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0), k=TOP_K, bits=CODE_BITS)
+
+
+def op7_license_scan(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op5_topk_search": op5_topk_search,
+    "op7_license_scan": op7_license_scan,
     "op1_pii": op1_pii,
     "op3_quality_rules": op3_quality_rules,
     "op9_secrets": op9_secrets,
