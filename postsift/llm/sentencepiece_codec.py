@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
 import struct
 from functools import lru_cache
@@ -31,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"              # the escaped space
-REMEMBERED_WORDS = 120_000   # of each of the two generations of a worker's table
+REMEMBERED_WORDS = 200_000   # of each of the two generations of a worker's table
 MAX_MODEL_BYTES = 64 << 20   # a model over this is refused, as it travels with each task
+_NO_RANK = 1 << 30
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -97,6 +97,9 @@ class CharacterMap:
         return found[0], self.values[found[1]:end].decode("utf-8")
 
 
+_runs = re.compile(MARK + r"*[^\W\d_]+|[^\W_]+|[\W_]").findall
+
+
 def _jump(unit: int) -> int:
     return (unit >> 10) << ((unit & 512) >> 6)
 
@@ -121,6 +124,8 @@ class Codec:
                 own = dict(_fields(value))
                 charmap = own.get(2, b"")
                 self.dummy_prefix, self.trim, self.escape = bool(own.get(3, 1)), bool(own.get(4, 1)), bool(own.get(5, 1))
+        if any(len(p) > 255 for p, _, _ in pieces):
+            raise ValueError("pieces of over 255 characters are not supported")
         if kind != 2 or not fallback or any(k in (USER_DEFINED, UNUSED) for _, _, k in pieces):
             raise ValueError("a BPE model with byte fallback and without user-defined or unused pieces is needed")
         self.map = CharacterMap(charmap)
@@ -140,6 +145,9 @@ class Codec:
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in long))
         cls = re.escape(alone)
         self.words = re.compile((f"[{cls}]|" if alone else "") + f"{MARK}*[^{MARK}{cls}]+|{MARK}+").findall
+        self.neighbours = {pair for p in long for pair in zip(p, p[1:])}
+        self.numerals = [str(i) for i in range(len(pieces))]
+        self.surfaces = [p.replace(MARK, " ") if k == NORMAL else None for p, _, k in pieces]
         self.young: dict = {}
         self.old: dict = {}
 
@@ -204,21 +212,19 @@ class Codec:
         s = list(word)
         if len(s) > 48:
             return self._merge_long(s)
-        pairs = [rank(s[i] + s[i + 1]) for i in range(len(s) - 1)]
-        while True:
-            best = None
-            for r in pairs:
-                if r is not None and (best is None or r < best):
-                    best = r
-            if best is None:
-                return s
+        pairs = [rank(a + b, _NO_RANK) for a, b in zip(s, s[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == _NO_RANK:
+                break
             i = pairs.index(best)
-            s[i:i + 2] = [s[i] + s[i + 1]]
+            s[i] += s.pop(i + 1)
             del pairs[i]
             if i:
-                pairs[i - 1] = rank(s[i - 1] + s[i])
+                pairs[i - 1] = rank(s[i - 1] + s[i], _NO_RANK)
             if i < len(pairs):
-                pairs[i] = rank(s[i] + s[i + 1])
+                pairs[i] = rank(s[i] + s[i + 1], _NO_RANK)
+        return s
 
     def _merge_long(self, s: list[str]) -> list[str]:
         """The same by a heap over a linked list, for words of any length."""
@@ -242,8 +248,13 @@ class Codec:
 
     def word(self, word: str) -> tuple[tuple, tuple]:
         """Ids of a word's pieces, and the normalised characters that each uses up."""
+        pieces = self.merge(word)
+        try:
+            return tuple([self.ids[p] for p in pieces]), tuple(map(len, pieces))
+        except KeyError:
+            pass
         ids, used = [], []
-        for p in self.merge(word):
+        for p in pieces:
             i = self.ids.get(p)
             if i is not None:
                 ids.append(i)
@@ -254,41 +265,67 @@ class Codec:
                 used.extend([0] * (len(raw) - 1) + [1])
         return tuple(ids), tuple(used)
 
-    def remembered(self, word: str) -> tuple:
-        """(ids, used, ids as text, decoded text) of a word."""
+    def stretches(self, word: str) -> list[str]:
+        """A word cut between letters and other characters, where no piece has the two
+        characters at the cut next to each other: no merge can cross there."""
+        runs = _runs(word)
+        if len(runs) < 2:
+            return runs
+        out, pairs = runs[:1], self.neighbours
+        for r in runs[1:]:
+            if (out[-1][-1], r[0]) in pairs:
+                out[-1] += r
+            else:
+                out.append(r)
+        return out
+
+    def learn(self, word: str) -> tuple[str, bytes, str]:
+        """(ids as text, characters used by each piece, decoded text) of a new word, which
+        is remembered."""
         got = self.old.get(word)
         if got is None:
-            ids, used = self.word(word)
-            got = ids, used, ",".join(map(str, ids)), self.plain(ids)
-        if len(self.young) >= REMEMBERED_WORDS:
-            self.old, self.young = self.young, {}
+            own = self.stretches(word)
+            if len(own) == 1:
+                ids, used = self.word(word)
+                got = ",".join([self.numerals[i] for i in ids]), bytes(used), self.plain(ids)
+            else:
+                young = self.young
+                texts, used, plain = zip(*[young.get(o) or self.learn(o) for o in own])
+                got = ",".join(texts), b"".join(used), "".join(plain)
         self.young[word] = got
         return got
 
-    def parts(self, text: str) -> tuple[list[tuple], np.ndarray]:
+    def parts(self, text: str) -> tuple[tuple, tuple, tuple, np.ndarray]:
+        """The texts of the ids, the characters used and the decoded texts of all words,
+        and the source bytes of the normalised text."""
         norm, ends = self.normalise(text)
-        out, seen = [], self.young
-        for w in self.words(norm):
-            got = seen.get(w)
-            if got is None:
-                got = self.remembered(w)
-                seen = self.young
-            out.append(got)
-        return out, ends
-
-    def spans(self, parts: list[tuple], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = self.words(norm)
+        if not words:
+            return (), (), (), ends
+        if len(self.young) >= REMEMBERED_WORDS:
+            self.old, self.young = self.young, {}
+        for w in set(words).difference(self.young):
+            self.learn(w)
+        return *zip(*map(self.young.__getitem__, words)), ends
+
+    @staticmethod
+    def spans(used: tuple, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Source bytes of each piece: begins and ends."""
-        used = np.fromiter(itertools.chain.from_iterable(p[1] for p in parts), np.int64)
-        last = np.cumsum(used)
-        return ends[last - used], ends[last]
+        n = np.frombuffer(b"".join(used), np.uint8)
+        last = np.cumsum(n, dtype=np.int64)
+        return ends[last - n], ends[last]
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        parts, ends = self.parts(text)
-        return [i for p in parts for i in p[0]], *self.spans(parts, ends)
+        texts, used, _, ends = self.parts(text)
+        return [int(i) for t in texts for i in t.split(",")], *self.spans(used, ends)
 
     # ---- decoding
     def plain(self, ids) -> str:
         """Text of pieces in a row, the space of a dummy prefix included."""
+        try:
+            return "".join([self.surfaces[i] for i in ids])
+        except TypeError:       # a piece that is not of the normal kind
+            pass
         out, raw = [], bytearray()
         for i in ids:
             kind = self.kinds[i]
@@ -395,12 +432,12 @@ def encode_digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col
         for b in batches:
             n, ids_hex, decoded_hex, spans_hex = [], [], [], []
             for t in b.column(1):
-                parts, ends = codec.parts(t.as_py() or "")
-                begin, end = codec.spans(parts, ends)
+                texts, used, plain, ends = codec.parts(t.as_py() or "")
+                begin, end = codec.spans(used, ends)
                 n.append(len(begin))
-                first = itertools.chain.from_iterable(p[0] for p in parts)
-                decoded = codec.strip_prefix("".join([p[3] for p in parts]), first)
-                ids_hex.append(hashlib.sha256(",".join([p[2] for p in parts]).encode()).hexdigest())
+                first = (int(i) for x in texts for i in x.split(","))
+                decoded = codec.strip_prefix("".join(plain), first)
+                ids_hex.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
                 decoded_hex.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 spans_hex.append(hashlib.sha256(np.column_stack([begin, end]).astype("<i8").tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()),
