@@ -51,8 +51,8 @@ RULES: dict[str, Callable[[pd.DataFrame], np.ndarray]] = {
     "length": lambda s: _votes(s.n_words >= 50, s.n_words < MIN_WORDS),
     "word_length": lambda s: _votes((r := _ratio(s.word_chars, s.n_words)).between(3, 10), (r < 2) | (r > 14)),
     "symbols": lambda s: _votes((r := _ratio(s.n_symbols, s.word_chars)) < 0.01, r > 0.05),
-    "dup_lines": lambda s: _votes((r := _ratio(s.n_dup_lines, s.n_lines)) < 0.05, r > 0.3),
-    "repeats": lambda s: _votes((r := _ratio(s.n_repeat_words, s.n_words)) < 0.05, r > 0.2),
+    "dup_lines": lambda s: _votes((r := _ratio(s.n_dup_lines, s.n_lines)) < 0.05, r > 0.4),
+    "repeats": lambda s: _votes((r := _ratio(s.n_repeat_words, s.n_words)) < 0.05, r > 0.25),
     "letters": lambda s: _votes((r := _ratio(s.n_letters, s.word_chars)) > 0.9, r < 0.7),
     "stop_words": lambda s: _votes((r := _ratio(s.n_stop, s.n_words)) > 0.05, (r < 0.005) & (s.n_words >= 30)),
     "upper_case": lambda s: _votes((r := _ratio(s.n_upper, s.n_letters)) < 0.2, r > 0.4),
