@@ -30,12 +30,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
 from .hashing import U, mix, set_key, shingle_set
-from .scratch import Scratch
+from .scratch import Scratch, runtime_filters
 
 GROUP_TOKENS = 1 << 17      # tokens in one group of the matrix (8 bytes each)
 QUERY_TOKENS = 1 << 19      # tokens of the queries that meet a group in one call
@@ -116,11 +116,31 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "cid long, tokens array<long>")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
+    """Edges of a spanning forest of the given ones."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = [], []
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            up[max(rx, ry)] = min(rx, ry)
+            out[0].append(x)
+            out[1].append(y)
+    return out
+
+
 def open_group(num: int, den: int):
-    """Function of one group's classes and a part of its queries: for each query, one row
-    per star with a class that links with it."""
+    """Function of one group's classes and a part of its queries: edges that join the
+    stars of linked classes (a spanning forest of them)."""
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out_x, out_star = [], []
+        stars_a, stars_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(members) and len(queries):
             sizes = members["n"].to_numpy()
             cids, stars = members["cid"].to_numpy(), members["star"].to_numpy()
@@ -132,7 +152,7 @@ def open_group(num: int, den: int):
                 own = np.asarray(own)
                 lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
                 seen = hi - lo
-                # the union of the other classes; smaller classes ask only about themselves
+                # overlap with the union of the other classes bounds that with each of them
                 others = seen - (1 if (cids == x).any() else 0)
                 if den * np.count_nonzero(others > 0) < num * n:
                     continue
@@ -140,10 +160,11 @@ def open_group(num: int, den: int):
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(seen)[:-1]]), seen) + np.arange(seen.sum())
                 both = np.bincount(owner[at], minlength=len(sizes))
                 links = (den * both >= num * (sizes + n - both)) & (stars != star)
-                for other in np.unique(stars[links]):
-                    out_x.append(x)
-                    out_star.append(other)
-        return pd.DataFrame({"a": np.array(out_x, "int64"), "b": np.array(out_star, "int64")})
+                linked = np.unique(stars[links])
+                stars_a.append(np.full(len(linked), star))
+                stars_b.append(linked)
+        a, b = _forest(np.concatenate(stars_a), np.concatenate(stars_b))
+        return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
 
     return run
 
@@ -160,46 +181,55 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, scratch: Scratch, num: i
     who = (signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("id"), F.max("n").alias("n"))
            .join(led, "cid"))
     who = scratch.keep(who, "who")
-    ids = who.select(F.col("id").alias("wid")).distinct()
-    texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
-    wanted = token_sets(texts).join(who.select("cid"), "cid", "left_semi")
-    sets = scratch.keep(wanted.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
-
-    # classes that link with their leader
-    pairs = who.filter("cid <> leader").select("cid", "n", "leader")
-    heads = sets.join(pairs.select(F.col("leader").alias("cid")).distinct(), "cid", "left_semi")
-    heads = heads.select(F.col("cid").alias("leader"), F.col("tokens").alias("head"))
+    ids = who.filter("n > 0").select(F.col("id").alias("wid"))
+    with runtime_filters(docs.sparkSession):
+        texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
+        got = token_sets(texts).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+        sets = scratch.keep(who.drop("id").join(got, "cid"), "sets")
+
+    # classes that link with their leader become its star
+    heads = who.filter("cid <> leader").select("leader").distinct()
+    heads = (sets.select(F.col("cid").alias("leader"), F.col("tokens").alias("head")).join(heads, "leader", "left_semi"))
     both = F.size(F.array_intersect("tokens", "head")).cast("long")
     union = F.col("n") + F.size("head") - both
-    stars = (pairs.join(heads, "leader").join(sets, "cid")
-             .select("cid", F.when(both * den >= union * num, F.col("leader")).alias("star")))
-    mem = who.join(stars, "cid", "left").select("cid", "n", "leader", F.coalesce("star", "cid").alias("star"))
-
-    # groups of bounded token mass
+    star = F.when((F.col("cid") != F.col("leader")) & (both * den >= union * num), F.col("leader")).otherwise(F.col("cid"))
     mass = who.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
-    mem = mem.join(mass, "leader").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).drop("parts")
+    part = F.pmod(F.xxhash64("cid"), F.col("parts"))
+    mem = (sets.join(heads, "leader", "left").join(mass, "leader")
+           .select("cid", "n", "leader", star.alias("star"), part.alias("part"), "tokens"))
     mem = scratch.keep(mem, "members")
+    scratch.drop(sets)
 
     # queries: x meets a group that has a class of another star in a shared slice
-    placed = near.select("sig", "cid").join(mem, "cid")
+    placed = near.select("sig", "cid").join(mem.drop("tokens"), "cid")
     cells = placed.groupBy("sig", "leader", "part").agg(F.min("star").alias("s0"), F.max("star").alias("s1"))
     asks = (placed.select("sig", "cid", "star", "n").join(cells, "sig")
             .filter((F.col("s0") != F.col("star")) | (F.col("s1") != F.col("star")))
             .select("cid", "star", "n", "leader", "part").distinct())
     asks = scratch.keep(asks, "asks")
+    scratch.drop(near)
     loads = asks.groupBy("leader", "part").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals"))
     loads = loads.select(F.col("leader").alias("gl"), F.col("part").alias("gp"), "deals")
     here = (F.col("leader") == F.col("gl")) & (F.col("part") == F.col("gp"))
-    q = (asks.join(loads, here).join(sets, "cid")
+    q = (asks.join(loads, here).join(mem.select("cid", "tokens"), "cid")
          .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "tokens"))
-    m = (mem.join(loads, here).join(sets, "cid")
+    m = (mem.join(loads, here)
          .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "tokens"))
     m = m.toDF("ml", "mp", "md", "cid", "star", "n", "tokens")
     q = q.toDF("ql", "qp", "qd", "x", "xstar", "xn", "xtokens")
     found = (m.groupBy("ml", "mp", "md").cogroup(q.groupBy("ql", "qp", "qd"))
              .applyInPandas(open_group(num, den), "a long, b long"))
     edges = mem.filter("star <> cid").select(F.col("cid").alias("a"), F.col("star").alias("b")).unionByName(found)
-    return connected(edges, scratch)
+    out = connected(edges, scratch)
+    scratch.drop(who, mem, asks)
+    return out
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The signed sets, and (node, root) of the linked classes."""
+    signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den), "signed")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return signed, scratch.keep(_classes_linked(plain, signed, scratch, num, den), "roots")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -214,9 +244,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den), "signed")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    roots = scratch.keep(_classes_linked(plain, signed, scratch, num, den), "roots")
+    signed, roots = _components(docs, id_col, text_col, num, den, scratch)
     classes = signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("least"))
     linked = roots.join(classes, roots["node"] == classes["cid"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -226,3 +254,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = signed.select("id", "n", "cid").join(of_class, F.col("cid") == F.col("key"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 90, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group of linked documents
+    does: the one with the smallest id (null ids last, the smallest text on ties).  Rows
+    without words are linked with nothing and all stay; columns stay as they are."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    signed, roots = _components(docs, id_col, text_col, num, den, scratch)
+    rows = signed.filter(F.col("cid").isNotNull()).select("id", "cid").join(roots, F.col("cid") == F.col("node"), "left")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "cid")
+    first = (rows.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min(rank).alias("w"))
+             .select(F.col("w.id").alias("wid"), F.col("w.cid").alias("wcid")))
+    first = scratch.keep(first, "first")
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        sets = [shingle_set(t) for t in texts]
+        return pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
+
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key(F.col(text_col)).alias("cid"))
+    # one shuffle of the texts serves the join and the choice among repeated rows
+    mine = keyed.join(first, keyed["id"].eqNullSafe(first["wid"]) & (keyed["cid"] == first["wcid"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "cid").orderBy(F.col("row")[text_col]))
+    kept = mine.withColumn("nth", nth).filter("nth = 1").select("row")
+    return kept.unionByName(keyed.filter(F.col("cid").isNull()).select("row")).select("row.*")

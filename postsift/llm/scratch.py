@@ -7,6 +7,8 @@ that no later plan reads any more.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -28,3 +30,25 @@ class Scratch:
             _, path = self.paths.pop(id(t))
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+# Spark's own Bloom filter on the large side of a shuffled join, also for scans that are
+# smaller than its default asks for.  The filter's size is bounded by Spark.
+RUNTIME_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+}
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession):
+    """Plans that are run inside use runtime filters; the session's settings come back."""
+    before = {k: spark.conf.get(k, None) for k in RUNTIME_FILTER}
+    try:
+        for k, v in RUNTIME_FILTER.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
