@@ -19,10 +19,12 @@ Only the table of sources (name and size) goes through the driver; it is refused
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,12 +147,13 @@ def placed(docs: DataFrame, numbers: DataFrame, carry: Sequence[str] = ()) -> Da
     """Rows of ``docs`` (id, source, size, carry) with src and start, the first word's
     number in the source's stream.  Documents without words get a start too, which the
     next document shares."""
+    tie = [F.xxhash64(*carry)] if carry else []
     d = docs.join(numbers, docs["source"].eqNullSafe(numbers["name"]))
     d = d.withColumn("order", F.xxhash64("id", "size", "src")).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (d.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
               .select("src", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first")))
-    inside = Window.partitionBy("src", "bucket").orderBy("order", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "bucket").orderBy("order", "id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(firsts, ["src", "bucket"])
     return d.withColumn("start", (F.col("first") + F.col("inside")).cast("long")).drop("name", "order", "bucket", "first", "inside")
 
@@ -166,6 +169,33 @@ def pieces(starts: DataFrame, block_words: int) -> DataFrame:
                        F.least((F.col("block") + 1) * block_words - F.col("start"), "size").alias("to_word"))
 
 
+_spans = re.compile(WORD).finditer
+
+
+def copies(text: str, words: int, drawn: list[tuple[int, int, int]]) -> list[str]:
+    """The texts that a mix takes of one document of ``words`` words.  ``drawn``:
+    (from_word, to_word, times) of its pieces, in any order.  Copy c holds the pieces that are taken at least c times;
+    a stretch of words is cut out of the text as it stands, stretches are joined by line
+    ends, and a copy of all words is the text itself."""
+    drawn = sorted(drawn)
+    out, spans = [], None
+    for c in range(1, max((t for *_, t in drawn), default=0) + 1):
+        runs = []
+        for a, b, t in drawn:
+            if t >= c:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+        if runs == [[0, words]]:
+            out.append(text)
+            continue
+        if spans is None:
+            spans = [m.span() for m in _spans(text)]
+        out.append("\n".join(text[spans[a][0]:spans[b - 1][1]] for a, b in runs))
+    return out
+
+
 def word_count(text_col: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -199,3 +229,30 @@ class Mix:
         out = full.unionByName(starts.filter("size = 0").withColumn("taken", F.lit(None).cast("long")))
         return out.select(F.col("id").alias(self.id_col), "size", "source_size", "target",
                           F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+    def documents(self, length_col: str = "n_chars") -> DataFrame:
+        """The mixed corpus with the columns of ``docs``: one row for each copy of a
+        document (see ``copies``), its length in ``length_col`` if there is one.  Documents
+        of which nothing is taken, and those without words, are left out."""
+        cols = self.docs.columns
+        row = F.struct(*[F.col(c) for c in cols])
+        docs = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.source_col).cast("string").alias("source"),
+                                word_count(self.text_col).alias("size"), row.alias("row")).filter("size > 0")
+        starts = placed(docs, self.numbers, carry=["row"])
+        narrow = self.scratch.keep(placed(self.rows.filter("size > 0").withColumn("row", F.lit(0)), self.numbers), "starts")
+        drawn = (pieces(narrow, self.block_words).join(self.takes(), ["src", "block"])
+                 .groupBy("src", "start").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("drawn")))
+        j = starts.select("src", "start", "size", "row").join(drawn, ["src", "start"])
+        i = cols.index(self.text_col)
+
+        @F.pandas_udf("array<string>")
+        def cut(texts: pd.Series, sizes: pd.Series, drawn: pd.Series) -> pd.Series:
+            return pd.Series([copies(t, n, [(x["from_word"], x["to_word"], x["times"]) for x in d]) for t, n, d in zip(texts, sizes, drawn)],
+                             dtype=object)
+
+        out = j.select("row", cut(F.col("row")[self.text_col], F.col("size"), F.col("drawn")).alias("copies"))
+        out = out.select("row", F.explode("copies").alias("copy"))
+        new = {cols[i]: F.col("copy")}
+        if length_col in cols:
+            new[length_col] = F.length("copy").cast(self.docs.schema[length_col].dataType)
+        return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in cols])
