@@ -27,8 +27,8 @@ BUCKETS = 1 << 15            # of hashed n-grams
 MAX_LANGUAGES = 256          # bounds the count table (BUCKETS x MAX_LANGUAGES) and codewords
 MAX_EXHAUSTIVE = 5           # up to here every split of the languages is a bit
 SMOOTHING = 0.5
-SHARPNESS = 20.0             # margin per n-gram to loss
-AMBIGUOUS_GAP = 0.15         # of the losses of the two nearest codewords
+SHARPNESS = 2.0              # margin per n-gram to loss
+AMBIGUOUS_GAP = 0.1          # of the losses of the two nearest codewords
 PIECE_CHARS = 1 << 18        # n-grams are counted in pieces of a text of this length
 UNDETERMINED = "und"
 
