@@ -51,29 +51,32 @@ def row_number_in(keys: Sequence[str], order: Sequence) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order)))
 
 
-def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, total: int,
-                tree: bool = False) -> DataFrame:
+SALTS = 32                     # parts in which a key is capped before it is capped as a whole
+LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, total: int) -> DataFrame:
     """At most ``total`` rows per key in ``order``; ``total <= 0`` = unlimited.
 
-    ``row_number() <= total`` is planned with a map-side WindowGroupLimit, so each of the
-    M map tasks forwards at most ``total`` rows per key: a hot key's reducer still gets up
-    to ``total * M`` rows.  ``tree=True`` adds one level: rows are salted by their map
-    partition (``spark_partition_id() % S``, S ≈ √M), capped per (key, salt) — each such
-    reducer gets at most ``total * M / S`` rows — and the S·``total`` survivors of a key
-    are capped again.  Exact: the top rows of a key are among the top rows of its parts.
+    Two levels, whatever the input: rows are salted by a hash of their order columns and
+    capped per (key, salt), then the at most ``SALTS * total`` survivors of a key are capped
+    again.  Exact: the top rows of a key are among the top rows of its parts.  Both levels
+    are ``row_number() <= total``, which Spark plans with a limit below the shuffle, so a map
+    task forwards at most ``total`` rows per key and salt.  Spark does so up to the session's
+    ``windowGroupLimitThreshold`` (default 1000); a larger ``total`` raises that setting.
+
+    Only the columns of ``df`` travel: cap narrow rows and join wide columns back.
     ``order`` must be a total order within a key."""
     if total is None or total <= 0:
         return df
-    rn = "_rn"
-    if tree:
-        import math
-        m = df.rdd.getNumPartitions()
-        s = max(1, int(math.ceil(math.sqrt(m))))
-        if s > 1:
-            df = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(s)))
-            df = (df.withColumn(rn, row_number_in([*keys, "_salt"], order)).filter(F.col(rn) <= total)
-                    .drop(rn, "_salt"))
-    return df.withColumn(rn, row_number_in(keys, order)).filter(F.col(rn) <= total).drop(rn)
+    conf = df.sparkSession.conf
+    if int(conf.get(LIMIT_CONF, "1000")) < total:
+        conf.set(LIMIT_CONF, str(total))
+    order = _cols(order)
+    plain = [c for c in df.columns if c not in keys]
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(*(plain or keys)), F.lit(SALTS)))
+    df = df.withColumn("_rn", row_number_in([*keys, "_salt"], order)).filter(F.col("_rn") <= total).drop("_rn", "_salt")
+    return df.withColumn("_rn", row_number_in(keys, order)).filter(F.col("_rn") <= total).drop("_rn")
 
 
 def newest_first(id_col: str = "tweet_id") -> list[Column]:

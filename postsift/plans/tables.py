@@ -10,33 +10,21 @@ from ..session import scratch_path
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-# Inputs below this size may arrive as a handful of row groups (one task each); CPU-heavy
-# text work on them is spread over the cores with a round-robin repartition.  Above it the
-# scan already yields one task per row group / split and no shuffle is added.
-SMALL_INPUT_BYTES = 512 << 20
+# Session setting: number of tasks that CPU-heavy text queries deal their input to.  Unset
+# (the default) there is no such shuffle, and a scan gives a task per split or row group.
+# It is for inputs that are stored as a few row groups; it never depends on a size.
+SPREAD_CONF = "spark.postsift.spread"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (from the file listing for a scan)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
-        return -1
-
-
-def spread_for_cpu(df: DataFrame, small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Round-robin a small input over ``defaultParallelism`` tasks before per-row CPU
-    work; large inputs are returned unchanged (their scan is already parallel)."""
-    size = estimated_bytes(df)
-    if 0 <= size < small_bytes:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < n:
-            return df.repartition(n)
-    return df
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """``df`` dealt round-robin to as many tasks as ``spark.postsift.spread`` says, or
+    unchanged when that is unset."""
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ library functions only take and return DataFrames.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the map-side limit of `row_number() <= k` also for the caps of several thousand rows
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -42,22 +45,27 @@ def get_spark(master: str | None = None, app: str = "postsift",
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts and written intermediate tables.
+_local_roots: dict[str, str] = {}
+
 
-    Read from the session (``spark.checkpoint.dir`` or the context's checkpoint dir);
-    only when neither is set — local tests — a private temporary folder is created and
-    registered as the checkpoint dir.
-    """
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder for lineage cuts and written intermediate tables: the context's
+    checkpoint dir, or ``spark.checkpoint.dir``.  On a ``local`` master without either (tests)
+    a private temporary folder stands in; on any other master that would be one folder per
+    machine, so it is an error."""
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="postsift-ckpt-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir() or root
-    return root
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_roots.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="postsift-ckpt-"))
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table under the checkpoint root that no later plan reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -66,9 +74,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/postsift-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(p: str) -> str:
-    """Strip a ``file:`` scheme for local helpers (tests only)."""
-    return p[5:] if p.startswith("file:") else p
-
-
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_spark", "checkpoint_root", "scratch_path", "remove_scratch", "DEFAULT_CONF"]
