@@ -40,7 +40,7 @@ CLEAN_STEPS = [
     ("regex", "&" + HANDLE_CHARS, ""),                           # F6 entity-like runs
     ("literal", ";", ""),                                        # F7
     ("literal", "RT", ""),                                       # F8
-    ("chars", "#?？！!()（）\n", ""),                              # F9-F18
+    ("chars", "#?？!！()（）\n", ""),                              # F9-F18
     ("regex", r"\p{Nd}+", "0"),                                  # F19 digit runs
     ("chars", "、・", ","),                                        # F20-F21
     ("regex", r"\.(?s:..)", ""),                                 # F22 a dot plus two characters
@@ -66,6 +66,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def normalized(c: Column) -> Column:
+    """NFKC of ``c``; ASCII text, which it cannot change, does not travel to Python."""
+    return F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` semantics (Spark's trim only strips U+0020)."""
     return F.regexp_replace(c, STRIP_PATTERN, "")
@@ -84,7 +89,7 @@ def _apply(c: Column, step) -> Column:
     if kind == "strip":
         return strip_ws(c)
     if kind == "nfkc":
-        return nfkc(c)
+        return normalized(c)
     raise ValueError(kind)
 
 

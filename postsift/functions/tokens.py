@@ -122,26 +122,26 @@ def feature_field(feature, i: int) -> Column:
     return F.split(c, ",").getItem(i)
 
 
-def lexicon_join(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame,
-                 keep_pos=None, out_col: str = "words") -> DataFrame:
-    """J6 for a lexicon DataFrame (surface, pos, base) of any size.
-
-    Tokens are exploded with their position, left-joined to the lexicon on the surface
-    (Catalyst/AQE choose broadcast or sort-merge from the measured size), and each row's
-    kept words are regrouped in position order.  A regroup holds one post's tokens only.
-    """
+def lexicon_join(df: DataFrame, tokens_col: str, lexicon: DataFrame, keep_pos=None, out_col: str = "words") -> DataFrame:
+    """J6 for a lexicon DataFrame (surface, pos, base) of any size: ``df`` with ``out_col``.
+
+    The distinct tokens of a post are joined to the lexicon on the surface (the planner and
+    AQE choose how, from measured sizes), and what is found is put together per distinct
+    token array as a map that each row looks its own tokens up in.  So rows are known by
+    their tokens, not by an id, and every row comes back once.  A map holds one post's
+    distinct tokens only."""
     keep = KEEP_POS if keep_pos is None else list(keep_pos)
-    ex = (df.select(id_col, F.posexplode_outer(tokens_col).alias("pos_i", "surface"))
-            .filter(F.col("pos_i").isNotNull()))
+    rows = df.withColumn("_key", F.struct(F.xxhash64(tokens_col), F.size(tokens_col)))
+    ex = rows.select("_key", F.explode(F.array_distinct(tokens_col)).alias("surface")).distinct()
     j = ex.join(lexicon.select("surface", "pos", "base"), "surface", "left")
-    j = (j.withColumn("pos", F.coalesce("pos", default_pos(F.col("surface"))))
-          .withColumn("word", F.when(F.coalesce(F.col("base"), F.lit(NO_BASE)) == NO_BASE, F.col("surface"))
-                      .otherwise(F.col("base")))
-          .filter(F.col("pos").isin(keep)))
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos_i", "word"))).alias("_w"))
-    g = g.select(id_col, F.transform("_w", lambda s: s["word"]).alias(out_col))
-    return (df.join(g, id_col, "left")
-              .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))))
+    pos = F.coalesce("pos", default_pos(F.col("surface")))
+    word = F.when(F.coalesce("base", F.lit(NO_BASE)) == NO_BASE, F.col("surface")).otherwise(F.col("base"))
+    known = (j.filter(pos.isin(keep)).groupBy("_key")
+             .agg(F.map_from_entries(F.collect_set(F.struct(F.col("surface"), word.alias("word")))).alias("_words")))
+    out = rows.join(known, "_key", "left")
+    found = F.transform(F.col(tokens_col), lambda t: F.try_element_at(F.col("_words"), t))
+    words = F.coalesce(F.filter(found, lambda w: w.isNotNull()), F.array().cast("array<string>"))
+    return out.withColumn(out_col, words).drop("_key", "_words")
 
 
 def map_tagger(df: DataFrame, text_col: str, factory, keep_pos=None, out_col: str = "words") -> DataFrame:

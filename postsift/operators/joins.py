@@ -1,16 +1,13 @@
 """Joins that the reference runs as nested loops.
 
-An explicit broadcast is used only after a size check (the keyword dictionary: known
-size of a literal, or a count; over the bound it is split into bounded chunks).  Every
-other data-derived side is left to
-Catalyst + AQE, which broadcast it only after measuring it under
-``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge join, splitting skewed
-partitions (``spark.sql.adaptive.skewJoin.enabled``).
+No side is broadcast by hint: every data-derived side is left to Catalyst + AQE, which
+broadcast it only after measuring it under ``spark.sql.autoBroadcastJoinThreshold`` and
+otherwise sort-merge join, splitting skewed partitions
+(``spark.sql.adaptive.skewJoin.enabled``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,49 +26,56 @@ REFERENCE_KEYWORDS = {
               "ティターン", "OPTIWEB"],
 }
 
-# A dictionary is broadcast whole only below this many entries; larger ones are split
-# into chunks below it (see `keyword_label`).
-MAX_LITERAL_KEYWORDS = 10_000
+MAX_LITERAL_KEYWORDS = 10_000     # entries of a dictionary that is part of the plan
+ANCHOR = 3                        # characters of a keyword that a post is looked up by
 
 
 def keyword_frame(spark: SparkSession, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(category, keyword) rows of a category -> keywords mapping (size: `keyword_count`)."""
+    """(category, keyword) rows of a category -> keywords mapping."""
     rows = [(c, k) for c, kws in mapping.items() for k in kws]
     schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("keyword", T.StringType())])
     return spark.createDataFrame(rows, schema)
 
 
-def keyword_label(posts: DataFrame, keywords: DataFrame, text_col: str = "text",
-                  n_keywords: int | None = None, max_broadcast_rows: int = MAX_LITERAL_KEYWORDS) -> DataFrame:
+def keyword_label(posts: DataFrame, mapping: Mapping[str, Sequence[str]], text_col: str = "text") -> DataFrame:
     """J1 + P13: every (post, category, keyword) whose text contains the keyword.
 
     A post matching several keywords appears once per keyword, as in the reference's
-    per-keyword searches.  The dictionary is broadcast and each post is tested against
-    the keywords in its own task (BroadcastNestedLoopJoin: linear in the posts, no
-    shuffle of posts) — but only after its size is checked: ``n_keywords`` (known for a
-    literal dictionary) or a count.  A dictionary above ``max_broadcast_rows`` is split
-    by hash into chunks below the bound, each chunk broadcast and joined, and the results
-    unioned: still exact, every broadcast bounded, never a cartesian product.
-    """
-    n = keywords.count() if n_keywords is None else n_keywords
-    chunks = max(1, -(-n // max_broadcast_rows))
-
-    def match(kw: DataFrame) -> DataFrame:
-        return posts.join(F.broadcast(kw), F.col(text_col).contains(F.col("keyword")), "inner")
-
-    if chunks == 1:
-        j = match(keywords)
-    else:
-        # chunk sizes are ~n/chunks; the slack keeps each one under the bound
-        chunks = max(chunks, -(-n * 5 // (4 * max_broadcast_rows)))
-        kw = keywords.withColumn("_chunk", F.pmod(F.xxhash64("keyword"), F.lit(chunks)))
-        parts = [match(kw.filter(F.col("_chunk") == c).drop("_chunk")) for c in range(chunks)]
-        j = reduce(lambda a, b: a.unionByName(b), parts)
-    return j.withColumn("label", F.concat(F.lit(LABEL_PREFIX), F.col("category")))
-
-
-def keyword_count(mapping: Mapping[str, Sequence[str]]) -> int:
-    return sum(len(v) for v in mapping.values())
+    per-keyword searches.  The dictionary (a literal of at most ``MAX_LITERAL_KEYWORDS``
+    entries; use `keyword_join` for a table of keywords) is part of the projection: each post
+    is tested in place, with no join and no shuffle."""
+    pairs = [(c, k) for c, kws in mapping.items() for k in kws]
+    if len(pairs) > MAX_LITERAL_KEYWORDS:
+        raise ValueError("use keyword_join for a table of keywords")
+    kind = "array<struct<category:string,keyword:string>>"
+    words = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword")) for c, k in pairs]).cast(kind)
+    hits = F.filter(words, lambda w: F.col(text_col).contains(w["keyword"]))
+    out = posts.select("*", F.explode_outer(hits).alias("_kw")).filter(F.col("_kw").isNotNull())
+    return _labelled(out.select(*posts.columns, "_kw.category", "_kw.keyword"))
+
+
+def keyword_join(posts: DataFrame, keywords: DataFrame, text_col: str = "text") -> DataFrame:
+    """J1 for a table (category, keyword) of any size, in one pass over the posts.
+
+    A keyword is found by its first ``ANCHOR`` characters: the distinct character n-grams of
+    a post are joined to them (an equi-join that AQE splits when an anchor is hot), and what
+    meets is tested with ``contains``.  Shorter keywords are looked up by all their
+    characters.  An empty keyword is contained in every text and is left out."""
+    text = F.col(text_col)
+    keywords = keywords.filter(F.length("keyword") > 0).distinct()
+
+    def grams(n):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    looked = posts.select("*", F.explode_outer(F.array_distinct(F.concat(*map(grams, range(1, ANCHOR + 1))))).alias("_anchor")).filter(F.col("_anchor").isNotNull())
+    kw = keywords.select("category", "keyword", F.substr("keyword", F.lit(1), F.least(F.length("keyword"), F.lit(ANCHOR))).alias("_anchor"))
+    j = looked.join(kw, "_anchor").filter(text.contains(F.col("keyword")))
+    return _labelled(j.select(*posts.columns, "category", "keyword"))
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    return df.withColumn("label", F.concat(F.lit(LABEL_PREFIX), F.col("category")))
 
 
 def user_timeline(posts: DataFrame, users: DataFrame, key: str) -> DataFrame:

@@ -32,16 +32,17 @@ def route(share: Column, followers: Column, threshold: float = SHARE_THRESHOLD,
              .otherwise(SEGMENTS[3]))
 
 
-def segment_users(scored: DataFrame, user_key: str, seq: Sequence[str], first_attrs: Sequence[str],
+def segment_users(scored: DataFrame, user_key: str, newest: Sequence[str], first_attrs: Sequence[str],
                   target: str, followers_col: str, pred_col: str = "prediction",
                   id_col: str = "tweet_id") -> DataFrame:
     """A3 + A4 + M6 in one aggregation per user.
 
-    The first-row attributes (the newest post in the reference's files) are a
-    ``min_by`` over ``seq``; the share counts are conditional counts.  All three are
+    The first-row attributes are those of the newest post, which leads a user's file: a
+    ``max_by`` over ``newest`` (columns that grow with time, such as the id).  The share
+    counts are conditional counts.  All three are
     partial aggregates, so a user with a third of all posts is reduced map-side."""
     pred = F.col(pred_col)
-    first = F.min_by(F.struct(*[F.col(c) for c in first_attrs]), F.struct(*[F.col(c) for c in seq]))
+    first = F.max_by(F.struct(*[F.col(c) for c in first_attrs]), F.struct(*[F.col(c) for c in newest]))
     g = scored.groupBy(user_key).agg(
         first.alias("_first"),
         F.count_if(is_target(pred, target)).alias("n_target"),
