@@ -5,31 +5,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.filters import label_line
+from ..operators.segment import SEGMENTS
 from ..sources.csv_files import cluster_for_write, write_csv
 
-__all__ = ["write_csv", "write_segments", "write_training_text", "training_lines", "write_by_key",
-           "cluster_for_write"]
+__all__ = ["write_csv", "write_segments", "write_training_text", "training_lines", "cluster_for_write"]
 
 
-def write_segments(segmented: DataFrame, path: str, mode: str = "overwrite", tiebreak=()) -> None:
-    """S10 + S13 + S14: one table partitioned by ``segment`` (replaces the reference's
-    four appended files).  ``mode='append'`` reproduces appending.  With ``tiebreak``
-    columns the rows are range-clustered first (`cluster_for_write`)."""
-    if tiebreak:
-        segmented = cluster_for_write(segmented, "segment", tiebreak)
-    (segmented.write.mode(mode).option("partitionOverwriteMode", "static")
+def write_segments(segmented: DataFrame, path: str, mode: str = "overwrite", segments=SEGMENTS) -> None:
+    """S10 + S13 + S14 + S15: one table partitioned by ``segment`` (replaces the reference's
+    four appended files); ``mode='append'`` reproduces appending.  Each of ``segments`` has
+    a directory with the schema, also when it has no rows."""
+    spark = segmented.sparkSession
+    (cluster_for_write(segmented, "segment").write.mode(mode).option("partitionOverwriteMode", "static")
      .partitionBy("segment").parquet(path))
-
-
-def write_by_key(df: DataFrame, path: str, keys, fmt: str = "parquet", mode: str = "overwrite",
-                 tiebreak=()) -> None:
-    """One output directory per key value (range-clustered first with ``tiebreak``)."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    if tiebreak:
-        df = cluster_for_write(df, keys, tiebreak)
-    df.write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    there = {r["segment"] for r in spark.read.schema(segmented.schema).parquet(path).select("segment").distinct().collect()}
+    rest = T.StructType([f for f in segmented.schema.fields if f.name != "segment"])
+    for name in segments:
+        if name not in there:
+            spark.createDataFrame([], rest).coalesce(1).write.mode("append").parquet(f"{path}/segment={name}")
 
 
 def training_lines(df: DataFrame, label_col: str, words_col: str) -> DataFrame:

@@ -22,11 +22,12 @@ HEADER_ALIASES = {
     "ユーザーネーム": "user_name", "リツイート元url": "post_url", "予想": "prediction",
     "美容系ツイート率": "target_share",
 }
-# Fixed value: the reference's "not measurable" class, and our canonical spelling.
-UNMEASURABLE_ALIASES = {"測定不能": "unmeasurable"}
+# An unquoted empty field is NULL and a quoted one the empty string; Spark tells them apart
+# only if its mark for NULL is not the empty string itself.
+NULL_MARK = "\u0001NULL\u0001"
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"',
-               "encoding": "UTF-8", "recursiveFileLookup": "false", "mode": "FAILFAST"}
+               "encoding": "UTF-8", "recursiveFileLookup": "false", "nullValue": NULL_MARK, "mode": "FAILFAST"}
 
 
 def canonical_names(df: DataFrame) -> DataFrame:
@@ -37,44 +38,43 @@ def canonical_names(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv",
              with_file: bool = True, line_sep: str | None = "\r\n") -> DataFrame:
     """S6 + S7: header CSV files under ``path`` matching ``glob`` (non-recursive), read
-    with a declared schema.  The words NA / null stay text (N3)."""
+    with a declared schema.  The words NA / null stay text (N3).  A directory that
+    `write_csv` partitioned gives its partition columns with their values; ``src_file`` is
+    the name of the file a row came from."""
     r = spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", glob).schema(schema)
     if line_sep:
         r = r.option("lineSep", line_sep)
     df = r.csv(path)
     if with_file:
-        df = df.withColumn("src_file", F.col("_metadata.file_path"))
+        df = df.withColumn("src_file", F.col("_metadata.file_name"))
     return df
 
 
-def key_from_file(path_col: Column | str) -> Column:
-    """The key a file stands for — its name without ``.csv``, or for a Spark-written
-    partition directory ``k=v/part-…`` the value ``v``."""
-    c = F.col(path_col) if isinstance(path_col, str) else path_col
-    name = F.regexp_extract(c, r"([^/]*)\.csv$", 1)
-    part = F.regexp_extract(c, r"/[^/=]+=([^/]*)/[^/]*$", 1)
-    return F.when(part != "", F.url_decode(part)).otherwise(name)
+def key_from_file(name_col: Column | str) -> Column:
+    """The key that a file stands for: its name without ``.csv``.  Spark gives file names
+    with %-escapes, which are undone; a ``+`` is a plus sign."""
+    c = F.col(name_col) if isinstance(name_col, str) else name_col
+    return F.url_decode(F.replace(F.regexp_extract(c, r"([^/]*)\.csv$", 1), F.lit("+"), F.lit("%2B")))
 
 
-def cluster_for_write(df: DataFrame, keys, tiebreak=(), n: int | None = None) -> DataFrame:
-    """Range-partition on (keys, tiebreak) before a ``partitionBy`` write.
+def cluster_for_write(df: DataFrame, keys) -> DataFrame:
+    """Rows of a key brought together before a ``partitionBy`` write.
 
-    Unclustered, every task writes one file per key it holds (tasks x keys files);
-    clustered on the key alone, a key holding a third of the rows lands in one task.
-    Range partitioning samples the rows, so a hot key spans several balanced tasks and
-    the file count stays near tasks + keys."""
+    Unclustered, every task writes one file per key it holds (tasks x keys files).  The
+    ``rebalance`` hint lets AQE size the tasks: small ones are merged, and a key that holds a
+    third of the rows is split over several."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys, *tiebreak)
+    return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
-def write_csv(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite", tiebreak=None) -> None:
-    """Header CSV (LF rows, read back with ``line_sep=None``); one directory per key with
-    ``partition_by`` (range-clustered first when a ``tiebreak`` column is given);
-    ``overwrite`` replaces previous outputs (static overwrite)."""
-    if partition_by and tiebreak:
-        df = cluster_for_write(df, partition_by, tiebreak)
-    w = df.write.mode(mode).options(header="true", escape='"', encoding="UTF-8")
+def write_csv(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
+    """Header CSV (LF rows, read back with ``line_sep=None``); one directory
+    per key with ``partition_by``; ``overwrite`` replaces previous outputs (static
+    overwrite).  Text comes back as it was, white space at its ends too; NULL is an empty
+    field, the empty string a quoted one."""
+    if partition_by:
+        df = cluster_for_write(df, partition_by)
+    w = df.write.mode(mode).options(header="true", escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.csv(path)

@@ -1,9 +1,9 @@
-"""Scraped HTML pages.
+"""Scraped HTML pages.
 
-Each attribute list of a page is one ``regexp_extract_all`` over the page text; the lists
-are zipped by position (``arrays_zip`` pads a shorter list with NULL, and the row is
-flagged instead of being silently shifted) and exploded.  A page is one row, so all of
-this is a per-row projection: no shuffle.
+An element is matched once, and all its attributes are taken from that match, so lists of
+unequal lengths cannot shift against each other: what an element lacks is NULL in its own
+row, and its page is reported as not aligned.  A page is one row, so all of this is a
+per-row projection: no shuffle.
 """
 
 from __future__ import annotations
@@ -13,46 +13,68 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import first_path_segment
-from ..functions.text import strip_tags
+from ..functions.parse import count_text_to_long, first_path_segment, scrape_time_to_minute
+from ..functions.text import scrape_clean, strip_tags
 from ..operators.dedupe import rotate_positions
 
-# Attribute lists of a generic page: link targets and link texts of anchors.
-LINK_LISTS = {
-    "href": (r'<a href="([^"]*)"', 1),
-    "anchor": (r'<a href="[^"]*">(.*?)</a>', 1),
+# One anchor element; its target and its text.
+ANCHOR_ELEMENT = r'(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'
+ANCHOR_PARTS = {
+    "href": (r'(?s)^<a\s[^>]*?href="([^"]*)"', 1),
+    "anchor": (r"(?s)^<a\s[^>]*>(.*?)</a>$", 1),
 }
+# One post element of a search page, and the seven values of it.
+POST_ELEMENT = r'(?s)<li\b[^>]*\bjs-stream-item\b.*?</li>'
+POST_PARTS = {
+    "user_id": (r'(?s)<a(?=[^>]*\bjs-account-group\b)[^>]*\bdata-user-id="([^"]*)"', 1),
+    "permalink": (r'(?s)<a(?=[^>]*\bjs-permalink\b)[^>]*\bhref="([^"]*)"', 1),
+    "title": (r'(?s)<a(?=[^>]*\bjs-permalink\b)[^>]*\btitle="([^"]*)"', 1),
+    "user_name": (r'(?s)<div(?=[^>]*\bjs-stream-tweet\b)[^>]*\bdata-name="([^"]*)"', 1),
+    "tweet_id": (r'(?s)<div(?=[^>]*\bjs-stream-tweet\b)[^>]*\bdata-conversation-id="([^"]*)"', 1),
+    "likes": (r'(?s)(<span\b[^>]*\bid="profile-tweet-action-favorite-count-aria-\w+"[^>]*>.*?</span>)', 1),
+    "body": (r'(?s)(<p\b[^>]*\bTweetTextSize\b[^>]*>.*?</p>)', 1),
+}
+
 
+def elements(pages: DataFrame, html_col: str, element: str, parts: Mapping[str, tuple], keep=("page_id",)) -> DataFrame:
+    """S5 + J5 + W3: one row per element of a page, with its position ``pos``, the rotated
+    output order ``seq`` of the reference's ``[i-1]`` indexing (the last element comes
+    first), ``n_items`` of the page, the parts (NULL when the element lacks one), and
+    ``aligned``: whether all elements of the page have all parts."""
+    found = F.regexp_extract_all(F.col(html_col), F.lit(element), 0)
 
-def extract_lists(pages: DataFrame, html_col: str, lists: Mapping[str, tuple] = LINK_LISTS,
-                  keep=("page_id",)) -> DataFrame:
-    """One array column per attribute list."""
-    cols = [F.regexp_extract_all(F.col(html_col), F.lit(p), g).alias(name) for name, (p, g) in lists.items()]
-    return pages.select(*keep, *cols)
-
-
-def zip_lists(df: DataFrame, names, keep=("page_id",), rotate: bool = True) -> DataFrame:
-    """J5 (+ W3): zip the lists by position and explode.  ``pos`` is the element's
-    position; with ``rotate`` the output order ``seq`` reproduces the reference's
-    ``[i-1]`` indexing (the last element comes first).  ``aligned`` is False on pages
-    whose lists have unequal lengths."""
-    n = F.greatest(*[F.size(c) for c in names]) if len(names) > 1 else F.size(names[0])
-    aligned = F.lit(True)
-    for c in names[1:]:
-        aligned = aligned & (F.size(c) == F.size(names[0]))
-    z = df.select(*keep, n.alias("n_items"), aligned.alias("aligned"),
-                  F.posexplode_outer(F.arrays_zip(*[F.col(c) for c in names])).alias("pos", "z"))
+    def part(e, pattern, group):
+        return F.when(e.rlike(pattern), F.regexp_extract(e, pattern, group))
+
+    rows = F.transform(found, lambda e: F.struct(*[part(e, p, g).alias(n) for n, (p, g) in parts.items()]))
+    z = pages.select(*keep, rows.alias("rows"))
+    whole = F.forall("rows", lambda r: _all_there(r, list(parts)))
+    z = z.select(*keep, F.size("rows").alias("n_items"), whole.alias("aligned"), F.posexplode_outer("rows").alias("pos", "z"))
     z = z.filter(F.col("pos").isNotNull())   # outer + filter: no inferred filter pushed below shuffles
-    seq = rotate_positions(F.col("pos"), F.col("n_items")) if rotate else F.col("pos")
-    return z.select(*keep, "pos", seq.alias("seq"), "n_items", "aligned",
-                    *[F.col(f"z.{c}").alias(c) for c in names])
+    return z.select(*keep, F.col("pos").cast("bigint").alias("pos"), rotate_positions(F.col("pos"), F.col("n_items")).cast("bigint").alias("seq"),
+                    F.col("n_items").cast("bigint").alias("n_items"), "aligned", *[F.col(f"z.{c}").alias(c) for c in parts])
+
+
+def _all_there(r, names):
+    out = r[names[0]].isNotNull()
+    for n in names[1:]:
+        out = out & r[n].isNotNull()
+    return out
 
 
 def page_links(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> DataFrame:
     """S5 + J5 + F40 + F41 on anchors: one row per link with its rotated order."""
-    lists = extract_lists(pages, html_col, LINK_LISTS, keep)
-    z = zip_lists(lists, list(LINK_LISTS), keep)
-    return z.select(*keep, F.col("pos").cast("bigint").alias("pos"), F.col("seq").cast("bigint").alias("seq"),
-                    F.col("n_items").cast("bigint").alias("n_items"), "aligned", "href",
-                    strip_tags(F.col("anchor")).alias("anchor_text"),
+    z = elements(pages, html_col, ANCHOR_ELEMENT, ANCHOR_PARTS, keep)
+    return z.select(*keep, "pos", "seq", "n_items", "aligned", "href", strip_tags(F.col("anchor")).alias("anchor_text"),
                     first_path_segment(F.col("href")).alias("first_segment"))
+
+
+def page_posts(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> DataFrame:
+    """The posts of scraped search pages as the seven columns of a `posts_scrape` file
+    (user_id, screen_name, user_name, favorites, created_at, text, tweet_id) with their
+    order (F36, F38-F41, W3)."""
+    z = elements(pages, html_col, POST_ELEMENT, POST_PARTS, keep)
+    return z.select(*keep, "pos", "seq", "aligned", F.col("user_id").try_cast("bigint").alias("user_id"),
+                    first_path_segment(F.col("permalink")).alias("screen_name"), strip_tags(F.col("user_name")).alias("user_name"),
+                    count_text_to_long("likes").alias("favorites"), scrape_time_to_minute("title").alias("created_at"),
+                    scrape_clean(F.col("body")).alias("text"), strip_tags(F.col("tweet_id")).try_cast("bigint").alias("tweet_id"))

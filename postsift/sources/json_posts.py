@@ -66,8 +66,11 @@ def read_pages(spark: SparkSession, path: str, shape: str, whole_files: bool = F
 
 
 def flatten_posts(df: DataFrame, raw_col: str = "raw", keep=()) -> DataFrame:
-    """Raw post JSON -> canonical flat post row (``full_text`` when present)."""
+    """Raw post JSON -> canonical flat post row (``full_text`` when present).  Arrival
+    order and provenance stay with the row: ``page_pos`` and ``src_file`` are kept when the
+    input has them, and the time text as it came is ``created_at_raw``."""
     p = F.from_json(F.col(raw_col), POST_SCHEMA)
+    keep = [*keep, *[c for c in ("src_file", "page_pos") if c in df.columns and c not in keep]]
     return df.select(
         *keep,
         F.coalesce(p["id"], p["id_str"].cast("bigint")).alias("tweet_id"),
@@ -78,6 +81,7 @@ def flatten_posts(df: DataFrame, raw_col: str = "raw", keep=()) -> DataFrame:
         p["retweet_count"].alias("retweets"),
         p["favorite_count"].alias("favorites"),
         api_time(p["created_at"]).alias("created_at"),
+        p["created_at"].alias("created_at_raw"),
         F.coalesce(p["full_text"], p["text"]).alias("text"),
         p["lang"].alias("lang"),
         p["in_reply_to_status_id"].isNotNull().alias("is_reply"),

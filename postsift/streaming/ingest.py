@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remove_scratch, scratch_path
+from ..sources import json_posts
 
 
 def dedup_stream(stream: DataFrame, key: str, time_col: str, delay: str = "1 day", exact: bool = True) -> DataFrame:
@@ -36,15 +37,25 @@ def high_water_mark(df: DataFrame, id_col: str, max_id: int | None) -> DataFrame
     return df if max_id is None else df.filter(F.col(id_col) <= F.lit(max_id))
 
 
-def ingest_events(spark: SparkSession, events: DataFrame, n_files: int = 8, files_per_trigger: int = 2,
-                  delay: str = "1 day", exact: bool = True) -> DataFrame:
-    """Land `events` as ``n_files`` split files, stream them in, de-duplicate on the id and
-    return what the sink holds."""
-    land = scratch_path(spark, "stream-land")
-    (events.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("event_time"))
-           .repartitionByRange(n_files, "event_id").write.parquet(land))
-    schema = spark.read.parquet(land).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(land)
+# The state of the exact de-duplication is one key per id; RocksDB keeps it on disk.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ingest_pages(spark: SparkSession, land: str, shape: str = "search", files_per_trigger: int = 100,
+                 delay: str = "1 day", exact: bool = True) -> DataFrame:
+    """Stream landed pages (one JSON page per line under ``land``): posts are flattened,
+    retweets are dropped on the way, ids that pages repeat are kept once.  Returns what the
+    sink holds."""
+    pages = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(land)
+    posts = json_posts.flatten_posts(json_posts.explode_pages(pages.withColumnRenamed("value", "page"), "page", shape))
+    posts = posts.filter(~F.col("is_retweet")).drop("page_pos").withColumn("event_time", F.col("created_at").cast("timestamp"))
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    run_available(dedup_stream(stream, "event_id", "event_time", delay, exact), out, ck)
-    return spark.read.schema(schema).parquet(out).select("event_id", "user_id", "event_type", "value")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        run_available(dedup_stream(posts, "tweet_id", "event_time", delay, exact), out, ck)
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    remove_scratch(spark, ck)
+    return spark.read.schema(posts.schema).parquet(out).drop("event_time")
