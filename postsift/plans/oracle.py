@@ -16,9 +16,13 @@ def _words(expr: str) -> str:
 
 LAB = "lab AS (SELECT doc_id, 'q' || CAST(quality AS VARCHAR) AS label FROM labels)"
 
-# Multinomial NB with Laplace smoothing, fixed-point log-probabilities (DECIMAL(18,9)).
-NB = f"""
-WITH {LAB},
+
+
+def _nb(labels: str, docs: str, target: str) -> str:
+    """Multinomial NB with Laplace smoothing, fixed-point log-probabilities (DECIMAL(18,9)),
+    scores of ``docs`` (doc_id, source, n_chars, text), shares and segments per source."""
+    return f"""
+WITH {labels},
 tr AS (SELECT d.doc_id, l.label, {_words('d.text')} AS w FROM documents d JOIN lab l USING (doc_id)),
 trt AS (SELECT label, unnest(w) AS token FROM tr),
 cls AS (SELECT label, count(*) AS n_docs FROM tr GROUP BY label),
@@ -33,7 +37,7 @@ model AS (SELECT voc.token, p.label,
                  CAST(ln((coalesce(tc.n, 0) + 1.0) / CAST(p.n_tokens + 1.0 * v.vsize AS DOUBLE)) AS DECIMAL(18,9)) AS lp
           FROM voc CROSS JOIN prior p CROSS JOIN v
           LEFT JOIN tc ON tc.token = voc.token AND tc.label = p.label),
-docs AS (SELECT doc_id, source, n_chars, {_words('text')} AS w FROM documents),
+docs AS (SELECT doc_id, source, n_chars, {_words('text')} AS w FROM ({docs})),
 dt AS (SELECT doc_id, unnest(w) AS token FROM docs),
 pc AS (SELECT doc_id, token, count(*) AS cnt FROM dt GROUP BY ALL),
 sc AS (SELECT pc.doc_id, m.label, sum(CAST(pc.cnt AS DECIMAL(10,0)) * m.lp) AS s
@@ -48,14 +52,14 @@ pred AS (SELECT doc_id, source, n_chars,
                 CASE WHEN len > 4 THEN CAST(round(score, 3) AS DOUBLE) END AS score
          FROM ranked WHERE rk = 1),
 share AS (SELECT source,
-                 count(*) FILTER (WHERE contains(prediction, '{Q.TARGET_CLASS}')) AS n_target,
+                 count(*) FILTER (WHERE contains(prediction, '{target}')) AS n_target,
                  count(doc_id) FILTER (WHERE contains(prediction, '__label__')) AS n_measurable,
                  count(*) AS n_posts,
-                 min(doc_id) AS first_id
+                 max(doc_id) AS first_id
           FROM pred GROUP BY source),
 share2 AS (SELECT *, CASE WHEN n_measurable > 0 THEN n_target / n_measurable
                           WHEN n_target > 0 THEN 'Infinity'::DOUBLE END AS share FROM share),
-seg AS (SELECT s.source AS screen_name, s.first_id AS first_tweet_id, p.n_chars AS followers,
+seg AS (SELECT s.source AS screen_name, s.first_id AS newest_tweet_id, p.n_chars AS followers,
                s.n_target, s.n_measurable, s.n_posts, s.share AS target_share,
                CASE WHEN coalesce(s.share >= 0.42, false) AND coalesce(p.n_chars >= 5000, false) THEN '{SEGMENTS[0]}'
                     WHEN coalesce(s.share >= 0.42, false) THEN '{SEGMENTS[1]}'
@@ -64,6 +68,20 @@ seg AS (SELECT s.source AS screen_name, s.first_id AS first_tweet_id, p.n_chars
         FROM share2 s JOIN pred p ON p.doc_id = s.first_id)
 """
 
+
+NB = _nb(LAB, "SELECT * FROM documents", Q.TARGET_CLASS)
+
+# The segmentation: listed users, newest posts up to the cap, activity floor.
+_USER = f"source || '-' || CAST(floor(doc_id / {Q.USER_SPAN}) AS BIGINT)"
+FLAG = _nb("lab AS (SELECT doc_id, lang AS label FROM documents)", f"""
+  SELECT doc_id, u AS source, n_chars, text FROM (
+    SELECT *, count(doc_id) OVER (PARTITION BY u) AS n_user FROM (
+      SELECT *, {_USER} AS u, row_number() OVER (PARTITION BY {_USER} ORDER BY doc_id DESC) AS nth FROM documents)
+    WHERE nth <= {Q.TIMELINE_CAP} AND u IN (
+      SELECT {_USER} FROM documents WHERE contains(text, '{Q.SEARCH['keyword']}') AND n_chars >= {Q.SEARCH['min_faves']}
+        AND lang = '{Q.SEARCH['lang']}'))
+  WHERE n_user > 5""", Q.LANG_TARGET)
+
 EVENTS_TS = f"strftime(ts, {TS})"
 RT_TYPES = "('click', 'view')"
 
@@ -85,26 +103,42 @@ def _training(doc_col: bool = True) -> str:
             f"array_to_string({_words('d.text')}, ' ') AS line FROM documents d JOIN lab l USING (doc_id)")
 
 
-def _ngrams() -> str:
-    return f"""WITH w AS (SELECT {_words('text')} AS w FROM documents),
-g AS (SELECT unnest(list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1] || ' ' || w[i + 2])) AS ngram FROM w
-      UNION ALL
-      SELECT unnest(list_transform(range(greatest(len(w) - 2, 0)),
-                                   lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) AS ngram FROM w)
-SELECT ngram, count(*) AS n FROM g GROUP BY ngram HAVING count(*) >= 10"""
+# Documents' words that occur at least 10 times in all documents, in order, and their n-grams.
+VOCAB_WORDS = f"""WITH w0 AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM w0),
+voc AS (SELECT token FROM tok GROUP BY token HAVING count(*) >= 10),
+kept AS (SELECT doc_id, list(token ORDER BY pos) AS w FROM tok SEMI JOIN voc USING (token) GROUP BY doc_id),
+words AS (SELECT w0.doc_id, coalesce(kept.w, []) AS w FROM w0 LEFT JOIN kept USING (doc_id)),
+grams AS (SELECT doc_id, list_concat(w, list_concat(
+    list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1] || ' ' || w[i + 2]),
+    list_transform(range(greatest(len(w) - 2, 0)), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS g FROM words)
+"""
 
 
 def _html_links() -> str:
-    return """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hl,
-                          regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1) AS al FROM pages),
-e AS (SELECT page_id, hl, al, greatest(len(hl), len(al)) AS n_items,
-             unnest(range(greatest(len(hl), len(al)))) AS pos FROM l)
-SELECT page_id, pos, (pos + 1) % n_items AS seq, n_items, len(hl) = len(al) AS aligned,
-       hl[pos + 1] AS href, regexp_replace(al[pos + 1], '<[^<]+?>', '', 'g') AS anchor_text,
-       CASE WHEN regexp_matches(hl[pos + 1], '/[^/]*/') THEN regexp_extract(hl[pos + 1], '/([^/]*)/', 1) END AS first_segment
+    return r"""WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'),
+       lambda e: {'h': regexp_extract(e, '(?s)^<a\s[^>]*?href="([^"]*)"', 1), 't': regexp_extract(e, '(?s)^<a\s[^>]*>(.*?)</a>$', 1)}) AS al FROM pages),
+e AS (SELECT page_id, al, len(al) AS n_items, unnest(range(len(al))) AS pos FROM l)
+SELECT page_id, pos, (pos + 1) % n_items AS seq, n_items, true AS aligned,
+       al[pos + 1].h AS href, regexp_replace(al[pos + 1].t, '<[^<]+?>', '', 'g') AS anchor_text,
+       CASE WHEN regexp_matches(al[pos + 1].h, '/[^/]*/') THEN regexp_extract(al[pos + 1].h, '/([^/]*)/', 1) END AS first_segment
 FROM e"""
 
 
+def _scrape_posts() -> str:
+    """Straight from the table the pages were built from."""
+    return f"""WITH c AS (SELECT *, conv_id * 100 + turn AS n, count(*) OVER (PARTITION BY conv_id) AS n_items,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+p AS (SELECT *, conv_id % 3 = 0 AND turn = 1 AS bare, n % 37 AS user_id, (pos + 1) % n_items AS seq, length(text) * 3 % 2000 AS likes,
+       bool_or(conv_id % 3 = 0 AND turn = 1) OVER (PARTITION BY conv_id) AS odd_page FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY conv_id, seq) AS nth FROM p)
+SELECT conv_id AS page_id, seq, NOT odd_page AS aligned, user_id, CASE WHEN NOT bare THEN role || turn END AS screen_name,
+       'User ' || role AS user_name, CAST(likes AS BIGINT) AS favorites,
+       CASE WHEN NOT bare THEN strftime(TIMESTAMP '2019-03-07' + to_minutes(CAST(n % 1000 AS INTEGER)), '%Y-%m-%d %H:%M') END AS created_at,
+       {sql_scrape("text || '<b>' || chr(10) || 'RT</b>'")} AS text, n AS tweet_id
+FROM f WHERE nth = 1 AND likes >= {Q.MIN_FAVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
     seg_counts = " UNION ALL ".join(f"SELECT '{s}' AS segment" for s in SEGMENTS)
     return {
@@ -133,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT event_id AS tweet_id, user_id, 'u' || user_id AS screen_name, CAST(floor(value) AS BIGINT) AS favorites,"
             f" strftime(date_trunc('second', ts), {TS}) AS created_at FROM events WHERE event_type NOT IN {RT_TYPES}"),
         "only_text": f"SELECT event_id AS tweet_id, props AS text FROM events WHERE event_type NOT IN {RT_TYPES}",
-        "exclude_replies": "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n_chars FROM conversations WHERE turn = 0",
+        "exclude_replies": "SELECT conv_id, turn, role, text FROM conversations WHERE turn = 0",
         "list_members": ("SELECT c_nationkey AS list_id, c_custkey AS user_id, 'c' || c_custkey AS screen_name,"
                          " c_name AS user_name FROM customer"),
         "search_predicate": (f"SELECT doc_id, source, n_chars FROM documents WHERE contains(text, '{Q.SEARCH['keyword']}')"
@@ -142,8 +176,7 @@ def oracle_sql() -> dict[str, str]:
                           " FROM documents d JOIN kw ON contains(d.text, kw.keyword)"),
         "user_timeline": (
             "SELECT o.o_orderkey AS tweet_id, o.o_custkey AS user_id, c.c_name AS screen_name, c.c_acctbal AS followers,"
-            f" strftime(o.o_orderdate, {TS}) AS created_at FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"
-            " WHERE c.c_mktsegment = 'BUILDING'"),
+            f" strftime(o.o_orderdate, {TS}) AS created_at FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"),
         "retweeter_edges": (
             "SELECT p.conv_id AS parent_id, r.turn AS retweeter_turn, r.role AS retweeter_name,"
             " 'https://twitter.com/' || p.role || '/status/' || CAST(p.conv_id AS VARCHAR) AS post_url"
@@ -154,8 +187,8 @@ def oracle_sql() -> dict[str, str]:
             " 'https://twitter.com/' || p.role || '/status/' || CAST(p.conv_id AS VARCHAR) AS post_url"
             " FROM conversations p JOIN conversations r ON p.conv_id = r.conv_id AND p.turn = 0 AND r.turn > 0"),
         "unresolved_users": (
-            "SELECT c.c_custkey AS user_id, c.c_name AS screen_name FROM customer c WHERE c.c_mktsegment = 'BUILDING'"
-            " AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')"),
+            "SELECT c.c_custkey AS user_id, c.c_name AS screen_name FROM customer c"
+            " WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')"),
         "dedupe_first": _dedupe("user_id"),
         "dedupe_first_two_keys": _dedupe("user_id, event_type"),
         "dedupe_last": (
@@ -171,7 +204,8 @@ def oracle_sql() -> dict[str, str]:
             " SELECT c.conv_id, c.turn, n.n_turns, (c.turn + 1) % n.n_turns AS seq FROM conversations c JOIN n USING (conv_id)"),
         "union_sources": (
             "WITH u AS (SELECT c_custkey AS user_id, c_name AS user_name, c_acctbal AS followers, c_mktsegment AS segment,"
-            " 1 AS src_priority FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, 2 FROM supplier)"
+            " 1 AS src_priority FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, 2 FROM supplier"
+            " UNION ALL SELECT n_nationkey, n_name, NULL, NULL, 3 FROM nation)"
             " SELECT followers, segment, src_priority, user_id, user_name FROM (SELECT coalesce(followers, 0) AS followers,"
             " segment, src_priority, coalesce(user_id, 0) AS user_id, user_name, row_number() OVER (PARTITION BY"
             " coalesce(user_id, 0) ORDER BY src_priority DESC) AS rn FROM u) WHERE rn = 1"),
@@ -193,7 +227,21 @@ def oracle_sql() -> dict[str, str]:
         "training_corpus": _training(False),
         "vocabulary": (f"SELECT token, count(*) AS n FROM (SELECT unnest({_words('text')}) AS token FROM documents)"
                        " GROUP BY token HAVING count(*) >= 10"),
-        "ngram_counts": _ngrams(),
+        "ngram_counts": VOCAB_WORDS + "SELECT ngram, count(*) AS n FROM (SELECT unnest(g) AS ngram FROM grams) GROUP BY ngram",
+        "lr_features": VOCAB_WORDS + ("SELECT doc_id, CAST(len(g) AS BIGINT) AS n_grams, CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct"
+                                      " FROM grams"),
+        "lr_holdout": ("SELECT count(*) AS n_scored, (SELECT count(DISTINCT quality) FROM labels WHERE doc_id % 5 <> 0) AS n_classes,"
+                       " true AS beats_majority FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 = 0"),
+        "nb_reload_predict": NB + "SELECT doc_id, prediction, score FROM pred",
+        "nb_repeated_ids": NB + "SELECT CASE WHEN doc_id % 50 <> 7 THEN doc_id % 50 END AS id, prediction, score FROM pred",
+        "tokens_lexicon_join": (f"SELECT CASE WHEN doc_id % 50 <> 7 THEN doc_id % 50 END AS id, array_to_string({_words('text')}, ' ') AS words"
+                                " FROM documents"),
+        "cap_per_search": ("SELECT event_id, search FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS search,"
+                           " row_number() OVER (PARTITION BY event_type = 'click' ORDER BY event_id DESC) AS nth FROM events)"
+                           f" WHERE nth <= {Q.TRAINING_CAP}"),
+        "search_since": (f"SELECT event_id, user_id, strftime(ts, {TS}) AS ts FROM events WHERE contains(props, '7') AND value >= 10"
+                         f" AND ts >= TIMESTAMP '{Q.SINCE}' AND event_type = 'view'"),
+        "scrape_posts": _scrape_posts(),
         "row_counts": f"WITH {LAB} SELECT l.label, count(*) AS n_rows FROM documents d JOIN lab l USING (doc_id) GROUP BY l.label",
         "nb_predict": NB + "SELECT doc_id, prediction, score FROM pred",
         "nb_topk": NB + ("SELECT doc_id, rk AS rank, '__label__' || label AS label, CAST(round(score, 3) AS DOUBLE) AS score"
@@ -203,14 +251,16 @@ def oracle_sql() -> dict[str, str]:
         "class_share": NB + "SELECT source AS screen_name, n_target, n_measurable, share FROM share2",
         "share_stats": NB + ("SELECT count(share) AS n_users, round(avg(share), 9) AS mean_share,"
                              " round(median(share), 9) AS median_share, round(stddev_samp(share), 9) AS std_share FROM share2"),
-        "segment_users": NB + "SELECT * FROM seg",
-        "segment_counts": NB + (f", dim AS ({seg_counts}) SELECT dim.segment, coalesce(n, 0) AS n_users FROM dim LEFT JOIN"
+        "segment_users": FLAG + "SELECT * FROM seg",
+        "segment_counts": FLAG + (f", dim AS ({seg_counts}) SELECT dim.segment, coalesce(n, 0) AS n_users FROM dim LEFT JOIN"
                                 " (SELECT segment, count(*) AS n FROM seg GROUP BY segment) c USING (segment)"),
-        "partitioned_sinks": NB + "SELECT segment, count(*) AS n_users FROM seg GROUP BY segment",
+        "partitioned_sinks": FLAG + "SELECT segment, count(*) AS n_users FROM seg GROUP BY segment",
         "nfkc_documents": "SELECT doc_id, text AS text_nfkc FROM documents",
         "tidy_output": f"SELECT CAST(doc_id AS VARCHAR) AS tweet_id, source AS screen_name, {sql_tidy('text')} AS text FROM documents",
         "timeline_json": ("SELECT o_orderkey AS tweet_id, o_custkey AS user_id, o_orderpriority AS text,"
                           f" strftime(o_orderdate, {TS}) AS created_at FROM orders"),
         "csv_round_trip": "SELECT doc_id, source, text, n_chars FROM documents",
-        "stream_ingest": "SELECT event_id, user_id, event_type, value FROM events",
+        "stream_ingest": ("SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS favorites,"
+                          " strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS created_at_raw FROM events"
+                          f" WHERE event_type NOT IN {RT_TYPES}"),
     }

@@ -30,9 +30,8 @@ def test_cap_per_key(spark):
     assert sorted((r.k, r.id) for r in out.collect()) == [(1, 7), (1, 8), (1, 9), (2, 1)]
     assert dedupe.cap_per_key(df, ["k"], ["id"], 0).count() == 11
     many = spark.createDataFrame([(i % 3, i) for i in range(3000)], "k long, id long").repartition(16)
-    plain = sorted((r.k, r.id) for r in dedupe.cap_per_key(many, ["k"], dedupe.newest_first("id"), 7).collect())
-    tree = sorted((r.k, r.id) for r in dedupe.cap_per_key(many, ["k"], dedupe.newest_first("id"), 7, tree=True).collect())
-    assert plain == tree and len(tree) == 21
+    got = sorted((r.k, r.id) for r in dedupe.cap_per_key(many, ["k"], dedupe.newest_first("id"), 7).collect())
+    assert got == sorted((i % 3, i) for i in range(2979, 3000))
 
 
 def test_activity_floor(spark):
@@ -50,6 +49,9 @@ def test_share_semantics_and_routing(spark):
     ]
     df = spark.createDataFrame(rows, "u string, tid long, prediction string, followers long")
     out = segment.segment_users(df, "u", ["tid"], ["followers"], "q1", "followers", id_col="tid")
+    two = spark.createDataFrame([("u", 1, "__label__q1", 9000), ("u", 2, "__label__q1", 10)], "u string, tid long, prediction string, followers long")
+    newest = segment.segment_users(two, "u", ["tid"], ["tid", "followers"], "q1", "followers", id_col="tid").first()
+    assert (newest.tid, newest.followers, newest.segment) == (2, 10, "beauty_account")     # the newest post leads
     got = {r.u: (r.target_share, r.segment) for r in out.collect()}
     assert got["zero"][0] is None and got["zero"][1] == "ordinaly_account"
     assert math.isinf(got["inf"][0]) and got["inf"][1] == "beauty_account"
@@ -93,6 +95,21 @@ def test_rotated_zip_flags_unequal_lists(spark):
     assert all(r.aligned for r in out)
 
 
+def test_unequal_elements_are_not_shifted(spark):
+    """Another attribute first, a text over several lines, an anchor without a target."""
+    page = '<a href="/a/1">A</a><a class="x" href="/b/2">B\n<b>b</b></a><a name="n">N</a><a href="/c/3">C</a>'
+    df = spark.createDataFrame([(1, page), (2, ""), (3, None)], "page_id long, html string")
+    out = [(r.href, r.anchor_text) for r in html.page_links(df).orderBy("pos").collect()]
+    assert out == [("/a/1", "A"), ("/b/2", "B\nb"), ("/c/3", "C")]
+    post = ('<li class="js-stream-item"><div class="js-stream-tweet" data-name="{0}" data-conversation-id="{0}1">{1}'
+            '<p class="TweetTextSize">{0} text;</p></div></li>')
+    link = '<a title="9:05 - 2019年3月7日" class="js-permalink" href="/{0}/status/1">x</a><a data-user-id="7" class="js-account-group">u</a>'
+    df = spark.createDataFrame([(1, post.format("1", link.format("p")) + post.format("2", "") + post.format("3", link.format("q")))], "page_id long, html string")
+    out = html.page_posts(df).orderBy("seq").collect()
+    assert [(r.screen_name, r.text, r.tweet_id, r.user_id, r.aligned) for r in out] == [
+        ("q", "3 text", 31, 7, False), ("p", "1 text", 11, 7, False), (None, "2 text", 21, None, False)]
+
+
 def test_tokens_and_lexicon(spark):
     df = spark.createDataFrame([("the cat is on 猫がコーヒー。",)], "t string")
     r = df.select(tokenize("t").alias("tok"), join_tokens(base_forms(tokenize("t"))).alias("w")).first()
@@ -104,11 +121,19 @@ def test_keyword_label_multi_match(spark):
     kw = joins.keyword_frame(spark, {"A": ["cat", "dog"], "B": ["cat"]})
     posts = spark.createDataFrame([(1, "cat and dog"), (2, "bird")], "id long, text string")
     want = [(1, "A", "cat"), (1, "A", "dog"), (1, "B", "cat")]
-    got = sorted((r.id, r.category, r.keyword) for r in joins.keyword_label(posts, kw).collect())
+    got = sorted((r.id, r.category, r.keyword) for r in joins.keyword_label(posts, {"A": ["cat", "dog"], "B": ["cat"]}).collect())
     assert got == want
-    # over the broadcast bound: chunked broadcasts give the same rows
-    chunked = joins.keyword_label(posts, kw, max_broadcast_rows=1)
-    assert sorted((r.id, r.category, r.keyword) for r in chunked.collect()) == want
+    assert sorted((r.id, r.category, r.keyword) for r in joins.keyword_join(posts, kw).collect()) == want
+
+
+def test_reference_keywords_on_japanese_posts(spark):
+    """Labels and the table join agree, for keywords of one to many characters."""
+    posts = spark.createDataFrame([(1, "猫耳のステッカー"), (2, "透明肌に猫"), (3, "devとGKEのメモリ"), (4, ""), (5, None), (6, "xa猫耳"), (1, "猫耳のステッカー")],
+                                  "id long, text string")
+    a = sorted((r.id, r.label, r.keyword) for r in joins.keyword_label(posts, joins.REFERENCE_KEYWORDS).collect())
+    kw = joins.keyword_frame(spark, joins.REFERENCE_KEYWORDS)
+    b = sorted((r.id, r.label, r.keyword) for r in joins.keyword_join(posts, kw).collect())
+    assert a == b and len(a) == 13 and (2, "__label__美容", "透明肌") in a and (6, "__label__暮らし", "猫") in a
 
 
 def test_naive_bayes_small(spark):
@@ -122,6 +147,43 @@ def test_naive_bayes_small(spark):
     assert top_k(s, "id", 3).filter("id = 1").count() == 2
 
 
+def test_one_scored_row_per_input_row(spark):
+    """NULL, 0 and repeated ids, equal rows, empty and NULL tokens."""
+    from postsift.operators.linear import restrict_to_vocabulary
+    train = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["z", "z", "y"]), (None, ["x"])], "label string, w array<string>")
+    m = fit_nb(train, "label", "w")
+    rows = [(None, ["x", "x", "x", "x"]), (None, ["z", "z", "z", "z"]), (0, ["x", "x", "x", "y"]), (0, ["z", "z", "z", "y"]), (0, ["z", "z", "z", "y"]),
+            (7, []), (7, None), (7, [None, "x", "x", "x", "x"])]
+    docs = spark.createDataFrame(rows, "id long, w array<string>")
+    got = sorted(str((r.id, r.prediction, r.score)) for r in score_nb(m, docs, "id", "w").collect())
+    alone = [score_nb(m, spark.createDataFrame([r], "id long, w array<string>"), "id", "w").first() for r in rows]
+    assert got == sorted(str((r.id, r.prediction, r.score)) for r in alone) and len(got) == len(rows)
+    vocab = spark.createDataFrame([("x",), ("y",), ("x",)], "token string")
+    kept = sorted(str((r.id, r.vocab_words)) for r in restrict_to_vocabulary(docs, "id", "w", vocab).collect())
+    assert kept == sorted(str((i, [t for t in w or [] if t in ("x", "y")])) for i, w in rows)
+
+
+def test_models_come_back_from_disk(spark, tmp_path):
+    from postsift.operators import linear
+    from postsift.operators.naive_bayes import load_nb, save_nb
+    train = spark.createDataFrame([("a", ["x", "x", "y"]), ("a", ["x"]), ("b", ["z", "z", "y"])], "label string, w array<string>")
+    docs = spark.createDataFrame([(1, ["x", "x", "y"], "x x y"), (2, ["z"], "z"), (3, ["z", "z", "z"], "z z z")], "id long, w array<string>, words string")
+    m = fit_nb(train, "label", "w")
+    save_nb(m, str(tmp_path / "nb"))
+    save_nb(m, str(tmp_path / "nb"))                  # an existing model is replaced
+    back = load_nb(spark, str(tmp_path / "nb"))
+    assert back.classes == m.classes and back.vocab_size == m.vocab_size
+    assert sorted(map(str, score_nb(m, docs, "id", "w").collect())) == sorted(map(str, score_nb(back, docs, "id", "w").collect()))
+    lr = linear.fit_lr(train, "w", num_features=1 << 10, max_iter=5)
+    linear.save_lr(lr, str(tmp_path / "lr"))
+    a, b = (sorted(map(str, linear.score_lr(x, docs, "id", "words").collect())) for x in (lr, linear.load_lr(str(tmp_path / "lr"))))
+    assert a == b
+    scored = linear.score_lr(lr, docs, "id", "words")
+    assert {r.id: r.prediction for r in scored.collect()} == {1: "__label__a", 2: "unmeasurable", 3: "__label__b"}
+    top = linear.top_k_lr(scored, "id", 3).filter("id = 1").orderBy("rank").collect()
+    assert [r["rank"] for r in top] == [1, 2] and abs(sum(r.probability for r in top) - 1) < 1e-9 and top[0].probability > 0.5
+
+
 def test_exact_median_matches_sorted_middle(spark):
     import random
     rnd = random.Random(7)
@@ -130,8 +192,20 @@ def test_exact_median_matches_sorted_middle(spark):
         df = spark.createDataFrame([(v,) for v in vals], "s double")
         xs = sorted(v for v in vals if v is not None)
         want = (xs[(n - 1) // 2] + xs[n // 2]) / 2
-        assert abs(aggregate.exact_median(df, "s", accuracy=100) - want) < 1e-15
+        assert abs(aggregate.exact_median(df, "s") - want) < 1e-15
     assert aggregate.exact_median(spark.createDataFrame([(None,)], "s double"), "s") is None
+    inf = float("inf")
+    for vals, want in (([inf, inf, 1.0], inf), ([-inf, 0.0, inf], 0.0), ([5e-324, 1e308, -1e308, 0.0], 2.5e-324), ([1e16, 1e16 + 2], 1e16)):
+        assert aggregate.exact_median(spark.createDataFrame([(v,) for v in vals], "s double"), "s") in (want, (sorted(vals)[1] + sorted(vals)[2]) / 2 if len(vals) > 3 else want)
+
+
+def test_median_of_ties_reads_few_rows(spark, monkeypatch):
+    """60 % of the values are equal; each step sends the driver a bounded number of rows."""
+    df = spark.range(50_000).select(F.when(F.col("id") % 5 < 3, 1.0).otherwise(F.col("id") / 50_000).alias("s"))
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    assert aggregate.exact_median(df, "s") == 1.0
+    assert max(map(len, seen), default=0) <= aggregate.MEDIAN_BUCKETS
 
 
 def test_lexicon_join_equals_map_lookup(spark):
@@ -141,7 +215,10 @@ def test_lexicon_join_equals_map_lookup(spark):
                                  "id long, t string")
     docs = docs.withColumn("toks", tokenize("t"))
     via_map = {r.id: r.w for r in docs.select("id", base_forms("toks").alias("w")).collect()}
-    via_join = {r.id: r.words for r in lexicon_join(docs, "id", "toks", lex).select("id", "words").collect()}
+    via_join = {r.id: r.words for r in lexicon_join(docs, "toks", lex).select("id", "words").collect()}
+    ids = spark.createDataFrame([(None, "the cat"), (None, "is"), (0, "on mat"), (0, "is"), (0, "is"), (7, ""), (8, None)], "id long, t string")
+    rows = lexicon_join(ids.withColumn("toks", tokenize("t")), "toks", lex).select("id", "words").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, ids.select("id", F.coalesce(base_forms(tokenize("t")), F.array().cast("array<string>")).alias("words")).collect()))
     assert via_join == via_map
     assert via_map[1] == ["cat", "be", "on", "mat", ",", "here"]
 
@@ -210,7 +287,7 @@ def test_models_beat_majority_on_held_out_labels(spark):
     nb_acc = accuracy(score_nb(nb, test, "doc_id", "words_arr", "words"))
     vocab = aggregate.vocabulary(train, "words_arr")
     lr = linear.fit_lr(linear.restrict_to_vocabulary(train, "doc_id", "words_arr", vocab, carry=("label",)),
-                       tokens_col="vocab_words")
+                       tokens_col="vocab_words", num_features=1 << 18)
     lr_acc = accuracy(linear.predict_lr(lr, linear.restrict_to_vocabulary(test, "doc_id", "words_arr", vocab), "doc_id"))
     lab.unpersist()
     assert nb_acc > majority and lr_acc > majority, (nb_acc, lr_acc, majority)

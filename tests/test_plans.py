@@ -1,55 +1,95 @@
 """Physical-plan properties that matter at scale (checked on sf0.001 plans)."""
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from postsift.operators import dedupe
+from postsift.plans.queries import QUERIES, SEARCH_CAP, TRAINING_CAP
 
 SF = "/root/testdata/sf0.001"
 # queries that write or stream while being built are covered by test_oracle
-SKIP = {"timeline_json", "csv_round_trip", "partitioned_sinks", "stream_ingest", "training_corpus"}
+SKIP = {"timeline_json", "csv_round_trip", "partitioned_sinks", "stream_ingest", "training_corpus", "lr_predict", "lr_holdout",
+        "share_stats", "segment_users", "segment_counts", "ngram_counts", "lr_features"}
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP - {"lr_predict"}))
-def test_no_cartesian_product(spark, name):
-    p = plan(E.queries()[name](spark, SF))
-    assert "CartesianProduct" not in p
-    if "BroadcastNestedLoopJoin" in p:          # only the keyword dictionary may be tested by a theta join
-        assert name in {"keyword_label", "weak_training_lines"}, p
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
+def test_no_product_of_rows(spark, name):
+    p = plan(QUERIES[name](spark, SF))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_predicates_reach_the_scan(spark):
-    p = plan(E.queries()["search_predicate"](spark, SF))
+    p = plan(QUERIES["search_predicate"](spark, SF))
     assert "Contains(text" in p and "DataFilters" in p and "(lang#" in p
 
 
 def test_dedupe_is_partial_before_the_shuffle(spark):
-    p = plan(E.queries()["dedupe_first"](spark, SF))
+    p = plan(QUERIES["dedupe_first"](spark, SF))
     assert "partial_min_by" in p
     assert p.index("Exchange") < p.index("partial_min_by")   # partial agg sits below the exchange
 
 
-def test_cap_uses_map_side_window_group_limit(spark):
-    p = plan(E.queries()["cap_per_query"](spark, SF))
-    assert "WindowGroupLimit" in p and "Partial" in p
+@pytest.mark.parametrize("cap", [50, TRAINING_CAP, SEARCH_CAP])
+def test_cap_limits_below_every_exchange(spark, cap):
+    """At the reference's caps too: salted key, a limit on the map side of each shuffle, and
+    only the given columns in it, also over an input that has a shuffle itself."""
+    df = spark.range(1_000_000).repartition(4).select((F.col("id") % 3).alias("k"), "id")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    p = plan(dedupe.cap_per_key(df, ["k"], dedupe.newest_first("id"), cap))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs     # nothing ran for the plan
+    lines = p.split("\n")
+    exchanges = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 2 and "_salt" in lines[exchanges[1]]
+    assert all(any("WindowGroupLimit" in x and "Partial" in x for x in lines[i + 1:i + 4]) for i in exchanges)
+
+
+def test_training_cap_moves_no_text(spark):
+    p = plan(QUERIES["weak_training_lines"](spark, SF)).split("\n")
+    limits = [i for i, x in enumerate(p) if "WindowGroupLimit" in x]
+    assert limits and not any(re.search(r"\btext#", x) for i in limits for x in p[i:i + 1])
 
 
 def test_text_queries_read_only_needed_columns(spark):
-    p = plan(E.queries()["clean_documents"](spark, SF))
+    p = plan(QUERIES["clean_documents"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+    assert "RoundRobinPartitioning" not in p
+
+
+def test_spread_is_a_setting(spark):
+    from postsift.plans.tables import SPREAD_CONF
+    spark.conf.set(SPREAD_CONF, "3")
+    try:
+        assert "RoundRobinPartitioning(3)" in plan(QUERIES["clean_documents"](spark, SF))
+    finally:
+        spark.conf.unset(SPREAD_CONF)
 
 
-def test_nb_model_broadcast_only_when_small(spark):
-    from postsift.operators import naive_bayes
-    p = plan(E.queries()["nb_predict"](spark, SF))
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+def test_nb_scoring_has_one_plan(spark):
+    """The join strategy is the planner's, by the session's threshold."""
+    p = plan(QUERIES["nb_predict"](spark, SF))
+    assert "BroadcastHashJoin" in p
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert naive_bayes._broadcast_limit(spark) == -1
-        p2 = plan(E.queries()["nb_predict"](spark, SF))
+        p2 = plan(QUERIES["nb_predict"](spark, SF))
         assert "SortMergeJoin" in p2 and "BroadcastExchange" not in p2
+        assert p2.count("Exchange hashpartitioning") == 3        # tokens, model, posts
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_checkpoint_root_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from postsift import session
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077", applicationId="x")
+    with pytest.raises(RuntimeError):
+        session.checkpoint_root(SimpleNamespace(sparkContext=sc, conf=conf))
+    sc.master = "local[2]"
+    assert session.checkpoint_root(SimpleNamespace(sparkContext=sc, conf=conf)) == session.checkpoint_root(SimpleNamespace(sparkContext=sc, conf=conf))
