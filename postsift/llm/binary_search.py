@@ -92,7 +92,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
         probes = (open_.select(F.col("code").alias("query"), F.explode(parts).alias("p"))
                   .select("query", F.col("p.seg").alias("seg"), F.col("p.val").alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
                   .select("query", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")))
-        j = probes.join(table, ["seg", "val"])
+        # the planner's size of the probes does not see what the masks multiply, so it must
+        # not choose them for a broadcast
+        j = probes.hint("merge").join(table, ["seg", "val"])
         gaps = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(segments_of(F.col("query"), bits, segments), segments_of(F.col("code"), bits, segments))]
         # found here first: smaller segments are farther than r, later ones not nearer
         first = F.lit(True)

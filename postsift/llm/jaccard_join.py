@@ -89,8 +89,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
-    """id, n (set size), cid (class key; null when empty) and the slice hashes."""
+    """Two sorts of rows from one pass: for each document id, n (set size) and cid (class
+    key; null when empty), with a null sig; and for each of its slice hashes cid and sig."""
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"]
+
     def run(batches):
+        names = ["id", "n", "cid", "sig"]
         for b in batches:
             n, cid, sigs = [], [], []
             for text in b.column(1):
@@ -98,22 +102,25 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int)
                 n.append(len(s))
                 cid.append(set_key(s) if len(s) else None)
                 sigs.append(slice_hashes(s, num, den))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(sigs)],
-                                             ["id", "n", "cid", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(len(n), pa.int64())], names)
+            many = np.fromiter(map(len, sigs), np.int64, len(sigs))
+            owners = np.repeat(np.array([c or 0 for c in cid], np.int64), many)
+            k = int(many.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, b.column(0).type), pa.nulls(k, pa.int64()), pa.array(owners),
+                                              pa.array(np.concatenate(sigs) if k else np.empty(0, np.int64))], names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n long, cid long, sigs array<long>")
+        run, f"id {kind.dataType.simpleString()}, n long, cid long, sig long")
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """cid and sorted tokens of (id, text) rows."""
+    """cid and sorted tokens of the texts that have any."""
     def run(batches):
         for b in batches:
-            sets = [s for s in (shingle_set(t.as_py()) for t in b.column(1)) if len(s)]
+            sets = [s for s in (shingle_set(t.as_py()) for t in b.column(0)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), _lists(sets)], ["cid", "tokens"])
 
-    return docs.mapInArrow(run, "cid long, tokens array<long>")
+    return docs.select("text").mapInArrow(run, "cid long, tokens array<long>")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
@@ -171,60 +178,73 @@ def open_group(num: int, den: int):
 
 def _classes_linked(docs: DataFrame, signed: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
-    slices = signed.select("cid", F.explode("sigs").alias("sig"))
+    slices = signed.filter("sig is not null").select("cid", "sig")
     shared = (slices.groupBy("sig").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"))
-              .filter(F.col("leader") != F.col("last")).select("sig", "leader"))
-    near = scratch.keep(slices.join(shared, "sig").distinct(), "near")
+              .filter(F.col("leader") < F.col("last")))
+    shared = scratch.keep(shared, "shared")
+    with runtime_filters(docs.sparkSession):
+        near = scratch.keep(slices.join(shared.filter("leader < last").drop("last"), "sig").distinct(), "near")
+    scratch.drop(shared)
     led = near.groupBy("cid").agg(F.min("leader").alias("leader"))
 
-    # one document of each class that shares a slice gives the token set
-    who = (signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-           .join(led, "cid"))
+    # one document of each class that shares a slice gives the token set; the id only narrows
+    # the texts down, the set itself says which class it is
+    heads = led.filter("leader <> cid").select(F.col("leader").alias("cid")).distinct().withColumn("head", F.lit(True))
+    who = (signed.filter("sig is null and cid is not null").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n"))
+           .join(led, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", F.lit(False))))
     who = scratch.keep(who, "who")
-    ids = who.filter("n > 0").select(F.col("id").alias("wid"))
     with runtime_filters(docs.sparkSession):
+        ids = who.filter("n > 0").select("wid")
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
-        got = token_sets(texts).groupBy("cid").agg(F.first("tokens").alias("tokens"))
-        sets = scratch.keep(who.drop("id").join(got, "cid"), "sets")
+        once = token_sets(texts).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+        sets = scratch.keep(once.join(who.drop("wid"), "cid"), "sets")
 
     # classes that link with their leader become its star
-    heads = who.filter("cid <> leader").select("leader").distinct()
-    heads = (sets.select(F.col("cid").alias("leader"), F.col("tokens").alias("head")).join(heads, "leader", "left_semi"))
-    both = F.size(F.array_intersect("tokens", "head")).cast("long")
-    union = F.col("n") + F.size("head") - both
+    leads = sets.filter("head").select(F.col("cid").alias("leader"), F.col("tokens").alias("lead"))
+    both = F.size(F.array_intersect("tokens", "lead")).cast("long")
+    union = F.col("n") + F.size("lead") - both
     star = F.when((F.col("cid") != F.col("leader")) & (both * den >= union * num), F.col("leader")).otherwise(F.col("cid"))
     mass = who.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
     part = F.pmod(F.xxhash64("cid"), F.col("parts"))
-    mem = (sets.join(heads, "leader", "left").join(mass, "leader")
+    mem = (sets.join(leads, "leader", "left").join(mass, "leader")
            .select("cid", "n", "leader", star.alias("star"), part.alias("part"), "tokens"))
     mem = scratch.keep(mem, "members")
     scratch.drop(sets)
 
-    # queries: x meets a group that has a class of another star in a shared slice
+    # queries: x meets a group that has, in a shared slice, a class of another star that was
+    # not compared with x as its leader or follower
     placed = near.select("sig", "cid").join(mem.drop("tokens"), "cid")
-    cells = placed.groupBy("sig", "leader", "part").agg(F.min("star").alias("s0"), F.max("star").alias("s1"))
-    asks = (placed.select("sig", "cid", "star", "n").join(cells, "sig")
-            .filter((F.col("s0") != F.col("star")) | (F.col("s1") != F.col("star")))
-            .select("cid", "star", "n", "leader", "part").distinct())
+    cells = placed.groupBy("sig", "leader", "part").agg(
+        F.min("star").alias("s0"), F.max("star").alias("s1"), F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.count(F.lit(1)).alias("k"))
+    cells = cells.withColumnRenamed("leader", "gl").withColumnRenamed("part", "gp")
+    other_star = (F.col("s0") != F.col("star")) | (F.col("s1") != F.col("star"))
+    met = F.col("c0").isin(F.col("cid"), F.col("leader")) & F.col("c1").isin(F.col("cid"), F.col("leader")) & (F.col("k") <= 2)
+    asks = (placed.join(cells, "sig").filter(other_star & (F.col("gl") != F.col("cid")) & ~met)
+            .select("cid", "star", "n", "gl", "gp").distinct())
     asks = scratch.keep(asks, "asks")
     scratch.drop(near)
-    loads = asks.groupBy("leader", "part").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals"))
-    loads = loads.select(F.col("leader").alias("gl"), F.col("part").alias("gp"), "deals")
-    here = (F.col("leader") == F.col("gl")) & (F.col("part") == F.col("gp"))
-    q = (asks.join(loads, here).join(mem.select("cid", "tokens"), "cid")
-         .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "tokens"))
-    m = (mem.join(loads, here)
-         .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "tokens"))
-    m = m.toDF("ml", "mp", "md", "cid", "star", "n", "tokens")
-    q = q.toDF("ql", "qp", "qd", "x", "xstar", "xn", "xtokens")
-    found = (m.groupBy("ml", "mp", "md").cogroup(q.groupBy("ql", "qp", "qd"))
-             .applyInPandas(open_group(num, den), "a long, b long"))
+    loads = scratch.keep(asks.groupBy("gl", "gp").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals")), "loads")
+    with runtime_filters(docs.sparkSession):
+        q = (asks.filter("n > 0").join(mem.select("cid", "tokens"), "cid").join(loads, ["gl", "gp"])
+             .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "tokens"))
+        here = (F.col("leader") == F.col("gl")) & (F.col("part") == F.col("gp"))
+        m = (mem.join(loads.filter("deals > 0"), here)
+             .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "tokens"))
+        found = scratch.keep(_opened(m, q, num, den), "found")
     edges = mem.filter("star <> cid").select(F.col("cid").alias("a"), F.col("star").alias("b")).unionByName(found)
     out = connected(edges, scratch)
-    scratch.drop(who, mem, asks)
+    scratch.drop(who, mem, asks, loads, found)
     return out
 
 
+def _opened(m: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges of all groups with the queries that meet them."""
+    m = m.toDF("ml", "mp", "md", "cid", "star", "n", "tokens")
+    q = q.toDF("ql", "qp", "qd", "x", "xstar", "xn", "xtokens")
+    return (m.groupBy("ml", "mp", "md").cogroup(q.groupBy("ql", "qp", "qd"))
+            .applyInPandas(open_group(num, den), "a long, b long"))
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The signed sets, and (node, root) of the linked classes."""
     signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den), "signed")
@@ -245,6 +265,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed, roots = _components(docs, id_col, text_col, num, den, scratch)
+    signed = signed.filter("sig is null")
     classes = signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("least"))
     linked = roots.join(classes, roots["node"] == classes["cid"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -262,7 +283,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     without words are linked with nothing and all stay; columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "keep")
     signed, roots = _components(docs, id_col, text_col, num, den, scratch)
-    rows = signed.filter(F.col("cid").isNotNull()).select("id", "cid").join(roots, F.col("cid") == F.col("node"), "left")
+    rows = signed.filter("sig is null and cid is not null").select("id", "cid").join(roots, F.col("cid") == F.col("node"), "left")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "cid")
     first = (rows.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min(rank).alias("w"))
              .select(F.col("w.id").alias("wid"), F.col("w.cid").alias("wcid")))

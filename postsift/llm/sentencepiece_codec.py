@@ -8,8 +8,8 @@ Works from the model file alone (BPE models with byte fallback):
   the model's settings.  Every normalised character records the source byte it came from.
 * segmentation: the best-scored adjacent pair of symbols is merged first, the leftmost on
   ties.  No piece holds a space mark after another character, so a text falls into words
-  that are segmented on their own, and a word's segmentation is remembered in a bounded
-  two-generation table.
+  that are segmented on their own: the new words of some texts together, one merge of each
+  at a time, on arrays.  A word's segmentation is remembered in a bounded table.
 * every piece is projected to its span of source bytes; of the bytes of a character that
   is not in the vocabulary the last one holds the span, the others are empty.
 
@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK = "▁"              # the escaped space
-REMEMBERED_WORDS = 200_000   # of each of the two generations of a worker's table
+MARK = "▁"                   # the escaped space in pieces; inside this module it is a space
+REMEMBERED_WORDS = 60_000    # of each of the two generations of a worker's table
+TOGETHER = 1 << 21           # characters of text whose words are segmented together
+LONG_WORD = 64               # characters; longer words are merged one by one, by a heap
 MAX_MODEL_BYTES = 64 << 20   # a model over this is refused, as it travels with each task
 _NO_RANK = 1 << 30
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -97,7 +99,19 @@ class CharacterMap:
         return found[0], self.values[found[1]:end].decode("utf-8")
 
 
-_runs = re.compile(MARK + r"*[^\W\d_]+|[^\W_]+|[\W_]").findall
+def _windows(norm: str):
+    """A normalised text in pieces of about ``TOGETHER`` characters, cut before a space that
+    begins a word."""
+    at, n = 0, len(norm)
+    while n - at > TOGETHER:
+        end = at + TOGETHER
+        while 0 < (end := norm.find(" ", end)) and norm[end - 1] == " ":
+            end += 1
+        if end < 0:
+            break
+        yield norm[at:end]
+        at = end
+    yield norm[at:]
 
 
 def _jump(unit: int) -> int:
@@ -126,30 +140,47 @@ class Codec:
                 self.dummy_prefix, self.trim, self.escape = bool(own.get(3, 1)), bool(own.get(4, 1)), bool(own.get(5, 1))
         if any(len(p) > 255 for p, _, _ in pieces):
             raise ValueError("pieces of over 255 characters are not supported")
+        if not self.escape:
+            raise ValueError("models that do not escape white space are not supported")
         if kind != 2 or not fallback or any(k in (USER_DEFINED, UNUSED) for _, _, k in pieces):
             raise ValueError("a BPE model with byte fallback and without user-defined or unused pieces is needed")
         self.map = CharacterMap(charmap)
-        self.pieces = [p for p, _, _ in pieces]
+        self.pieces = [p.replace(MARK, " ") for p, _, _ in pieces]
         self.kinds = [k for _, _, k in pieces]
-        self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
-        order = sorted({-s for _, s, k in pieces if k == NORMAL})
-        rank = {s: i for i, s in enumerate(order)}
-        self.rank = {p: rank[-s] for p, s, k in pieces if k == NORMAL}
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
+        scores = [s for _, s, _ in pieces]
+        order = {x: r for r, x in enumerate(sorted({-scores[i] for i in self.ids.values()}))}
+        self.rank = {p: order[-scores[i]] for p, i in self.ids.items()}
         self.byte_ids = [0] * 256
-        for i, (p, _, k) in enumerate(pieces):
+        for i, (p, k) in enumerate(zip(self.pieces, self.kinds)):
             if k == BYTE:
                 self.byte_ids[int(p[1:-1], 16)] = i
         long = [p for p in self.ids if len(p) > 1]
-        if any(MARK in p.lstrip(MARK) for p in long):
+        if any(" " in p.lstrip(" ") for p in long):
             raise ValueError("pieces with a space mark inside are not supported")
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in long))
         cls = re.escape(alone)
-        self.words = re.compile((f"[{cls}]|" if alone else "") + f"{MARK}*[^{MARK}{cls}]+|{MARK}+").findall
-        self.neighbours = {pair for p in long for pair in zip(p, p[1:])}
+        self.words = re.compile((f"[{cls}]|" if alone else "") + f" *[^ {cls}]+| +").findall
         self.numerals = [str(i) for i in range(len(pieces))]
-        self.surfaces = [p.replace(MARK, " ") if k == NORMAL else None for p, _, k in pieces]
         self.young: dict = {}
         self.old: dict = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for merging: the id of each character (-1: not in the vocabulary), and for
+        each pair of ids whose pieces join to a piece, the rank and id of that."""
+        n = len(self.pieces)
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+        pairs = [(self.ids[p[:k]] * n + self.ids[p[k:]], self.rank[p], i)
+                 for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        pairs.sort()
+        self.pair_keys = np.array([x[0] for x in pairs] + [1 << 62], np.int64)
+        self.pair_ranks = np.array([x[1] for x in pairs] + [_NO_RANK], np.int64)
+        self.pair_ids = np.array([x[2] for x in pairs] + [0], np.int64)
+        self.lengths = np.array([min(255, len(p)) for p in self.pieces], np.uint8)
 
     # ---- normalisation
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -158,16 +189,15 @@ class Codec:
         if not self.map.units and not self.trim:
             if not text:
                 return "", np.zeros(1, np.int64)
-            out = text.replace(" ", MARK) if self.escape else text
-            ends = _byte_starts(text)
+            out, ends = self._inside(text), _byte_starts(text)
             if self.dummy_prefix:
-                out, ends = (MARK if self.escape else " ") + out, np.concatenate([ends[:1], ends])
+                out, ends = " " + out, np.concatenate([ends[:1], ends])
             return out, ends
         return self._by_map(text.encode("utf-8"))
 
     def _by_map(self, b: bytes) -> tuple[str, np.ndarray]:
         at, n = 0, len(b)
-        space = MARK if self.escape else " "
+        space = " "
 
         def step(at):
             hit = self.map.longest(b, at)
@@ -200,31 +230,68 @@ class Codec:
             at += width
         end = at
         if self.trim:
-            while chars and chars[-1] == space:
+            while chars and chars[-1] in (space, MARK):
                 chars.pop()
                 end = starts.pop()
         starts.append(end)
-        return "".join(chars), np.array(starts, np.int64)
+        return self._inside("".join(chars)), np.array(starts, np.int64)
+
+    def _inside(self, text: str) -> str:
+        """Space marks of the text are spaces here, like the spaces that are escaped."""
+        return text.replace(MARK, " ") if MARK in text else text
 
     # ---- segmentation
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of what pairs of ids join to (no rank: nothing)."""
+        key = left * len(self.pieces) + right
+        at = np.searchsorted(self.pair_keys, key)
+        hit = self.pair_keys[at] == key
+        return np.where(hit, self.pair_ranks[at], _NO_RANK), self.pair_ids[at]
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids of all words in a row, and the number of pieces of each word.  All
+        characters must be in the vocabulary.  Each round merges in every word the best pair
+        (the leftmost on ties), until no word has one."""
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        sym = self.char_ids[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
+        done_ids, done_word = [], []
+        word = np.repeat(np.arange(len(words)), count)
+        rank, joined = self._look_up(sym, np.append(sym[1:], 0))
+        rank[np.cumsum(count) - 1] = _NO_RANK
+        while len(sym):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(rank, first)
+            size = np.diff(np.append(first, len(sym)))
+            over = np.repeat(best == _NO_RANK, size)
+            if over.any():
+                done_ids.append(sym[over])
+                done_word.append(word[over])
+                keep = ~over
+                sym, word, rank, joined = sym[keep], word[keep], rank[keep], joined[keep]
+                open_ = best != _NO_RANK
+                best, size = best[open_], size[open_]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            at = at[np.diff(word[at], prepend=-1) != 0]         # the leftmost of each word
+            sym[at] = joined[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))                         # places after the others went
+            sym, word, rank, joined = sym[keep], word[keep], rank[keep], joined[keep]
+            last = np.append(word[1:] != word[:-1], True)
+            rank[at], joined[at] = self._look_up(sym[at], np.append(sym, 0)[at + 1])
+            rank[last] = _NO_RANK
+            left = at - 1
+            left = left[(left >= 0) & (word[left] == word[at])]
+            rank[left], joined[left] = self._look_up(sym[left], sym[left + 1])
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.bincount(word, minlength=len(words))
+
     def merge(self, word: str) -> list[str]:
-        rank = self.rank.get
-        s = list(word)
-        if len(s) > 48:
-            return self._merge_long(s)
-        pairs = [rank(a + b, _NO_RANK) for a, b in zip(s, s[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == _NO_RANK:
-                break
-            i = pairs.index(best)
-            s[i] += s.pop(i + 1)
-            del pairs[i]
-            if i:
-                pairs[i - 1] = rank(s[i - 1] + s[i], _NO_RANK)
-            if i < len(pairs):
-                pairs[i] = rank(s[i] + s[i + 1], _NO_RANK)
-        return s
+        """Pieces of one word of any characters."""
+        return self._merge_long(list(word))
 
     def _merge_long(self, s: list[str]) -> list[str]:
         """The same by a heap over a linked list, for words of any length."""
@@ -265,67 +332,70 @@ class Codec:
                 used.extend([0] * (len(raw) - 1) + [1])
         return tuple(ids), tuple(used)
 
-    def stretches(self, word: str) -> list[str]:
-        """A word cut between letters and other characters, where no piece has the two
-        characters at the cut next to each other: no merge can cross there."""
-        runs = _runs(word)
-        if len(runs) < 2:
-            return runs
-        out, pairs = runs[:1], self.neighbours
-        for r in runs[1:]:
-            if (out[-1][-1], r[0]) in pairs:
-                out[-1] += r
-            else:
-                out.append(r)
-        return out
-
-    def learn(self, word: str) -> tuple[str, bytes, str]:
-        """(ids as text, characters used by each piece, decoded text) of a new word, which
-        is remembered."""
-        got = self.old.get(word)
-        if got is None:
-            own = self.stretches(word)
-            if len(own) == 1:
-                ids, used = self.word(word)
-                got = ",".join([self.numerals[i] for i in ids]), bytes(used), self.plain(ids)
+    def learn(self, words: list[str]) -> None:
+        """Remembers, for each of the words, (ids as text, characters used by each piece,
+        decoded text)."""
+        known = self.char_ids
+        plain, numerals, young = [], self.numerals, self.young
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        in_vocabulary = np.logical_and.reduceat(known[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)] >= 0,
+                                                np.concatenate([[0], np.cumsum(size)[:-1]]))
+        for w, fine in zip(words, (in_vocabulary & (size <= LONG_WORD)).tolist()):
+            if fine:
+                plain.append(w)
             else:
-                young = self.young
-                texts, used, plain = zip(*[young.get(o) or self.learn(o) for o in own])
-                got = ",".join(texts), b"".join(used), "".join(plain)
-        self.young[word] = got
-        return got
-
-    def parts(self, text: str) -> tuple[tuple, tuple, tuple, np.ndarray]:
-        """The texts of the ids, the characters used and the decoded texts of all words,
-        and the source bytes of the normalised text."""
-        norm, ends = self.normalise(text)
-        words = self.words(norm)
-        if not words:
-            return (), (), (), ends
-        if len(self.young) >= REMEMBERED_WORDS:
-            self.old, self.young = self.young, {}
-        for w in set(words).difference(self.young):
-            self.learn(w)
-        return *zip(*map(self.young.__getitem__, words)), ends
+                ids, used = self.word(w)
+                young[w] = ",".join([numerals[i] for i in ids]), bytes(used), self.plain(ids)
+        if plain:
+            ids, count = self.merge_all(plain)
+            used, texts = self.lengths[ids].tobytes(), [numerals[i] for i in ids.tolist()]
+            at = 0
+            for w, n in zip(plain, count.tolist()):
+                young[w] = ",".join(texts[at:at + n]), used[at:at + n], w
+                at += n
+
+    def parts(self, texts: list[str]) -> list[tuple[str, bytes, str, np.ndarray]]:
+        """For each text: its ids as text, the characters used by each piece, the decoded
+        text with the dummy prefix, and the source bytes of the normalised text."""
+        normal = [self.normalise(t) for t in texts]
+        out = [([], [], [], ends) for _, ends in normal]
+        todo = [(i, piece) for i, (norm, _) in enumerate(normal) for piece in _windows(norm)]
+        at = 0
+        while at < len(todo):
+            size, some = 0, []
+            while at < len(todo) and (not some or size + len(todo[at][1]) <= TOGETHER):
+                size += len(todo[at][1])
+                some.append((todo[at][0], self.words(todo[at][1])))
+                at += 1
+            if len(self.young) >= REMEMBERED_WORDS:
+                self.old, self.young = self.young, {}
+            need = set().union(*[w for _, w in some]).difference(self.young)
+            for w in need & self.old.keys():
+                self.young[w] = self.old[w]
+            if need := [w for w in need if w not in self.young]:
+                self.learn(need)
+            for i, words in some:
+                if words:
+                    for mine, found in zip(out[i], zip(*map(self.young.__getitem__, words))):
+                        mine.extend(found)
+        return [(",".join(ids), b"".join(used), "".join(plain), ends) for ids, used, plain, ends in out]
 
     @staticmethod
-    def spans(used: tuple, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(used: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Source bytes of each piece: begins and ends."""
-        n = np.frombuffer(b"".join(used), np.uint8)
+        n = np.frombuffer(used, np.uint8)
         last = np.cumsum(n, dtype=np.int64)
         return ends[last - n], ends[last]
 
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        return [([int(i) for i in ids.split(",")] if ids else [], *self.spans(used, ends)) for ids, used, _, ends in self.parts(texts)]
+
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        texts, used, _, ends = self.parts(text)
-        return [int(i) for t in texts for i in t.split(",")], *self.spans(used, ends)
+        return self.encode_all([text])[0]
 
     # ---- decoding
     def plain(self, ids) -> str:
         """Text of pieces in a row, the space of a dummy prefix included."""
-        try:
-            return "".join([self.surfaces[i] for i in ids])
-        except TypeError:       # a piece that is not of the normal kind
-            pass
         out, raw = [], bytearray()
         for i in ids:
             kind = self.kinds[i]
@@ -338,7 +408,7 @@ class Codec:
             if kind == UNKNOWN:
                 out.append(self.unk_surface)
             elif kind != CONTROL:
-                out.append(self.pieces[i].replace(MARK, " "))
+                out.append(self.pieces[i])
         if raw:
             out.append(_lenient(bytes(raw)))
         return "".join(out)
@@ -351,7 +421,7 @@ class Codec:
             for i in ids:
                 if self.kinds[i] == CONTROL:
                     continue
-                if self.kinds[i] != NORMAL or not self.pieces[i].startswith(MARK):
+                if self.kinds[i] != NORMAL or not self.pieces[i].startswith(" "):
                     break
                 drop += 1
                 if not self.trim or len(self.pieces[i]) > 1:
@@ -409,10 +479,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
     def run(batches):
         codec = _codec(model)
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                ids, begins, ends = codec.encode(t.as_py() or "")
-                rows.append((ids, begins, ends, codec.decode(ids)))
+            rows = [(*r, codec.decode(r[0])) for r in codec.encode_all([t or "" for t in b.column(1).to_pylist()])]
             cols = [pa.array([r[i] for r in rows], pa.list_(pa.int32() if i == 0 else pa.int64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([r[3] for r in rows], pa.string())],
                                              ["id", "ids", "begins", "ends", "decoded"])
@@ -423,6 +490,30 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def _ints(ids: str):
+    """The numbers of a comma-joined text, one by one."""
+    at = 0
+    while at < len(ids):
+        end = ids.find(",", at)
+        end = len(ids) if end < 0 else end
+        yield int(ids[at:end])
+        at = end + 1
+
+
+def _some(texts: pa.Array):
+    """Texts (null: empty) in lists of about ``TOGETHER`` characters."""
+    some, size = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if some and size + len(t) > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 def encode_digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Digests of what ``encode`` returns: id_col, n_tokens, ids_sha256 (decimal ids joined
     by commas), decoded_sha256 (UTF-8), spans_sha256 (the spans as little-endian 64-bit
@@ -431,15 +522,14 @@ def encode_digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col
         codec = _codec(model)
         for b in batches:
             n, ids_hex, decoded_hex, spans_hex = [], [], [], []
-            for t in b.column(1):
-                texts, used, plain, ends = codec.parts(t.as_py() or "")
-                begin, end = codec.spans(used, ends)
-                n.append(len(begin))
-                first = (int(i) for x in texts for i in x.split(","))
-                decoded = codec.strip_prefix("".join(plain), first)
-                ids_hex.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
-                decoded_hex.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                spans_hex.append(hashlib.sha256(np.column_stack([begin, end]).astype("<i8").tobytes()).hexdigest())
+            for some in _some(b.column(1)):
+                for ids, used, plain, ends in codec.parts(some):
+                    begin, end = codec.spans(used, ends)
+                    n.append(len(begin))
+                    decoded = codec.strip_prefix(plain, _ints(ids))
+                    ids_hex.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded_hex.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                    spans_hex.append(hashlib.sha256(np.column_stack([begin, end]).astype("<i8").tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()),
                                               pa.array(decoded_hex, pa.string()), pa.array(spans_hex, pa.string())],
                                              ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])

@@ -67,7 +67,8 @@ def check(model_bytes, texts):
         assert own.decode(ids) == lib.decode(ids), t
         for w in own.words(own.normalise(t)[0]):
             whole, used = own.word(w)
-            assert own.learn(w)[:2] == (",".join(map(str, whole)), bytes(used)), w
+            own.learn([w])
+            assert own.young[w] == (",".join(map(str, whole)), bytes(used), own.plain(whole)), w
         proto = lib.encode(t, return_type="proto")
         assert [(p.begin, p.end) for p in proto.pieces] == list(zip(begins, ends)), t
 
@@ -83,18 +84,28 @@ def test_compiled_maps(model, rule, dummy, trim):
     check(with_normaliser(model, blob, dummy, trim), TEXTS + rand_texts(150))
 
 
-def test_long_words(model):
+def test_merging_by_arrays_and_by_heap(model):
     own = sc.Codec(model)
     r = random.Random(1)
-    for _ in range(60):
-        w = "".join(r.choice("theandigo") for _ in range(r.randint(49, 400)))
-        slow = list(w)
+    words = ["".join(r.choice("theandigo ") for _ in range(r.randint(1, 90))).replace(" ", "") or "a" for _ in range(300)]
+
+    def plain(w):
+        s = list(w)
         while True:
-            best = min(((own.rank[a + b], i) for i, (a, b) in enumerate(zip(slow, slow[1:])) if a + b in own.rank), default=None)
+            best = min(((own.rank[a + b], i) for i, (a, b) in enumerate(zip(s, s[1:])) if a + b in own.rank), default=None)
             if best is None:
-                break
-            slow[best[1]:best[1] + 2] = [slow[best[1]] + slow[best[1] + 1]]
-        assert own.merge(w) == slow
+                return s
+            s[best[1]:best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
+
+    want = [plain(w) for w in words]
+    assert [own.merge(w) for w in words] == want
+    ids, count = own.merge_all(words)
+    assert [own.pieces[i] for i in ids] == [p for w in want for p in w] and count.tolist() == list(map(len, want))
+
+
+def test_windows_of_long_texts(model, monkeypatch):
+    monkeypatch.setattr(sc, "TOGETHER", 40)
+    check(model, TEXTS + rand_texts(200) + ["a b  c   d" * 100, "x" * 500, " " * 300])
 
 
 def test_bad_bytes_decode_as_library(model):
