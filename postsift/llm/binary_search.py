@@ -8,7 +8,8 @@ queries whose k-th verified distance is not covered yet, until it is.
 
 Equal codes are one entry that holds the k smallest ids, so a code that a third of the
 vectors share costs no more than another.  A pair that several segments or radii find is
-verified where it is found first, so that nothing has to be made distinct.
+verified where it is found first, so that nothing has to be made distinct, and is kept only
+if it is not farther than the k-th neighbour that its query has already.
 """
 
 from __future__ import annotations
@@ -84,14 +85,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
     parts = F.array(*[F.struct(F.lit(s).alias("seg"), c.alias("val")) for s, c in enumerate(segments_of(F.col("code"), bits, segments))])
     table = scratch.keep(entries.select("code", "ids", F.explode(parts).alias("p")).select("p.seg", "p.val", "code", "ids"), "table")
 
-    open_ = scratch.keep(asked.select("code").distinct(), "open")
+    # queries that go on, each with the k-th distance it has so far
+    open_ = scratch.keep(asked.select("code").distinct().withColumn("kth", F.lit(bits)), "open")
     best, done = None, []
     by = Window.partitionBy("query").orderBy("distance", "id")
     for r in range(width + 1):
         masks = [sum(1 << i for i in c) for c in combinations(range(width), r)]
-        probes = (open_.select(F.col("code").alias("query"), F.explode(parts).alias("p"))
-                  .select("query", F.col("p.seg").alias("seg"), F.col("p.val").alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-                  .select("query", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")))
+        probes = (open_.select(F.col("code").alias("query"), "kth", F.explode(parts).alias("p"))
+                  .select("query", "kth", F.col("p.seg").alias("seg"), F.col("p.val").alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+                  .select("query", "kth", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")))
         # the planner's size of the probes does not see what the masks multiply, so it must
         # not choose them for a broadcast
         j = probes.hint("merge").join(table, ["seg", "val"])
@@ -100,7 +102,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
         first = F.lit(True)
         for s, g in enumerate(gaps):
             first = first & F.when(F.col("seg") > s, g > r).when(F.col("seg") < s, g >= r).otherwise(F.lit(True))
-        found = (j.filter(first).select("query", distance(F.col("query"), F.col("code"), bits).alias("distance"), F.explode("ids").alias("id")))
+        far = distance(F.col("query"), F.col("code"), bits)
+        found = j.filter(first & (far <= F.col("kth"))).select("query", far.alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             found = found.unionByName(best.join(open_.select(F.col("code").alias("query")), "query"))
         top = found.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= k).drop("nth")
@@ -116,7 +119,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
         settled = F.coalesce((F.col("n") >= k) & (F.col("kth") <= covered), F.lit(False))
         ended = scratch.keep(best.join(state.filter(settled).select("query"), "query", "left_semi"), "done")
         done.append(ended)
-        rest = scratch.keep(state.filter(~settled).select(F.col("query").alias("code")), "open")
+        least = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(bits)).alias("kth")
+        rest = scratch.keep(state.filter(~settled).select(F.col("query").alias("code"), least), "open")
         scratch.drop(open_)
         open_ = rest
         if rest.isEmpty():

@@ -7,11 +7,11 @@ components of the links without listing the pairs inside a group of copies.
 1. Equal sets collapse to one class, keyed by a 64-bit hash of the set.
 2. Similar classes are found by a pigeonhole partition.  Sizes are cut into intervals; for
    an interval whose pairs can differ in at most D tokens, the token space is cut into
-   D + 1 slices, so that linked classes agree on all tokens of at least one slice.  A
-   class emits the hash of each slice for its own interval, and for the next one if its
-   partners may lie there.  Classes that share no slice hash with another are finished.
-3. Groups of the matrix: a class goes to the group of its leader, the smallest class it
-   shares a slice with.  A group holds at most about ``GROUP_TOKENS`` tokens; larger ones
+   D + SHARED slices, so that linked classes agree on all tokens of at least SHARED slices.
+   A class emits the hash of each slice for its own interval, and for the next one if its
+   partners may lie there.  Classes that share fewer slice hashes with others are finished.
+3. Groups of the matrix: a class goes to the group of its leader, of the smallest classes
+   of its slices the one it shares most slices with.  A group holds at most about ``GROUP_TOKENS`` tokens; larger ones
    are split by hash.  Classes that link with their leader are joined to it at once.
 4. What is left: class x and group g with a slice in common, where g has classes that are
    not joined with x yet.  The group's token union bounds the overlap of x with every
@@ -40,12 +40,13 @@ from .scratch import Scratch, runtime_filters
 GROUP_TOKENS = 1 << 17      # tokens in one group of the matrix (8 bytes each)
 QUERY_TOKENS = 1 << 19      # tokens of the queries that meet a group in one call
 INTERVAL_RATIO = 1.25       # of the set sizes in one interval
+SHARED = 3                  # slices that linked classes have in common at least
 
 
 @lru_cache(maxsize=8)
 def size_intervals(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each interval, and the slices of each: one more than the tokens in
-    which a linked pair of sizes up to the interval's last may differ (0: only equal sets
+    """First size of each interval, and the slices of each: ``SHARED`` more than the tokens
+    in which a linked pair of sizes up to the interval's last may differ (0: only equal sets
     link, no slices needed)."""
     lows = [1]
     while lows[-1] <= largest * den // num + 1:
@@ -55,7 +56,7 @@ def size_intervals(num: int, den: int, largest: int) -> tuple[np.ndarray, np.nda
     period = 2 * (num + den) // max(1, den - num) + 2
     for high in (x - 1 for x in lows[1:]):
         most = max(t - 2 * -(-num * t // (num + den)) for t in range(max(1, 2 * high - period), 2 * high + 1))
-        slices.append(most + 1 if most > 0 else 0)
+        slices.append(most + SHARED if most > 0 else 0)
     return np.array(lows), np.array(slices)
 
 
@@ -176,7 +177,7 @@ def open_group(num: int, den: int):
     return run
 
 
-def _classes_linked(docs: DataFrame, signed: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
     slices = signed.filter("sig is not null").select("cid", "sig")
     shared = (slices.groupBy("sig").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"))
@@ -185,14 +186,17 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, scratch: Scratch, num: i
     with runtime_filters(docs.sparkSession):
         near = scratch.keep(slices.join(shared.filter("leader < last").drop("last"), "sig").distinct(), "near")
     scratch.drop(shared)
-    led = near.groupBy("cid").agg(F.min("leader").alias("leader"))
+    pairs = near.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("k"))
+    led = (pairs.groupBy("cid").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"), F.sum("k").alias("shared"))
+           .filter(F.col("shared") >= SHARED).drop("shared"))
 
     # one document of each class that shares a slice gives the token set; the id only narrows
     # the texts down, the set itself says which class it is
     heads = led.filter("leader <> cid").select(F.col("leader").alias("cid")).distinct().withColumn("head", F.lit(True))
-    who = (signed.filter("sig is null and cid is not null").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n"))
+    who = (rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n"))
            .join(led, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", F.lit(False))))
     who = scratch.keep(who, "who")
+    scratch.drop(signed)
     with runtime_filters(docs.sparkSession):
         ids = who.filter("n > 0").select("wid")
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
@@ -215,11 +219,13 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, scratch: Scratch, num: i
     # not compared with x as its leader or follower
     placed = near.select("sig", "cid").join(mem.drop("tokens"), "cid")
     cells = placed.groupBy("sig", "leader", "part").agg(
-        F.min("star").alias("s0"), F.max("star").alias("s1"), F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.count(F.lit(1)).alias("k"))
+        F.min("star").alias("s0"), F.max("star").alias("s1"), F.min("cid").alias("c0"), F.max("cid").alias("c1"),
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.count(F.lit(1)).alias("k"))
     cells = cells.withColumnRenamed("leader", "gl").withColumnRenamed("part", "gp")
     other_star = (F.col("s0") != F.col("star")) | (F.col("s1") != F.col("star"))
     met = F.col("c0").isin(F.col("cid"), F.col("leader")) & F.col("c1").isin(F.col("cid"), F.col("leader")) & (F.col("k") <= 2)
-    asks = (placed.join(cells, "sig").filter(other_star & (F.col("gl") != F.col("cid")) & ~met)
+    sizes = (F.col("n1") * den >= F.col("n") * num) & (F.col("n0") * num <= F.col("n") * den)
+    asks = (placed.join(cells, "sig").filter(other_star & sizes & (F.col("gl") != F.col("cid")) & ~met)
             .select("cid", "star", "n", "gl", "gp").distinct())
     asks = scratch.keep(asks, "asks")
     scratch.drop(near)
@@ -246,10 +252,11 @@ def _opened(m: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The signed sets, and (node, root) of the linked classes."""
+    """(id, n, cid) of every document, and (node, root) of the linked classes."""
     signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den), "signed")
+    rows = scratch.keep(signed.filter("sig is null").drop("sig"), "rows")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return signed, scratch.keep(_classes_linked(plain, signed, scratch, num, den), "roots")
+    return rows, scratch.keep(_classes_linked(plain, signed, rows, scratch, num, den), "roots")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -265,7 +272,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed, roots = _components(docs, id_col, text_col, num, den, scratch)
-    signed = signed.filter("sig is null")
     classes = signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("least"))
     linked = roots.join(classes, roots["node"] == classes["cid"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -283,7 +289,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     without words are linked with nothing and all stay; columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "keep")
     signed, roots = _components(docs, id_col, text_col, num, den, scratch)
-    rows = signed.filter("sig is null and cid is not null").select("id", "cid").join(roots, F.col("cid") == F.col("node"), "left")
+    rows = signed.filter("cid is not null").select("id", "cid").join(roots, F.col("cid") == F.col("node"), "left")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "cid")
     first = (rows.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min(rank).alias("w"))
              .select(F.col("w.id").alias("wid"), F.col("w.cid").alias("wcid")))
