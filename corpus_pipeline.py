@@ -7,6 +7,8 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from postsift.llm.queries import OP10, PIECE_MODEL, SOURCE_WEIGHTS, tokenizer_pa
 from postsift.llm.scratch import Scratch
 from postsift.plans.tables import table
 
+# Session settings of the job: texts reach Python tasks in batches of bounded bytes, whatever
+# the length of a document, so that a worker's memory does not depend on it.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,12 +53,23 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return sentencepiece_codec.encode_digests(docs, model)
 
 
+def _stage(function):
+    """``function`` with the settings of the job."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("pii", redact_personal_data),
-    ("source_mixing", mix_sources),
-    ("sentencepiece", encode_tokens),
+    ("language_id", _stage(identify_language)),
+    ("near_duplicates", _stage(drop_near_duplicates)),
+    ("pii", _stage(redact_personal_data)),
+    ("source_mixing", _stage(mix_sources)),
+    ("sentencepiece", _stage(encode_tokens)),
 ]
 
 # Learned classifiers and seeded draws are not SQL; tests compare with brute force.

@@ -10,8 +10,8 @@ components of the links without listing the pairs inside a group of copies.
    D + SHARED slices, so that linked classes agree on all tokens of at least SHARED slices.
    A class emits the hash of each slice for its own interval, and for the next one if its
    partners may lie there.  Classes that share fewer slice hashes with others are finished.
-3. Groups of the matrix: a class goes to the group of its leader, of the smallest classes
-   of its slices the one it shares most slices with.  A group holds at most about ``GROUP_TOKENS`` tokens; larger ones
+3. Groups of the matrix: a class goes to the group of its leader, the most typical class
+   that it shares slices with: the one with the most slices that others have too.  A group holds at most about ``GROUP_TOKENS`` tokens; larger ones
    are split by hash.  Classes that link with their leader are joined to it at once.
 4. What is left: class x and group g with a slice in common, where g has classes that are
    not joined with x yet.  The group's token union bounds the overlap of x with every
@@ -180,15 +180,17 @@ def open_group(num: int, den: int):
 def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
     slices = signed.filter("sig is not null").select("cid", "sig")
-    shared = (slices.groupBy("sig").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"))
-              .filter(F.col("leader") < F.col("last")))
+    shared = slices.groupBy("sig").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter(F.col("first") < F.col("last"))
     shared = scratch.keep(shared, "shared")
     with runtime_filters(docs.sparkSession):
-        near = scratch.keep(slices.join(shared.filter("leader < last").drop("last"), "sig").distinct(), "near")
+        near = scratch.keep(slices.join(shared.filter("first < last").select("sig"), "sig").distinct(), "near")
     scratch.drop(shared)
-    pairs = near.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("k"))
-    led = (pairs.groupBy("cid").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"), F.sum("k").alias("shared"))
-           .filter(F.col("shared") >= SHARED).drop("shared"))
+    # the leader of a slice is the class that shares most slices, the most typical one
+    weight = near.groupBy("cid").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= SHARED)
+    near = scratch.keep(near.join(weight, "cid"), "near")
+    top = near.groupBy("sig").agg(F.max(F.struct("w", "cid")).alias("top")).select("sig", F.col("top.w").alias("lw"), F.col("top.cid").alias("leader"))
+    pairs = near.join(top, "sig").groupBy("cid", "leader", "lw").agg(F.count(F.lit(1)).alias("k"))
+    led = pairs.groupBy("cid").agg(F.max(F.struct(F.col("k") >= SHARED, "lw", "leader")).alias("best")).select("cid", F.col("best.leader").alias("leader"))
 
     # one document of each class that shares a slice gives the token set; the id only narrows
     # the texts down, the set itself says which class it is
@@ -226,7 +228,7 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
     met = F.col("c0").isin(F.col("cid"), F.col("leader")) & F.col("c1").isin(F.col("cid"), F.col("leader")) & (F.col("k") <= 2)
     sizes = (F.col("n1") * den >= F.col("n") * num) & (F.col("n0") * num <= F.col("n") * den)
     asks = (placed.join(cells, "sig").filter(other_star & sizes & (F.col("gl") != F.col("cid")) & ~met)
-            .select("cid", "star", "n", "gl", "gp").distinct())
+            .groupBy("cid", "star", "n", "gl", "gp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED).drop("k"))
     asks = scratch.keep(asks, "asks")
     scratch.drop(near)
     loads = scratch.keep(asks.groupBy("gl", "gp").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals")), "loads")
