@@ -259,7 +259,9 @@ def oracle_sql() -> dict[str, str]:
         "tidy_output": f"SELECT CAST(doc_id AS VARCHAR) AS tweet_id, source AS screen_name, {sql_tidy('text')} AS text FROM documents",
         "timeline_json": ("SELECT o_orderkey AS tweet_id, o_custkey AS user_id, o_orderpriority AS text,"
                           f" strftime(o_orderdate, {TS}) AS created_at FROM orders"),
-        "csv_round_trip": "SELECT doc_id, source, text, n_chars FROM documents",
+        "csv_round_trip": ("SELECT doc_id, CASE doc_id % 10 WHEN 4 THEN source || ' a+b=50%/c' WHEN 5 THEN NULL ELSE source END AS source,"
+                           " CASE doc_id % 10 WHEN 1 THEN 'NA' WHEN 2 THEN '' WHEN 3 THEN '  ' || text || ' ' || chr(9) ELSE text END AS text,"
+                           " n_chars FROM documents"),
         "stream_ingest": ("SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS favorites,"
                           " strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS created_at_raw FROM events"
                           f" WHERE event_type NOT IN {RT_TYPES}"),

@@ -204,7 +204,7 @@ def _conv_posts(spark, sf):
 
 def q_exclude_replies(spark, sf):
     p = filters.exclude_replies(_conv_posts(spark, sf), "in_reply_to_turn")
-    return p.select("conv_id", "turn", "role", "text")
+    return filters.select_by_name(p, ["conv_id", "turn", "role", "text"])
 
 
 def q_retweeter_edges(spark, sf):
@@ -531,7 +531,12 @@ def q_segment_counts(spark, sf):
 
 # ------------------------------------------------------------------ sinks
 def q_csv_round_trip(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
+    """S6-S9, S13 with texts and keys that a CSV file can lose: the word NA, the empty string,
+    white space at the ends, keys with signs that paths escape."""
+    kind = F.col("doc_id") % 10
+    text = (F.when(kind == 1, "NA").when(kind == 2, "").when(kind == 3, F.concat(F.lit("  "), "text", F.lit(" \t"))).otherwise(F.col("text")))
+    key = F.when(kind == 4, F.concat("source", F.lit(" a+b=50%/c"))).when(kind != 5, F.col("source"))
+    d = _t(spark, sf, "documents").select("doc_id", key.alias("source"), text.alias("text"), "n_chars")
     path = scratch_path(spark, "csv")
     csv_files.write_csv(d, path, partition_by="source")
     schema = "doc_id BIGINT, text STRING, n_chars BIGINT, source STRING"
