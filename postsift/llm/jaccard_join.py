@@ -26,6 +26,7 @@ aggregates, joins are split by AQE, and groups and their queries are of bounded
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 from .components import connected
 from .hashing import U, mix, set_key, shingle_set
 from .scratch import Scratch, runtime_filters
+from .memory import handing_back
 
 GROUP_TOKENS = 1 << 17      # tokens in one group of the matrix (8 bytes each)
-QUERY_TOKENS = 1 << 19      # tokens of the queries that meet a group in one call
+QUERY_TOKENS = 1 << 17      # tokens of the queries that meet a group in one call
 INTERVAL_RATIO = 1.25       # of the set sizes in one interval
 SHARED = 3                  # slices that linked classes have in common at least
 
@@ -94,6 +96,8 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int)
     key; null when empty), with a null sig; and for each of its slice hashes cid and sig."""
     kind = docs.select(F.col(id_col).alias("id")).schema["id"]
 
+    @handing_back
+
     def run(batches):
         names = ["id", "n", "cid", "sig"]
         for b in batches:
@@ -116,6 +120,7 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int)
 
 def token_sets(docs: DataFrame) -> DataFrame:
     """cid and sorted tokens of the texts that have any."""
+    @handing_back
     def run(batches):
         for b in batches:
             sets = [s for s in (shingle_set(t.as_py()) for t in b.column(0)) if len(s)]
@@ -298,9 +303,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     first = scratch.keep(first, "first")
 
     @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        sets = [shingle_set(t) for t in texts]
-        return pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @handing_back
+        def run(batches):
+            for texts in batches:
+                sets = (shingle_set(t) for t in texts)
+                yield pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
+
+        yield from run(batches)
 
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key(F.col(text_col)).alias("cid"))
     # one shuffle of the texts serves the join and the choice among repeated rows

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import handing_back
+
 BUCKETS = 1 << 15            # of hashed n-grams
 MAX_LANGUAGES = 256          # bounds the count table (BUCKETS x MAX_LANGUAGES) and codewords
 MAX_EXHAUSTIVE = 5           # up to here every split of the languages is a bit
@@ -130,6 +133,8 @@ def learn(rows: DataFrame, text_col: str, lang_col: str) -> Model:
     languages.sort(key=lambda s: s.encode("utf-32-be", "surrogatepass"))
     place = {x: i for i, x in enumerate(languages)}
 
+    @handing_back
+
     def count(batches):
         total = np.zeros((len(place), BUCKETS), np.int64)
         for b in batches:
@@ -177,9 +182,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)   # BUCKETS x bits numbers, a fixed size
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def decide(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        return pd.DataFrame([m.decide(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
+    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @handing_back
+        def run(batches):
+            m = shared.value
+            for texts in batches:
+                yield pd.DataFrame([m.decide(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
+
+        yield from run(batches)
 
     return docs.withColumn("language", decide(F.col(text_col)))
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import handing_back
+
 NUM, DEN = 80, 100           # a unit matches from a coefficient of NUM / DEN on
 MAX_TEMPLATE_BYTES = 16 << 20    # templates travel with each task; more are refused
 NO_WARRANTY = (
@@ -152,6 +154,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
     empty result.  The templates travel with the tasks and are bounded in size."""
     scanner = Scanner(templates, num, den)
 
+    @handing_back
+
     def run(batches):
         for b in batches:
             rows = [scanner.scan(t.as_py()) for t in b.column(1)]

@@ -20,7 +20,7 @@ Only the table of sources (name and size) goes through the driver; it is refused
 from __future__ import annotations
 
 import re
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .memory import handing_back
 
 MAX_SOURCES = 100_000
 BUCKETS = 256            # parts of a source's stream that are summed on their own
@@ -124,6 +125,8 @@ def slots(spark, table: pd.DataFrame, shard_blocks: int, seed: int) -> DataFrame
     quota, blocks = table["quota"].to_numpy(), table["blocks"].to_numpy()
     shards = -(-int(quota.sum()) // shard_blocks)
 
+    @handing_back
+
     def run(batches):
         for b in batches:
             for k in b["id"]:
@@ -246,9 +249,14 @@ class Mix:
         i = cols.index(self.text_col)
 
         @F.pandas_udf("array<string>")
-        def cut(texts: pd.Series, sizes: pd.Series, drawn: pd.Series) -> pd.Series:
-            return pd.Series([copies(t, n, [(x["from_word"], x["to_word"], x["times"]) for x in d]) for t, n, d in zip(texts, sizes, drawn)],
-                             dtype=object)
+        def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            @handing_back
+            def run(batches):
+                for texts, sizes, drawn in batches:
+                    yield pd.Series([copies(t, n, [(x["from_word"], x["to_word"], x["times"]) for x in d])
+                                     for t, n, d in zip(texts, sizes, drawn)], dtype=object)
+
+            yield from run(batches)
 
         out = j.select("row", cut(F.col("row")[self.text_col], F.col("size"), F.col("drawn")).alias("copies"))
         out = out.select("row", F.explode("copies").alias("copy"))

@@ -13,6 +13,7 @@ Positions are code points, ends are exclusive.
 from __future__ import annotations
 
 import re
+from typing import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import apart, digest, joined, ordered
+from .memory import handing_back
 
 # The kinds, as listed.
 BASE = ("email", "ip", "card", "phone")
@@ -197,6 +199,7 @@ def redact(text: str | None) -> str | None:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, spans: array of (kind, start, end, score).  Null and empty texts have none;
     one row per input row, repeated rows and null ids included; other columns are ignored."""
+    @handing_back
     def run(batches):
         for b in batches:
             found = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in find(t.as_py())] for t in b.column(1)]
@@ -213,14 +216,20 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced; null stays null, all other
     columns and the number of rows stay."""
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @handing_back
+        def run(batches):
+            for texts in batches:
+                yield texts.map(redact, na_action="ignore")
+
+        yield from run(batches)
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, counts of the base kinds, base_sha256 and spans (kind:start:end, joined)."""
+    @handing_back
     def run(batches):
         for b in batches:
             rows = []

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, mix, utf8, word_hashes
 from .scratch import Scratch
+from .memory import handing_back
 
 # Frequent function words of the languages that the rules know.
 STOP_WORDS = ("the of and to in is that it was for on with as be by this are from "
@@ -112,6 +113,7 @@ def stats(text: str | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, STATS, and the votes as one number (base 3)."""
+    @handing_back
     def run(batches):
         for b in batches:
             s = pd.DataFrame([stats(t.as_py()) for t in b.column(1)], columns=STATS, dtype="int64")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import apart, digest, joined, ordered
+from .memory import handing_back
 
 # The kinds, as listed.
 BASE = ("assign", "access", "hex")
@@ -121,6 +122,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, spans: array of (kind, start, end).  Null and empty texts have none; one row
     per input row, repeated rows and null ids included; other columns are ignored."""
+    @handing_back
     def run(batches):
         for b in batches:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t.as_py())] for t in b.column(1)]
@@ -135,6 +137,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, counts of the base kinds, base_sha256 and spans (kind:start:end, joined)."""
+    @handing_back
     def run(batches):
         for b in batches:
             rows = []

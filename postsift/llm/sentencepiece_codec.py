@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import handing_back
+
 MARK = "▁"                   # the escaped space in pieces; inside this module it is a space
-REMEMBERED_WORDS = 60_000    # of each of the two generations of a worker's table
-TOGETHER = 1 << 21           # characters of text whose words are segmented together
+REMEMBERED_WORDS = 30_000    # of each of the two generations of a worker's table
+TOGETHER = 1 << 20           # characters of text whose words are segmented together
 LONG_WORD = 64               # characters; longer words are merged one by one, by a heap
 MAX_MODEL_BYTES = 64 << 20   # a model over this is refused, as it travels with each task
 _NO_RANK = 1 << 30
@@ -354,6 +356,9 @@ class Codec:
                 young[w] = ",".join(texts[at:at + n]), used[at:at + n], w
                 at += n
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def parts(self, texts: list[str]) -> list[tuple[str, bytes, str, np.ndarray]]:
         """For each text: its ids as text, the characters used by each piece, the decoded
         text with the dummy prefix, and the source bytes of the normalised text."""
@@ -476,6 +481,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
 
     Null or empty text: empty arrays and an empty string.  One row per input row, repeated
     rows and null ids included; other columns are ignored; whole texts of any length."""
+    @handing_back
     def run(batches):
         codec = _codec(model)
         for b in batches:
@@ -483,6 +489,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
             cols = [pa.array([r[i] for r in rows], pa.list_(pa.int32() if i == 0 else pa.int64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([r[3] for r in rows], pa.string())],
                                              ["id", "ids", "begins", "ends", "decoded"])
+        codec.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -518,6 +525,7 @@ def encode_digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col
     """Digests of what ``encode`` returns: id_col, n_tokens, ids_sha256 (decimal ids joined
     by commas), decoded_sha256 (UTF-8), spans_sha256 (the spans as little-endian 64-bit
     begin, end).  Inputs are treated alike."""
+    @handing_back
     def run(batches):
         codec = _codec(model)
         for b in batches:
@@ -533,6 +541,7 @@ def encode_digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()),
                                               pa.array(decoded_hex, pa.string()), pa.array(spans_hex, pa.string())],
                                              ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+        codec.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
