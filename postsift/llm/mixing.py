@@ -220,13 +220,15 @@ class Mix:
                                              "name string, src long, source_size long, target double")
 
     def takes(self) -> DataFrame:
-        """How often the mix takes each block: src, block, times."""
+        """How often the mix takes each block: src, block, times.  The planner knows nothing of
+        the size of the slots, nor of what exploding documents into pieces multiplies, so joins
+        of the two ask for a merge join: neither side has a bound that would allow a broadcast."""
         return self.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
 
     def taken(self) -> DataFrame:
         """id_col, size, source_size, target, taken: one row per row of ``docs``."""
         starts = self.scratch.keep(placed(self.rows, self.numbers), "starts")
-        words = (pieces(starts, self.block_words).join(self.takes(), ["src", "block"])
+        words = (pieces(starts, self.block_words).hint("merge").join(self.takes(), ["src", "block"])
                  .groupBy("src", "start").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("taken")))
         full = starts.filter("size > 0").join(words, ["src", "start"], "left")
         out = full.unionByName(starts.filter("size = 0").withColumn("taken", F.lit(None).cast("long")))
@@ -243,7 +245,7 @@ class Mix:
                                 word_count(self.text_col).alias("size"), row.alias("row")).filter("size > 0")
         starts = placed(docs, self.numbers, carry=["row"])
         narrow = self.scratch.keep(placed(self.rows.filter("size > 0").withColumn("row", F.lit(0)), self.numbers), "starts")
-        drawn = (pieces(narrow, self.block_words).join(self.takes(), ["src", "block"])
+        drawn = (pieces(narrow, self.block_words).hint("merge").join(self.takes(), ["src", "block"])
                  .groupBy("src", "start").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("drawn")))
         j = starts.select("src", "start", "size", "row").join(drawn, ["src", "start"])
         i = cols.index(self.text_col)
