@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .memory import handing_back
 
 MARK = "▁"                   # the escaped space in pieces; inside this module it is a space
-REMEMBERED_WORDS = 30_000    # of each of the two generations of a worker's table
+REMEMBERED_WORDS = 60_000    # of each of the two generations of a worker's table
 TOGETHER = 1 << 20           # characters of text whose words are segmented together
 LONG_WORD = 64               # characters; longer words are merged one by one, by a heap
 MAX_MODEL_BYTES = 64 << 20   # a model over this is refused, as it travels with each task
@@ -357,7 +357,8 @@ class Codec:
                 at += n
 
     def forget(self) -> None:
-        self.young, self.old = {}, {}
+        """Drops the older generation of the remembered words."""
+        self.old = {}
 
     def parts(self, texts: list[str]) -> list[tuple[str, bytes, str, np.ndarray]]:
         """For each text: its ids as text, the characters used by each piece, the decoded
