@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from postsift.llm import language_id, mixing, pii, sentencepiece_codec
 from postsift.llm.jaccard_join import keep_one
-from postsift.llm.queries import OP10, PIECE_MODEL, SOURCE_WEIGHTS, tokenizer_path
+from postsift.llm.queries import PIECE_MODEL, SOURCE_WEIGHTS, tokenizer_path
 from postsift.llm.scratch import Scratch
 from postsift.plans.tables import table
 
 # Session settings of the job: texts reach Python tasks in batches of bounded bytes, whatever
 # the length of a document, so that a worker's memory does not depend on it.
 SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+# Near duplicates: five-word shingles from a similarity of 0.8 on (operator 10 has its own parameters).
+NEAR = dict(width=5, num=80, den=100)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked documents."""
-    return keep_one(docs, **OP10).select(*COLUMNS)
+    return keep_one(docs, **NEAR).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with a token-group matrix (operator 10).
 
-Every document is the set of its 3-word shingles; two documents link when
+Every document is the set of its shingles of ``width`` words (3 unless given); two documents link when
 ``den * |intersection| >= num * |union|``.  The join is exact and finds the connected
 components of the links without listing the pairs inside a group of copies.
 
@@ -91,7 +91,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if len(values) else np.empty(0, np.int64)))
 
 
-def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
+def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, width: int) -> DataFrame:
     """Two sorts of rows from one pass: for each document id, n (set size) and cid (class
     key; null when empty), with a null sig; and for each of its slice hashes cid and sig."""
     kind = docs.select(F.col(id_col).alias("id")).schema["id"]
@@ -103,7 +103,7 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int)
         for b in batches:
             n, cid, sigs = [], [], []
             for text in b.column(1):
-                s = shingle_set(text.as_py())
+                s = shingle_set(text.as_py(), width)
                 n.append(len(s))
                 cid.append(set_key(s) if len(s) else None)
                 sigs.append(slice_hashes(s, num, den))
@@ -118,12 +118,12 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int)
         run, f"id {kind.dataType.simpleString()}, n long, cid long, sig long")
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
+def token_sets(docs: DataFrame, width: int) -> DataFrame:
     """cid and sorted tokens of the texts that have any."""
     @handing_back
     def run(batches):
         for b in batches:
-            sets = [s for s in (shingle_set(t.as_py()) for t in b.column(0)) if len(s)]
+            sets = [s for s in (shingle_set(t.as_py(), width) for t in b.column(0)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), _lists(sets)], ["cid", "tokens"])
 
     return docs.select("text").mapInArrow(run, "cid long, tokens array<long>")
@@ -182,7 +182,7 @@ def open_group(num: int, den: int):
     return run
 
 
-def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
     slices = signed.filter("sig is not null").select("cid", "sig")
     shared = slices.groupBy("sig").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter(F.col("first") < F.col("last"))
@@ -207,7 +207,7 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
     with runtime_filters(docs.sparkSession):
         ids = who.filter("n > 0").select("wid")
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
-        once = token_sets(texts).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+        once = token_sets(texts, width).groupBy("cid").agg(F.first("tokens").alias("tokens"))
         sets = scratch.keep(once.join(who.drop("wid"), "cid"), "sets")
 
     # classes that link with their leader become its star
@@ -258,16 +258,16 @@ def _opened(m: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
             .applyInPandas(open_group(num, den), "a long, b long"))
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, cid) of every document, and (node, root) of the linked classes."""
-    signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den), "signed")
+    signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den, width), "signed")
     rows = scratch.keep(signed.filter("sig is null").drop("sig"), "rows")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows, scratch.keep(_classes_linked(plain, signed, rows, scratch, num, den), "roots")
+    return rows, scratch.keep(_classes_linked(plain, signed, rows, scratch, num, den, width), "roots")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       num: int = 90, den: int = 100) -> DataFrame:
+                       num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, and root (key of the
     component; null for an empty set).
 
@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    signed, roots = _components(docs, id_col, text_col, num, den, scratch)
+    signed, roots = _components(docs, id_col, text_col, num, den, width, scratch)
     classes = signed.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("least"))
     linked = roots.join(classes, roots["node"] == classes["cid"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -290,12 +290,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), "root")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 90, den: int = 100) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of linked documents
     does: the one with the smallest id (null ids last, the smallest text on ties).  Rows
     without words are linked with nothing and all stay; columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "keep")
-    signed, roots = _components(docs, id_col, text_col, num, den, scratch)
+    signed, roots = _components(docs, id_col, text_col, num, den, width, scratch)
     rows = signed.filter("cid is not null").select("id", "cid").join(roots, F.col("cid") == F.col("node"), "left")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "cid")
     first = (rows.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min(rank).alias("w"))
@@ -307,7 +308,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
         @handing_back
         def run(batches):
             for texts in batches:
-                sets = (shingle_set(t) for t in texts)
+                sets = (shingle_set(t, width) for t in texts)
                 yield pd.Series([set_key(s) if len(s) else None for s in sets], dtype="Int64")
 
         yield from run(batches)

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, and the registration of the queries."""
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -73,6 +74,32 @@ def test_near_duplicate_stage(stages):
     assert set(got) == want and len(got) == len(want) < len(b)
 
 
+def test_near_duplicates_are_of_five_words_and_08(spark):
+    """Copies between the rule of operator 10 and that of the stage, and just under the latter."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(10):
+        base = [f"w{r.randint(0, 3000)}" for _ in range(100)]
+        middle = base[:50] + ["new"] + base[51:]
+        texts += [base, base[:78], base[:82], base + [f"n{i}" for i in range(20)], base[:52], base[:52][:25] + ["new"] + base[26:52],
+                  middle, base[:20] + ["a"] + base[21:60] + ["b"] + base[61:], base[:8], base[4:12]]
+    texts = [" ".join(t) for t in texts]
+
+    def five(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets, up = [five(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) and up[i] != up[j]:
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(x.doc_id for x in dict(cp.STAGES)["near_duplicates"](spark, docs, "").collect())
+    assert got == sorted(set(up)) and got != sorted({c for _, _, c in brute(list(enumerate(texts)))})
+
+
 def test_pii_stage(stages):
     before, after = stages["pii"]
     want = [(d, pii.redact(t), lang, s, len(pii.redact(t))) for d, t, lang, s, _ in rows(before)]
