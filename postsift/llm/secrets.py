@@ -34,7 +34,7 @@ THRESHOLDS = {"hex": 3.0, "base64": 3.9}
 ALLOWED = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",     # UUID
     r"[A-Z]?[a-z]+(?:[-_/+=]+[A-Z]?[a-z]+)*[-_/+=]*",             # words in a row
-    r"(?:[A-Z]?[a-z]{2,}){3,}[0-9]{0,3}",                         # CamelCase names
+    r"(?:[A-Z]?+[a-z]{2,}+)++[0-9]{0,3}+",                        # CamelCase names (of 17 letters and more, so three parts)
     r"[-_=+/0-9]+",                                               # numbers and rules
     r".*(?:EXAMPLE|example|XXXX|xxxx|placeholder|your[-_]).*",    # samples
 )

@@ -2,13 +2,17 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from math import log2
+from pathlib import Path
 
 import pytest
 
 from postsift.llm import pii, secrets
 
+ROOT = Path(__file__).parents[2]
 PLAIN_PII = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.split("."))),
@@ -132,6 +136,19 @@ def test_entropy_and_allow_list():
     assert [s[0] for s in secrets.find(f"token={key}")] == ["assign"]      # no second span over a base span
 
 
+def test_allow_list_is_linear():
+    r, old = random.Random(6), re.compile(r"(?:[A-Z]?[a-z]{2,}){3,}[0-9]{0,3}")
+    new = re.compile(next(p for p in secrets.ALLOWED if p.startswith("(?:[A-Z]?+")))
+    for _ in range(20000):
+        s = "".join(r.choice(("a", "bc", "def", "Ab", "Cde", "Fghi", "X") if r.random() < 0.97 else "09/") for _ in range(r.randint(5, 14)))
+        s = (s + "".join(r.choice("019") for _ in range(r.randint(0, 4))))[:34]
+        if len(s) >= 20:
+            assert bool(old.fullmatch(s)) == bool(new.fullmatch(s)), s
+    code = "import sys; from postsift.llm import secrets; run = 'qwertyuiop' * 1000; print(secrets.find(f'see {run}0a {run}/Z9 {run}12 there'))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60, cwd=ROOT)
+    assert done.stdout == "[]\n", done.stderr
+
+
 @pytest.mark.parametrize("module,texts", [(pii, PII_TEXTS), (secrets, SECRET_TEXTS)])
 def test_operators(spark, module, texts):
     rows = [(None if i == 2 else i, t, "s", 1) for i, t in enumerate([None, *texts, texts[-1]])]
