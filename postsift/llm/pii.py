@@ -102,6 +102,20 @@ def _ips(text: str):
             yield m.span()
 
 
+def _ibans(text: str):
+    at = 0
+    while m := _iban.search(text, at):
+        hit = m.group()
+        # following words in capitals may have been taken in: also try the shorter forms
+        while not mod97(hit) and " " in hit:
+            hit = hit[:hit.rindex(" ")]
+        if mod97(hit):
+            at = m.start() + len(hit)
+            yield m.start(), at
+        else:
+            at = m.start() + 1          # the pattern starts with words only
+
+
 def _proposals(text: str):
     """(kind, start, end) of what passes form and checksum."""
     if "@" in text:
@@ -121,16 +135,8 @@ def _proposals(text: str):
         for m in _phone.finditer(text):
             if 9 <= len(_not_digit.sub("", m.group())) <= 15:
                 yield "phone", *m.span()
-    for m in _iban.finditer(text):
-        hit = m.group()
-        # a following word in capitals may have been taken in: also try the shorter forms
-        while True:
-            if mod97(hit):
-                yield "iban", m.start(), m.start() + len(hit)
-                break
-            if " " not in hit:
-                break
-            hit = hit[:hit.rindex(" ")]
+    for s, e in _ibans(text):
+        yield "iban", s, e
     if not _three(text):
         return
     for m in _ssn.finditer(text):

@@ -80,6 +80,17 @@ def test_added_kinds_need_checksum_or_context():
     assert kinds("ordinary words, 12 of them, nothing private. The and 1999 for 3.5") == []
 
 
+def test_ibans_in_a_row():
+    be, no, gb = "BE68539007547034", "NO9386011117947", "GB82 WEST 1234 5698 7654 32"
+    for ibans in ([be, no], [no, be], [no] * 5, [be, gb, no, "BE68 5390 0754 7034", no], [no, be] * 300):
+        text = " ".join(ibans)
+        found = [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"]
+        assert found == ibans
+    assert pii.redact(f"AB12 INVOICE {no} PAID") == "AB12 INVOICE <IBAN> PAID"
+    assert pii.redact(f"AB12 CD34 EF56 {be} {no}, x{be} {no}x") == f"AB12 CD34 EF56 <IBAN> <IBAN>, x{be} {no}x"
+    assert "iban" not in kinds("AB12 " * 20000)
+
+
 def test_context_moves_the_score():
     t = "call my phone +1 555 123 4567"
     with_word, without = pii.find(t)[0][3], pii.find("xxxx xx xxxxx +1 555 123 4567")[0][3]
