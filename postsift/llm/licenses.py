@@ -1,20 +1,25 @@
 """Licence scan by the Dice coefficient over word bigrams (operator 7).
 
-A text is compared as a whole, by paragraph and by line, so that a notice inside a longer
-text is found.  Each unit is normalised to lower-case words of ASCII letters and digits;
+A text is compared as a whole, by paragraph, by line and by every run of consecutive
+sentences, lines or paragraphs, so that a notice inside a longer text is found, however it
+is broken up.  Each unit is normalised to lower-case words of ASCII letters and digits;
 its set of word bigrams A is compared with that of each template B:
 
     dice = 2 |A and B| / (|A| + |B|)
 
 As |A and B| is at most the smaller size, only templates with
 t / (2 - t) |A| <= |B| <= (2 - t) / t |A| can reach a threshold t; they are kept sorted by
-size, and the others are not looked at.  Whole numbers are compared, so results are exact.
+size, and the others are not looked at.  Runs are looked at for templates of which the whole
+text has the bigrams that a match needs; a run grows sentence by sentence with its counts,
+until it is too large or its first sentence adds nothing to the rest.  Whole numbers are compared, so results are exact.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from fractions import Fraction
+from itertools import accumulate
 from typing import Mapping
 
 import pyarrow as pa
@@ -93,6 +98,7 @@ TEMPLATES: dict[str, str] = {
 
 _word = re.compile("[a-z0-9]+").findall
 _paragraph = re.compile(r"\n[\x20\x09-\x0D]*\n")
+_sentence = re.compile(r"\n|(?<=[.!?;:])[\x20\x09-\x0D]+")
 _lower = {c: c + 32 for c in range(65, 91)}
 
 
@@ -106,20 +112,34 @@ def units(text: str) -> set[str]:
     return {text, *_paragraph.split(text), *text.split("\n")}
 
 
+def _better(a: tuple[str, int, int], b: tuple[str, int, int] | None) -> bool:
+    """Whether match a goes before b: by coefficient, then by name."""
+    return b is None or (x := a[1] * b[2] - b[1] * a[2]) > 0 or x == 0 and a[0] < b[0]
+
+
+def _rank(m: tuple[str, int, int]) -> tuple[Fraction, str]:
+    return Fraction(-m[1], m[2]), m[0]
+
+
+def _word_ends(parts: list[str]) -> list[int]:
+    """Number of words up to the end of each part."""
+    return list(accumulate(len(_word(p.translate(_lower))) for p in parts))
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, str], num: int = NUM, den: int = DEN):
         if sum(len(t) for t in templates.values()) > MAX_TEMPLATE_BYTES:
             raise ValueError(f"templates of over {MAX_TEMPLATE_BYTES} bytes")
         known = sorted((len(b), name, b) for name, t in templates.items() if (b := bigrams(t)))
         self.sizes, self.known, self.num, self.den = [k[0] for k in known], known, num, den
+        self.pairs = frozenset().union(*(b for _, _, b in known))
         self.words = frozenset(w for _, _, b in known for pair in b for w in pair)
         self.least = min(self.sizes, default=0) * num / (2 * den - num)
         self.most = max(self.sizes, default=0) * (2 * den - num) / num
 
-    def match(self, unit: str) -> tuple[str, int, int] | None:
-        """(name, shared bigrams, both sizes) of the best template, the first by name on
-        ties; null below the threshold."""
-        a = bigrams(unit)
+    def match(self, a: frozenset[tuple[str, str]]) -> tuple[str, int, int] | None:
+        """(name, shared bigrams, both sizes) of the best template for a unit's bigrams, the
+        first by name on ties; null below the threshold."""
         n, num, den, best = len(a), self.num, self.den, None
         if not n:
             return None
@@ -128,26 +148,90 @@ class Scanner:
         for size, name, b in self.known[low:high]:
             both = len(a & b)
             if 2 * both * den >= num * (n + size):
-                if best is None or (x := both * best[2] - best[1] * (n + size)) > 0 or x == 0 and name < best[0]:
-                    best = name, both, n + size
+                if _better(got := (name, both, n + size), best):
+                    best = got
         return best
 
+    def runs(self, text: str, whole: frozenset[tuple[str, str]]) -> list[tuple[int, int, tuple[str, int, int]]]:
+        """(first word, end, match) of the runs of sentences that match a template: for each
+        first sentence and template the best run, the shortest on ties."""
+        num, den, have = self.num, self.den, self.pairs & whole
+        near = [(size, name, b) for size, name, b in self.known if len(have & b) * (2 * den - num) >= size * num] if have else []
+        if not near:
+            return []
+        w = _word(text.translate(_lower))
+        pairs = list(zip(w, w[1:]))
+        cuts = sorted({0, *_word_ends(_sentence.split(text))})
+        out = []
+        for size, name, b in near:
+            most = size * (2 * den - num) // num
+            for i, start in enumerate(cuts[:-1]):
+                # without a bigram of the template the run is no worse from the next sentence on
+                if b.isdisjoint(pairs[start:cuts[i + 1]]):
+                    continue
+                first = cuts[i + 1]
+                seen, own, both, at, best = set(), set(pairs[start:first]), 0, start, None
+                for end in cuts[i + 1:]:
+                    for k in range(at, end - 1):
+                        p = pairs[k]
+                        if k >= first:
+                            own.discard(p)
+                        if p not in seen:
+                            seen.add(p)
+                            both += p in b
+                    at, n = end - 1, len(seen)
+                    # too large, or the same set as from the next sentence on
+                    if n > most or not own:
+                        break
+                    got = name, both, n + size
+                    if 2 * both * den >= num * (n + size) and (best is None or both * best[2][2] > best[2][1] * (n + size)):
+                        best = start, end, got
+                if best:
+                    out.append(best)
+        return out
+
+    def _more(self, text: str, matched: set[str], found: list) -> int:
+        """Distinct runs, taken best first and apart from each other, that meet no other matching unit."""
+        if text in matched:
+            return 0
+        taken = []
+        for parts in (_paragraph.split(text), text.split("\n")):
+            ends = _word_ends(parts)
+            taken += [(s, e) for p, s, e in zip(parts, [0, *ends], ends) if p in matched]
+        covered = bytearray(max(e for _, e, _ in found))
+        for s, e in taken:
+            covered[s:e] = b"\1" * (min(e, len(covered)) - min(s, len(covered)))
+        w, runs, used = _word(text.translate(_lower)), set(), bytearray(len(covered))
+        for s, e, _ in sorted(found, key=lambda f: (_rank(f[2]), f[0])):
+            if not any(used[s:e]):
+                used[s:e] = b"\1" * (e - s)
+                if not any(covered[s:e]):
+                    runs.add(tuple(w[s:e]))
+        return len(runs)
+
     def scan(self, text: str | None) -> tuple[str | None, float | None, int]:
         """(name, coefficient, matching units) of the best unit of a text."""
-        best, matching = None, 0
-        for u in units(text) if text else ():
-            got = self.match(u)
+        if not text:
+            return None, None, 0
+        best, matched, whole = None, set(), bigrams(text)
+        for u in units(text):
+            got = self.match(whole if u is text else bigrams(u))
             if got:
-                matching += 1
-                if best is None or (x := got[1] * best[2] - best[1] * got[2]) > 0 or x == 0 and got[0] < best[0]:
+                matched.add(u)
+                if _better(got, best):
                     best = got
+        matching = len(matched)
+        if found := self.runs(text, whole):
+            best = min([m for *_, m in found] + [best] * (best is not None), key=_rank)
+            matching += self._more(text, matched, found)
         return (best[0], 2.0 * best[1] / best[2], matching) if best else (None, None, 0)
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
          num: int = NUM, den: int = DEN) -> DataFrame:
     """id_col, license (best template; null if none reaches num / den), score, n_units
-    (distinct units that match a template).
+    (distinct whole texts, paragraphs and lines that match a template, and the distinct runs
+    that match apart from these, best first).
 
     Null and empty texts match nothing; ties go to the first name; one row per input row,
     repeated rows and null ids included; other columns are ignored; an empty table gives an

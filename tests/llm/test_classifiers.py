@@ -175,6 +175,56 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def plain_runs(text):
+    """(coefficient, name) of the best run of sentences, all of them compared."""
+    parts = [re.findall("[a-z0-9]+", p.lower()) for p in re.split(r"\n|(?<=[.!?;:])[ \t\n\v\f\r]+", text)]
+    best = None
+    for name, t in licenses.TEMPLATES.items():
+        tw = re.findall("[a-z0-9]+", t.lower())
+        b = set(zip(tw, tw[1:]))
+        for i in range(len(parts)):
+            w = []
+            for j in range(i, len(parts)):
+                w = w + parts[j]
+                a = set(zip(w, w[1:]))
+                d = 2.0 * len(a & b) / (len(a) + len(b))
+                if a and 100 * 2 * len(a & b) >= 80 * (len(a) + len(b)) and (best is None or (-d, name) < best):
+                    best = -d, name
+    return (best[1], -best[0]) if best else (None, None)
+
+
+def broken_up(template, r, width):
+    """The template in paragraphs at its sentences, lines of ``width`` words."""
+    out = []
+    for sentence in re.split(r"(?<=[.:])[ ]", template):
+        w = sentence.split()
+        out.append("\n".join(" ".join(w[k:k + width]) for k in range(0, len(w), width)))
+    return "\n \n".join(out)
+
+
+def test_licences_in_several_paragraphs_of_long_texts():
+    r = random.Random(12)
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    some = lambda n: " ".join(f"w{r.randint(0, 500)}" + ("." if r.random() < 0.1 else "") for _ in range(n))
+    for name, t in licenses.TEMPLATES.items():
+        if len(t) > 200:
+            for inside in (broken_up(t, r, 9), broken_up(t, r, 1000), "A sentence of the readme. " + t + " " + some(60)):
+                text = inside + "\n\n" + some(400)
+                for text in (text, some(300) + ".\n" + text):
+                    assert scan(text)[0] == name and scan(text)[1] > 0.95 and scan(text)[2] == 1, (name, text)
+    for _ in range(60):
+        text = some(r.randint(0, 40)) + "\n"
+        for _ in range(r.randint(1, 2)):
+            w = broken_up(r.choice(list(licenses.TEMPLATES.values())), r, r.choice((5, 12, 1000))).split(" ")
+            for _ in range(r.randint(0, max(1, len(w) // 8))):
+                w[r.randrange(len(w))] = r.choice(("changed", "changed.", "\n", "the"))
+            text += " ".join(w) + r.choice((" ", "\n", "\n\n")) + some(r.randint(0, 40)) + "\n"
+        assert scan(text)[:2] == plain_runs(text), text
+    mit = broken_up(licenses.TEMPLATES["MIT"], r, 9)
+    assert scan(f"{mit}\n\n{some(300)}\n\n{broken_up(licenses.TEMPLATES['ISC'], r, 9)}\n\n{some(300)}\n\n{mit}")[2] == 2
+    assert scan(mit + "\n" + "of the Software\n" * 10_000)[0] == "MIT"
+
+
 # ---- code search
 def plain_search(vectors, queries, k, bits):
     def code(v):
