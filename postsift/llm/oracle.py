@@ -72,7 +72,33 @@ SELECT d.doc_id, best.name AS license, best.score AS score,
 FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id AND best.nth = 1
 """
 
+_terms = (r"regexp_extract_all(translate(coalesce(text, ''), '" + string.ascii_uppercase + "', '" + string.ascii_lowercase
+          + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_terms} AS ts FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d
+), p AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t
+), q AS (
+  SELECT DISTINCT item_id, unnest({_terms}) AS t FROM benchmark
+), w AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM p, s WHERE t IN (SELECT t FROM q) GROUP BY t
+), m AS (
+  SELECT r, doc_id, 50 + (50 * len(ts) * n_docs) // n_terms AS m FROM d, s WHERE len(ts) > 0
+), f AS (
+  SELECT q.item_id, m.doc_id, p.r, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m)))::BIGINT AS score
+  FROM q JOIN w ON q.t = w.t JOIN p ON p.t = q.t JOIN m ON m.r = p.r GROUP BY q.item_id, m.doc_id, p.r
+), o AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM f WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
 ORACLE = {
+    "op12_ranked_search": OP12,
     "op5_topk_search": OP5,
     "op7_license_scan": OP7,
     "op10_jaccard_join": OP10,

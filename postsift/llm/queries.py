@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import binary_search, language_id, licenses, mixing, pii, quality, secrets, sentencepiece_codec, sharding
+from . import binary_search, infill, language_id, licenses, mixing, pii, quality, ranked_search, secrets, sentencepiece_codec, sharding
 from .jaccard_join import jaccard_components
 
 TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
 PIECE_MODEL = "piece_bpe_32k.model"
 SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
+RANKED = 50
 QUERY_STEP, TOP_K, CODE_BITS = 50, 10, 64
 OP10 = dict(num=90, den=100)
 
@@ -65,7 +66,17 @@ def op7_license_scan(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+def op12_ranked_search(spark, sf):
+    return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=RANKED)
+
+
+def op13_fill_in_middle(spark, sf):
+    return infill.digests(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op12_ranked_search": op12_ranked_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "op5_topk_search": op5_topk_search,
     "op7_license_scan": op7_license_scan,
     "op1_pii": op1_pii,

@@ -138,7 +138,7 @@ def test_run_is_the_stages(spark, sf_dir, stages):
 
 def test_registration():
     assert set(QUERIES) <= set(E.queries()) and "pipeline" in E.queries()
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(E.oracle_sql())
 
 
