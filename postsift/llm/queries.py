@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import binary_search, infill, language_id, licenses, mixing, pii, quality, ranked_search, secrets, sentencepiece_codec, sharding
+from . import binary_search, byte_bpe, infill, language_id, licenses, mixing, packing, pii, quality, ranked_search, secrets, sentencepiece_codec, sharding
 from .jaccard_join import jaccard_components
 
 TOKENIZERS = "public_tokenizers"     # package whose path(name) gives a vocabulary file
 PIECE_MODEL = "piece_bpe_32k.model"
 SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+OP11 = dict(capacity=1024, end_id=2)
 RANKED = 50
 QUERY_STEP, TOP_K, CODE_BITS = 50, 10, 64
 OP10 = dict(num=90, den=100)
@@ -66,6 +68,10 @@ def op7_license_scan(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+def op11_pattern_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), byte_bpe.load(tokenizer_path(BYTE_VOCABULARY)), **OP11)
+
+
 def op12_ranked_search(spark, sf):
     return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=RANKED)
 
@@ -75,6 +81,7 @@ def op13_fill_in_middle(spark, sf):
 
 
 QUERIES = {
+    "op11_pattern_packing": op11_pattern_packing,
     "op12_ranked_search": op12_ranked_search,
     "op13_fill_in_middle": op13_fill_in_middle,
     "op5_topk_search": op5_topk_search,
