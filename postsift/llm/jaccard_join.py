@@ -5,83 +5,70 @@ Every document is the set of its shingles of ``width`` words (3 unless given); t
 components of the links without listing the pairs inside a group of copies.
 
 1. Equal sets collapse to one class, keyed by a 64-bit hash of the set.
-2. Similar classes are found by a pigeonhole partition.  Sizes are cut into intervals; for
-   an interval whose pairs can differ in at most D tokens, the token space is cut into
-   D + SHARED slices, so that linked classes agree on all tokens of at least SHARED slices.
-   A class emits the hash of each slice for its own interval, and for the next one if its
-   partners may lie there.  Classes that share fewer slice hashes with others are finished.
-3. Groups of the matrix: a class goes to the group of its leader, the most typical class
-   that it shares slices with: the one with the most slices that others have too.  A group holds at most about ``GROUP_TOKENS`` tokens; larger ones
-   are split by hash.  Classes that link with their leader are joined to it at once.
-4. What is left: class x and group g with a slice in common, where g has classes that are
-   not joined with x yet.  The group's token union bounds the overlap of x with every
-   class in it; only groups whose bound reaches the threshold are opened, and x is
-   compared with the classes in them.  Queries of one group are dealt in parts.
-5. Components of the links (``components.connected``).
+2. Prefixes.  Of n tokens, linked sets share at least o(n) = ceil(n num / den), so the first
+   n - o + j tokens of each, in one order of all tokens, share at least j.  A class emits that
+   prefix by hash order with a j that grows with n (``common``).  The classes that have a
+   token in their prefix are counted; of its prefix a class then drops the most frequent
+   tokens, one less than any linked class is sure to share with it.  A token that is kept by
+   one class only can meet nothing, and classes with no other tokens are finished.  So a passage
+   that many documents share is dropped everywhere, and only near copies go on.
+3. Rounds.  In each, a kept token's leader is the class of its largest component, and among
+   these the most typical one; a class of another component is compared with one of its
+   tokens' leaders, and links join components.
+4. Groups of the matrix: classes that leaders connect, cut into parts of about ``GROUP_TOKENS``
+   tokens.  The union of a group's prefix tokens is stored as rows (group, token).  A class
+   asks the groups that have, at a kept token, a class of a larger component (by size, then
+   by key), the equi-join of its prefix tokens with the unions counts how many it can share,
+   and only groups whose count reaches j are opened: their classes' tokens meet those
+   of the asking classes, dealt in parts.
+5. Components of all links (``components.connected``).
 
 A hot key costs nothing extra at any step: counts, minima and maxima are partial
-aggregates, joins are split by AQE, and groups and their queries are of bounded size.
+aggregates, joins are split by AQE, and groups and their queries are of bounded size.  Near
+copies that are joined already ask nothing of each other.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .hashing import U, mix, set_key, shingle_set
+from .hashing import set_key, shingle_set
 from .scratch import Scratch, runtime_filters
 from .memory import handing_back
 
 GROUP_TOKENS = 1 << 17      # tokens in one group of the matrix (8 bytes each)
 QUERY_TOKENS = 1 << 17      # tokens of the queries that meet a group in one call
-INTERVAL_RATIO = 1.25       # of the set sizes in one interval
-SHARED = 3                  # slices that linked classes have in common at least
-
-
-@lru_cache(maxsize=8)
-def size_intervals(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each interval, and the slices of each: ``SHARED`` more than the tokens
-    in which a linked pair of sizes up to the interval's last may differ (0: only equal sets
-    link, no slices needed)."""
-    lows = [1]
-    while lows[-1] <= largest * den // num + 1:
-        lows.append(max(lows[-1] + 1, int(lows[-1] * INTERVAL_RATIO)))
-    lows.append(max(lows[-1] + 1, int(lows[-1] * INTERVAL_RATIO)))
-    slices = []
-    period = 2 * (num + den) // max(1, den - num) + 2
-    for high in (x - 1 for x in lows[1:]):
-        most = max(t - 2 * -(-num * t // (num + den)) for t in range(max(1, 2 * high - period), 2 * high + 1))
-        slices.append(most + SHARED if most > 0 else 0)
-    return np.array(lows), np.array(slices)
-
-
-def slice_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The slice hashes that a sorted token set emits (see the module text)."""
+SPARE = 2                   # a prefix has one token in so many more than it needs
+ROUNDS = 2                  # comparisons with leaders before the groups are asked
+
+
+def least_overlap(n: int, num: int, den: int) -> int:
+    return -(-num * n // den)
+
+
+def common(n: int, num: int, den: int) -> int:
+    """j: tokens that the prefix of a set of n has in common with that of any linked set that is
+    not smaller.  It does not fall with n."""
+    o = least_overlap(n, num, den)
+    return max(1, min(o, 1 + (n - o + 1) // SPARE))
+
+
+def prefix(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The prefix that a sorted token set emits."""
     n = len(s)
-    if n == 0:
-        return np.empty(0, np.int64)
-    bound = 1 << max(10, int(n * den // num + 2).bit_length())
-    lows, slices = size_intervals(num, den, bound)
-    own = int(np.searchsorted(lows, n, "right")) - 1
-    reach = int(np.searchsorted(lows, n * den // num, "right")) - 1
-    out = []
-    for i in range(own, reach + 1):
-        k = int(slices[i])
-        if not k:
-            continue
-        part = ((s >> U(32)) * U(k)) >> U(32)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s + U(i + 1)))])
-        ends = np.searchsorted(part, np.arange(k, dtype=U), "right")
-        content = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-        out.append(mix(content + mix(np.arange(k, dtype=U) + U(i << 32))))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+    return s[:n - least_overlap(n, num, den) + common(n, num, den)] if n else s
+
+
+def shared_at_least(n: int, num: int, den: int) -> int:
+    """Tokens that the prefixes of a set of n and of any linked set share."""
+    return common(max(1, least_overlap(n, num, den)), num, den)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -92,30 +79,29 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signed_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, width: int) -> DataFrame:
-    """Two sorts of rows from one pass: for each document id, n (set size) and cid (class
-    key; null when empty), with a null sig; and for each of its slice hashes cid and sig."""
+    """For each document id, n (set size) and cid (class key; null when empty); for the first
+    document of a class in a task also least (``shared_at_least``) and the prefix."""
     kind = docs.select(F.col(id_col).alias("id")).schema["id"]
 
     @handing_back
-
     def run(batches):
-        names = ["id", "n", "cid", "sig"]
+        seen: set = set()
         for b in batches:
-            n, cid, sigs = [], [], []
+            n, cid, least, first = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py(), width)
+                key = set_key(s) if len(s) else None
+                fresh = key is not None and key not in seen
+                seen.add(key)
                 n.append(len(s))
-                cid.append(set_key(s) if len(s) else None)
-                sigs.append(slice_hashes(s, num, den))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(len(n), pa.int64())], names)
-            many = np.fromiter(map(len, sigs), np.int64, len(sigs))
-            owners = np.repeat(np.array([c or 0 for c in cid], np.int64), many)
-            k = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, b.column(0).type), pa.nulls(k, pa.int64()), pa.array(owners),
-                                              pa.array(np.concatenate(sigs) if k else np.empty(0, np.int64))], names)
+                cid.append(key)
+                least.append(shared_at_least(len(s), num, den) if fresh else None)
+                first.append(prefix(s, num, den).view(np.int64) if fresh else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(least, pa.int64()),
+                                              pa.array(first, pa.list_(pa.int64()))], ["id", "n", "cid", "least", "prefix"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind.dataType.simpleString()}, n long, cid long, sig long")
+        run, f"id {kind.dataType.simpleString()}, n long, cid long, least long, prefix array<long>")
 
 
 def token_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -182,71 +168,116 @@ def open_group(num: int, den: int):
     return run
 
 
+def _linked(n: Column, tokens: Column, other_n: Column, other: Column, num: int, den: int) -> Column:
+    both = F.size(F.array_intersect(tokens, other)).cast("long")
+    return both * den >= (n + other_n - both) * num
+
+
+def _with_components(near: DataFrame, edges: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """``near`` with comp (smallest class of the component) and size (its classes)."""
+    if edges is None:
+        return near.withColumn("comp", F.col("cid")).withColumn("size", F.lit(1).cast("long"))
+    roots = scratch.keep(connected(edges, scratch), "comps")
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    known = roots.join(sizes, "root").select(F.col("node").alias("cid"), F.col("root").alias("comp"), "size")
+    return (near.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            .withColumn("size", F.coalesce("size", F.lit(1).cast("long"))))
+
+
+def _fits(n0: Column, n1: Column, n: Column, num: int, den: int) -> Column:
+    """Some size from n0 to n1 can link with n."""
+    return (n1 * den >= n * num) & (n0 * num <= n * den)
+
+
+def _leaders(near: DataFrame, num: int, den: int) -> DataFrame:
+    """cid and leader: for classes with a kept token whose leader is of another component and of
+    a size that can link, the leader with most tokens among those that share several."""
+    top = near.groupBy("token").agg(F.max(F.struct("size", "w", "cid", "comp", "n")).alias("t"))
+    asked = near.join(top, "token").filter((F.col("comp") != F.col("t.comp")) & _fits(F.col("t.n"), F.col("t.n"), F.col("n"), num, den))
+    pairs = asked.groupBy("cid", F.col("t.cid").alias("leader"), F.col("t.w").alias("lw")).agg(F.count(F.lit(1)).alias("k"))
+    best = pairs.groupBy("cid").agg(F.max(F.struct(F.least("k", F.lit(3)).alias("some"), "lw", "k", "leader")).alias("best"))
+    return best.select("cid", F.col("best.leader").alias("leader"))
+
+
 def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
-    slices = signed.filter("sig is not null").select("cid", "sig")
-    shared = slices.groupBy("sig").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter(F.col("first") < F.col("last"))
-    shared = scratch.keep(shared, "shared")
-    with runtime_filters(docs.sparkSession):
-        near = scratch.keep(slices.join(shared.filter("first < last").select("sig"), "sig").distinct(), "near")
-    scratch.drop(shared)
-    # the leader of a slice is the class that shares most slices, the most typical one
-    weight = near.groupBy("cid").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= SHARED)
-    near = scratch.keep(near.join(weight, "cid"), "near")
-    top = near.groupBy("sig").agg(F.max(F.struct("w", "cid")).alias("top")).select("sig", F.col("top.w").alias("lw"), F.col("top.cid").alias("leader"))
-    pairs = near.join(top, "sig").groupBy("cid", "leader", "lw").agg(F.count(F.lit(1)).alias("k"))
-    led = pairs.groupBy("cid").agg(F.max(F.struct(F.col("k") >= SHARED, "lw", "leader")).alias("best")).select("cid", F.col("best.leader").alias("leader"))
-
-    # one document of each class that shares a slice gives the token set; the id only narrows
-    # the texts down, the set itself says which class it is
-    heads = led.filter("leader <> cid").select(F.col("leader").alias("cid")).distinct().withColumn("head", F.lit(True))
-    who = (rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n"))
-           .join(led, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", F.lit(False))))
-    who = scratch.keep(who, "who")
+    spark = docs.sparkSession
+    classes = (signed.filter("prefix is not null").groupBy("cid")
+               .agg(F.any_value("n").alias("n"), F.any_value("least").alias("least"), F.any_value("prefix").alias("prefix")))
+    classes = scratch.keep(classes, "classes")
     scratch.drop(signed)
-    with runtime_filters(docs.sparkSession):
+
+    # tokens that several classes have in their prefixes, and of these the ones that a class keeps
+    each = classes.select("cid", "n", "least", F.size("prefix").alias("m"), F.explode("prefix").alias("token"))
+    often = scratch.keep(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
+    by = Window.partitionBy("cid")
+    with runtime_filters(spark):
+        met = each.join(often, "token").withColumn("nth", F.row_number().over(by.orderBy("c", "token"))).withColumn("k", F.count(F.lit(1)).over(by))
+        met = scratch.keep(met.select("cid", "n", "least", "token", (F.col("nth") <= F.col("m") - F.col("least") + 1 - (F.col("m") - F.col("k"))).alias("kept")), "met")
+    scratch.drop(classes, often)
+    kept = met.filter("kept").select("cid", "n", "token")
+    near = kept.join(kept.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "token")
+    near = scratch.keep(near, "near")
+    near = scratch.keep(near.join(near.groupBy("cid").agg(F.count(F.lit(1)).alias("w")), "cid"), "near")
+
+    # one document of each class that goes on gives the token set; the id only narrows the texts
+    # down, the set itself says which class it is
+    going = near.select("cid").distinct()
+    who = scratch.keep(rows.filter("cid is not null").join(going, "cid", "left_semi").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n")), "who")
+    with runtime_filters(spark):
         ids = who.filter("n > 0").select("wid")
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
         once = token_sets(texts, width).groupBy("cid").agg(F.first("tokens").alias("tokens"))
         sets = scratch.keep(once.join(who.drop("wid"), "cid"), "sets")
-
-    # classes that link with their leader become its star
-    leads = sets.filter("head").select(F.col("cid").alias("leader"), F.col("tokens").alias("lead"))
-    both = F.size(F.array_intersect("tokens", "lead")).cast("long")
-    union = F.col("n") + F.size("lead") - both
-    star = F.when((F.col("cid") != F.col("leader")) & (both * den >= union * num), F.col("leader")).otherwise(F.col("cid"))
-    mass = who.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
-    part = F.pmod(F.xxhash64("cid"), F.col("parts"))
-    mem = (sets.join(leads, "leader", "left").join(mass, "leader")
-           .select("cid", "n", "leader", star.alias("star"), part.alias("part"), "tokens"))
-    mem = scratch.keep(mem, "members")
-    scratch.drop(sets)
-
-    # queries: x meets a group that has, in a shared slice, a class of another star that was
-    # not compared with x as its leader or follower
-    placed = near.select("sig", "cid").join(mem.drop("tokens"), "cid")
-    cells = placed.groupBy("sig", "leader", "part").agg(
-        F.min("star").alias("s0"), F.max("star").alias("s1"), F.min("cid").alias("c0"), F.max("cid").alias("c1"),
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.count(F.lit(1)).alias("k"))
-    cells = cells.withColumnRenamed("leader", "gl").withColumnRenamed("part", "gp")
-    other_star = (F.col("s0") != F.col("star")) | (F.col("s1") != F.col("star"))
-    met = F.col("c0").isin(F.col("cid"), F.col("leader")) & F.col("c1").isin(F.col("cid"), F.col("leader")) & (F.col("k") <= 2)
-    sizes = (F.col("n1") * den >= F.col("n") * num) & (F.col("n0") * num <= F.col("n") * den)
-    asks = (placed.join(cells, "sig").filter(other_star & sizes & (F.col("gl") != F.col("cid")) & ~met)
-            .groupBy("cid", "star", "n", "gl", "gp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED).drop("k"))
+    scratch.drop(who)
+
+    # rounds: classes that link with a leader join its component
+    edges, first_led, comps = None, None, _with_components(near, None, scratch)
+    for _ in range(ROUNDS):
+        led = scratch.keep(_leaders(comps, num, den), "led")
+        first_led = first_led if first_led is not None else led
+        leads = sets.select(F.col("cid").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lead"))
+        tried = led.join(sets, "cid").join(leads, "leader").filter(_linked(F.col("n"), F.col("tokens"), F.col("ln"), F.col("lead"), num, den))
+        new = tried.select(F.col("cid").alias("a"), F.col("leader").alias("b"))
+        edges = scratch.keep(new if edges is None else edges.unionByName(new), "edges")
+        comps = scratch.keep(_with_components(near, edges, scratch), "near")
+
+    # groups: what leaders connect, in parts of bounded size; a leader with many followers is cut by class
+    families = scratch.keep(connected(first_led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch), "families")
+    of = (comps.select("cid", "n", "comp", "size").distinct().join(first_led, "cid", "left").withColumn("leader", F.coalesce("leader", "cid"))
+          .join(families.withColumnsRenamed({"node": "cid", "root": "family"}), "cid", "left").withColumn("family", F.coalesce("family", "cid")))
+    of = scratch.keep(of, "of")
+    mass = of.groupBy("leader").agg(F.sum("n").alias("mass"), F.min("family").alias("family"))
+    large = F.col("mass") > GROUP_TOKENS
+    parts = mass.groupBy("family").agg(F.ceil(F.sum(F.when(~large, F.col("mass"))) / GROUP_TOKENS).alias("parts"))
+    placed = of.join(mass.drop("family"), "leader").join(parts, "family")
+    own = F.ceil(F.col("mass") / GROUP_TOKENS)
+    group = F.when(large, F.struct(F.col("leader").alias("gl"), (-1 - F.pmod(F.xxhash64("cid"), own)).alias("gp"))).otherwise(
+        F.struct(F.col("family").alias("gl"), F.pmod(F.xxhash64("leader"), F.col("parts")).alias("gp")))
+    place = scratch.keep(placed.select("cid", "n", "comp", "size", group.alias("g")).select("cid", "n", "comp", "size", "g.gl", "g.gp"), "place")
+    scratch.drop(of, families)
+
+    # the matrix: at a kept token, the groups with a class of a larger component are asked
+    at = comps.select("token", "cid").join(place, "cid")
+    cells = at.groupBy("token", "gl", "gp").agg(F.max(F.struct("size", "comp")).alias("top"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    larger = (F.col("top.size") > F.col("size")) | ((F.col("top.size") == F.col("size")) & (F.col("top.comp") > F.col("comp")))
+    asks = (at.drop("gl", "gp").join(cells, "token").filter(larger & _fits(F.col("n0"), F.col("n1"), F.col("n"), num, den))
+            .select("cid", "gl", "gp").distinct())
     asks = scratch.keep(asks, "asks")
-    scratch.drop(near)
+    union = met.select("cid", "token").join(place.select("cid", "gl", "gp"), "cid").select("gl", "gp", "token").distinct()
+    shares = asks.join(met.select("cid", "least", "token"), "cid").join(union, ["gl", "gp", "token"])
+    asks = scratch.keep(shares.groupBy("cid", "gl", "gp").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
+                        .filter("k >= least").select("cid", "gl", "gp").join(place.select("cid", "n"), "cid"), "asks")
     loads = scratch.keep(asks.groupBy("gl", "gp").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals")), "loads")
-    with runtime_filters(docs.sparkSession):
-        q = (asks.filter("n > 0").join(mem.select("cid", "tokens"), "cid").join(loads, ["gl", "gp"])
+    known = place.select("cid", "gl", "gp", F.col("comp").alias("star")).join(sets, "cid")
+    with runtime_filters(spark):
+        q = (asks.select("cid", "gl", "gp").join(known.drop("gl", "gp"), "cid").join(loads, ["gl", "gp"])
              .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "tokens"))
-        here = (F.col("leader") == F.col("gl")) & (F.col("part") == F.col("gp"))
-        m = (mem.join(loads.filter("deals > 0"), here)
+        m = (known.join(loads.filter("deals > 0"), ["gl", "gp"])
              .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "tokens"))
         found = scratch.keep(_opened(m, q, num, den), "found")
-    edges = mem.filter("star <> cid").select(F.col("cid").alias("a"), F.col("star").alias("b")).unionByName(found)
-    out = connected(edges, scratch)
-    scratch.drop(who, mem, asks, loads, found)
+    out = scratch.keep(connected(edges.unionByName(found), scratch), "roots")
+    scratch.drop_others(out, rows)
     return out
 
 
@@ -261,9 +292,9 @@ def _opened(m: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
 def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, cid) of every document, and (node, root) of the linked classes."""
     signed = scratch.keep(signed_sets(docs, id_col, text_col, num, den, width), "signed")
-    rows = scratch.keep(signed.filter("sig is null").drop("sig"), "rows")
+    rows = scratch.keep(signed.select("id", "n", "cid"), "rows")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows, scratch.keep(_classes_linked(plain, signed, rows, scratch, num, den, width), "roots")
+    return rows, _classes_linked(plain, signed, rows, scratch, num, den, width)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -31,6 +31,11 @@ class Scratch:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def drop_others(self, *stay: DataFrame) -> None:
+        """Remove all tables but these."""
+        ids = {id(t) for t in stay}
+        self.drop(*[t for k, (t, _) in list(self.paths.items()) if k not in ids])
+
 
 # Spark's own Bloom filter on the large side of a shuffled join, also for scans that are
 # smaller than its default asks for.  The filter's size is bounded by Spark.

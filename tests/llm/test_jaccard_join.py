@@ -24,13 +24,13 @@ def words(text):
     return out
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = words(text)
-    return frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, num=90, den=100):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, num=90, den=100, width=3):
+    sets = [shingles(t, width) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -88,6 +88,31 @@ def test_same_as_all_pairs(spark, num):
     assert got(frame(spark, rows), num=num) == order(brute(rows, num))
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_five_words(spark, num):
+    rows = list(enumerate(near_copies(30, 150, 6, num + 1)))
+    assert got(frame(spark, rows), num=num, width=5) == order(brute(rows, num, width=5))
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_near_copies_on_both_sides_of_the_threshold(spark, monkeypatch, rounds):
+    """One large group of variants that partly link, with a passage that all have."""
+    monkeypatch.setattr(jj, "ROUNDS", rounds)
+    monkeypatch.setattr(jj, "GROUP_TOKENS", 1500)
+    monkeypatch.setattr(jj, "QUERY_TOKENS", 1500)
+    r = random.Random(rounds)
+    base, passage = [f"w{i}" for i in range(60)], [f"p{i}" for i in range(20)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(r.randint(0, 7)):
+            own[r.randrange(60)] = f"x{r.randint(0, 40)}"
+        rows.append((i, " ".join(own + passage if i % 3 else own)))
+    rows += [(1000 + i, " ".join([f"u{i}_{j}" for j in range(30)] + passage)) for i in range(40)]
+    for num, width in ((80, 5), (90, 3)):
+        assert got(frame(spark, rows), num=num, width=width) == order(brute(rows, num, width=width))
+
+
 def test_small_groups_and_parts(spark, monkeypatch):
     """Groups and queries are split and the results stay whole."""
     monkeypatch.setattr(jj, "GROUP_TOKENS", 400)
@@ -149,17 +174,26 @@ def test_pieces_of_long_texts(monkeypatch):
     assert np.array_equal(word_hashes("q" * 100_000), hashing.word_hashes("q" * 100_000))
 
 
-def test_slices_meet_for_every_linked_pair():
-    """Pigeonhole: sets that link share enough slice hashes."""
-    r = np.random.default_rng(3)
-    for _ in range(1500):
-        n = int(r.integers(9, 400))
+@pytest.mark.parametrize("num", [50, 80, 90, 95])
+def test_prefixes_meet_for_every_linked_pair(num):
+    """Linked sets share what the prefixes promise, whatever the order of the rare tokens."""
+    r = np.random.default_rng(num)
+    linked = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 300))
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop = int(r.integers(0, max(1, n // 15) + 1))
-        b = np.unique(np.concatenate([a[drop:], r.integers(0, 2**63, int(r.integers(0, max(1, n // 15) + 1))).astype(np.uint64)]))
+        drop, more = r.integers(0, max(1, n * (100 - num) // 100) + 1, 2)
+        b = np.unique(np.concatenate([a[drop:] if r.random() < .5 else r.permutation(a)[drop:], r.integers(0, 2**63, more).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 90 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-            assert np.intersect1d(jj.slice_hashes(a, 90, 100), jj.slice_hashes(b, 90, 100)).size >= jj.SHARED
+        if len(b) and 100 * both >= num * (len(a) + len(b) - both):
+            linked += 1
+            x, y = jj.prefix(a, num, 100), jj.prefix(b, num, 100)
+            least = [jj.shared_at_least(len(s), num, 100) for s in (a, b)]
+            assert len(np.intersect1d(x, y)) >= max(least)
+            rank = {int(t): (int(r.integers(1, 4)), int(t)) for t in np.union1d(x, y)}
+            kept = [set(sorted(map(int, s), key=rank.get)[:len(s) - k + 1]) for s, k in zip((x, y), least)]
+            assert kept[0] & kept[1]
+    assert linked > 500
 
 
 def test_shingle_sets_are_of_texts():

@@ -64,10 +64,11 @@ def test_language_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
+    """The rule of the stage: five words, 0.8."""
     before, after = stages["near_duplicates"]
     b = rows(before)
     groups = {}
-    for r, (_, n, c) in zip(b, brute([(r[0], r[1]) for r in b])):
+    for r, (_, n, c) in zip(b, brute([(r[0], r[1]) for r in b], **cp.NEAR)):
         groups.setdefault(c if c is not None else r[1], []).append(r)
     want = {str(min(g, key=lambda r: (r[0] is None, r[0] or 0, r[1]))) for g in groups.values()}
     got = [str(r) for r in rows(after)]
