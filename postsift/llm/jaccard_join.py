@@ -10,7 +10,8 @@ components of the links without listing the pairs inside a group of copies.
    prefix by hash order with a j that grows with n (``common``).  The classes that have a
    token in their prefix are counted; of its prefix a class then drops the most frequent
    tokens, one less than any linked class is sure to share with it.  A token that is kept by
-   one class only can meet nothing, and classes with no other tokens are finished.  So a passage
+   one class only can meet nothing; classes with no other tokens, or with fewer than j that
+   another class has, are finished.  So a passage
    that many documents share is dropped everywhere, and only near copies go on.
 3. Rounds.  In each, a kept token's leader is the class of its largest component, and among
    these the most typical one; a class of another component is compared with one of its
@@ -43,8 +44,8 @@ from .hashing import set_key, shingle_set
 from .scratch import Scratch, runtime_filters
 from .memory import handing_back
 
-GROUP_TOKENS = 1 << 17      # tokens in one group of the matrix (8 bytes each)
-QUERY_TOKENS = 1 << 17      # tokens of the queries that meet a group in one call
+GROUP_TOKENS = 1 << 20      # tokens in one group of the matrix (8 bytes each)
+QUERY_TOKENS = 1 << 18      # tokens of the queries that meet a group in one call
 SPARE = 2                   # a prefix has one token in so many more than it needs
 ROUNDS = 2                  # comparisons with leaders before the groups are asked
 
@@ -196,7 +197,7 @@ def _leaders(near: DataFrame, num: int, den: int) -> DataFrame:
     asked = near.join(top, "token").filter((F.col("comp") != F.col("t.comp")) & _fits(F.col("t.n"), F.col("t.n"), F.col("n"), num, den))
     pairs = asked.groupBy("cid", F.col("t.cid").alias("leader"), F.col("t.w").alias("lw")).agg(F.count(F.lit(1)).alias("k"))
     best = pairs.groupBy("cid").agg(F.max(F.struct(F.least("k", F.lit(3)).alias("some"), "lw", "k", "leader")).alias("best"))
-    return best.select("cid", F.col("best.leader").alias("leader"))
+    return best.select("cid", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
 
 
 def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:
@@ -208,13 +209,14 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
     scratch.drop(signed)
 
     # tokens that several classes have in their prefixes, and of these the ones that a class keeps
-    each = classes.select("cid", "n", "least", F.size("prefix").alias("m"), F.explode("prefix").alias("token"))
+    each = scratch.keep(classes.select("cid", "n", "least", F.size("prefix").alias("m"), F.explode("prefix").alias("token")), "each")
+    scratch.drop(classes)
     often = scratch.keep(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
     by = Window.partitionBy("cid")
     with runtime_filters(spark):
-        met = each.join(often, "token").withColumn("nth", F.row_number().over(by.orderBy("c", "token"))).withColumn("k", F.count(F.lit(1)).over(by))
-        met = scratch.keep(met.select("cid", "n", "least", "token", (F.col("nth") <= F.col("m") - F.col("least") + 1 - (F.col("m") - F.col("k"))).alias("kept")), "met")
-    scratch.drop(classes, often)
+        met = each.join(often.filter("c > 1"), "token").withColumn("nth", F.row_number().over(by.orderBy("c", "token"))).withColumn("k", F.count(F.lit(1)).over(by))
+        met = scratch.keep(met.filter("k >= least").select("cid", "n", "least", "token", (F.col("nth") <= F.col("m") - F.col("least") + 1 - (F.col("m") - F.col("k"))).alias("kept")), "met")
+    scratch.drop(each, often)
     kept = met.filter("kept").select("cid", "n", "token")
     near = kept.join(kept.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "token")
     near = scratch.keep(near, "near")
@@ -237,14 +239,17 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
         led = scratch.keep(_leaders(comps, num, den), "led")
         first_led = first_led if first_led is not None else led
         leads = sets.select(F.col("cid").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lead"))
-        tried = led.join(sets, "cid").join(leads, "leader").filter(_linked(F.col("n"), F.col("tokens"), F.col("ln"), F.col("lead"), num, den))
+        asks = led.filter("k > 0")
+        tried = asks.join(sets, "cid").join(leads, "leader").filter(_linked(F.col("n"), F.col("tokens"), F.col("ln"), F.col("lead"), num, den))
         new = tried.select(F.col("cid").alias("a"), F.col("leader").alias("b"))
-        edges = scratch.keep(new if edges is None else edges.unionByName(new), "edges")
+        with runtime_filters(spark):
+            new = scratch.keep(new, "edges")
+        edges = new if edges is None else edges.unionByName(new)
         comps = scratch.keep(_with_components(near, edges, scratch), "near")
 
     # groups: what leaders connect, in parts of bounded size; a leader with many followers is cut by class
     families = scratch.keep(connected(first_led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch), "families")
-    of = (comps.select("cid", "n", "comp", "size").distinct().join(first_led, "cid", "left").withColumn("leader", F.coalesce("leader", "cid"))
+    of = (comps.select("cid", "n", "comp", "size").distinct().join(first_led.drop("k"), "cid", "left").withColumn("leader", F.coalesce("leader", "cid"))
           .join(families.withColumnsRenamed({"node": "cid", "root": "family"}), "cid", "left").withColumn("family", F.coalesce("family", "cid")))
     of = scratch.keep(of, "of")
     mass = of.groupBy("leader").agg(F.sum("n").alias("mass"), F.min("family").alias("family"))
@@ -262,16 +267,18 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
     cells = at.groupBy("token", "gl", "gp").agg(F.max(F.struct("size", "comp")).alias("top"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     larger = (F.col("top.size") > F.col("size")) | ((F.col("top.size") == F.col("size")) & (F.col("top.comp") > F.col("comp")))
     asks = (at.drop("gl", "gp").join(cells, "token").filter(larger & _fits(F.col("n0"), F.col("n1"), F.col("n"), num, den))
-            .select("cid", "gl", "gp").distinct())
+            .select("cid", "n", "gl", "gp").distinct())
     asks = scratch.keep(asks, "asks")
     union = met.select("cid", "token").join(place.select("cid", "gl", "gp"), "cid").select("gl", "gp", "token").distinct()
-    shares = asks.join(met.select("cid", "least", "token"), "cid").join(union, ["gl", "gp", "token"])
+    with runtime_filters(spark):
+        mine = scratch.keep(asks.filter("n > 0").drop("n").join(met.select("cid", "least", "token"), "cid"), "mine")
+    shares = mine.join(union, ["gl", "gp", "token"])
     asks = scratch.keep(shares.groupBy("cid", "gl", "gp").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
                         .filter("k >= least").select("cid", "gl", "gp").join(place.select("cid", "n"), "cid"), "asks")
     loads = scratch.keep(asks.groupBy("gl", "gp").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals")), "loads")
     known = place.select("cid", "gl", "gp", F.col("comp").alias("star")).join(sets, "cid")
     with runtime_filters(spark):
-        q = (asks.select("cid", "gl", "gp").join(known.drop("gl", "gp"), "cid").join(loads, ["gl", "gp"])
+        q = (asks.filter("n > 0").select("cid", "gl", "gp").join(known.drop("gl", "gp"), "cid").join(loads, ["gl", "gp"])
              .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "tokens"))
         m = (known.join(loads.filter("deals > 0"), ["gl", "gp"])
              .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "tokens"))
