@@ -40,7 +40,7 @@ CLEAN_STEPS = [
     ("regex", "&" + HANDLE_CHARS, ""),                           # F6 entity-like runs
     ("literal", ";", ""),                                        # F7
     ("literal", "RT", ""),                                       # F8
-    ("chars", "#?？!！()（）\n", ""),                              # F9-F18
+    ("chars", "#?？！!()（）\n", ""),                              # F9-F18
     ("regex", r"\p{Nd}+", "0"),                                  # F19 digit runs
     ("chars", "、・", ","),                                        # F20-F21
     ("regex", r"\.(?s:..)", ""),                                 # F22 a dot plus two characters
@@ -67,8 +67,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalized(c: Column) -> Column:
-    """NFKC of ``c``; ASCII text, which it cannot change, does not travel to Python."""
-    return F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    """NFKC of ``c``.  The guard is inside the function: a condition around it would repeat the
+    whole expression of ``c`` in the plan."""
+    return nfkc(c)
 
 
 def strip_ws(c: Column) -> Column:

@@ -172,6 +172,13 @@ def oracle_sql() -> dict[str, str]:
                          " c_name AS user_name FROM customer"),
         "search_predicate": (f"SELECT doc_id, source, n_chars FROM documents WHERE contains(text, '{Q.SEARCH['keyword']}')"
                              f" AND n_chars >= {Q.SEARCH['min_faves']} AND lang = '{Q.SEARCH['lang']}'"),
+        "keyword_table_label": f"""
+WITH w AS (SELECT lang, unnest(list_distinct(regexp_split_to_array(text, '[^a-z]+'))) AS keyword FROM documents),
+kw AS (SELECT keyword, list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL) AS langs FROM w WHERE length(keyword) >= 6
+       GROUP BY keyword HAVING count(*) BETWEEN {Q.KEYWORD_DF[0]} AND {Q.KEYWORD_DF[1]}),
+t AS (SELECT DISTINCT lang || '-' || substr(keyword, 1, 1) AS category, keyword FROM (SELECT unnest(langs) AS lang, keyword FROM kw))
+SELECT d.doc_id, t.category, '__label__' || t.category AS label, count(*) AS n_keywords, min(t.keyword) AS first_keyword, max(t.keyword) AS last_keyword
+FROM documents d JOIN t ON contains(d.text, t.keyword) GROUP BY d.doc_id, t.category""",
         "keyword_label": (f"WITH {_kw_values()} SELECT d.doc_id, kw.category, kw.keyword, '__label__' || kw.category AS label"
                           " FROM documents d JOIN kw ON contains(d.text, kw.keyword)"),
         "user_timeline": (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..functions.text import clean_text, normalized, scrape_clean, tidy_text
 from ..functions.tokens import DEFAULT_LEXICON, base_forms, join_tokens, lexicon_join, tokenize
-from ..operators import aggregate, dedupe, filters, joins, linear, naive_bayes, segment, union
+from ..operators import aggregate, dedupe, filters, joins, keywords, linear, naive_bayes, ngram_model, segment, union
 from ..session import remove_scratch, scratch_path
 from ..sources import csv_files, html, json_posts
 from ..sinks import writers
@@ -27,6 +27,7 @@ USER_SPAN = 160                     # consecutive documents of a source that sta
 LANG_TARGET = "en"                  # target class of the segmentation (classes: languages)
 SINCE = datetime.datetime(2024, 1, 10)
 SEARCH = dict(keyword="the", min_faves=100, lang="en")
+KEYWORD_DF = (3, 30)                # documents that hold a word of the keyword table
 MIN_FAVES = 10                      # P9 popularity floor of the scraper path
 # Stand-in dictionary for J1 on the given tables (the reference's own dictionary,
 # `joins.REFERENCE_KEYWORDS`, is Japanese and matches nothing in them).
@@ -64,9 +65,11 @@ _saved: dict[tuple, str] = {}
 
 
 def nb_model(spark, sf, fresh: bool = False):
-    """The classifier of the labelled documents, fitted and saved once per session and data
-    set and loaded by every query that scores with it (``fresh``: fitted and saved anew)."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The classifier of the labelled documents, fitted and saved once per session and set of
+    input files (paths and times) and loaded by every query that scores with it (``fresh``: fitted and saved anew)."""
+    stored = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").cast("string").alias("time"))
+    files = [_t(spark, sf, t).select(stored.alias("f")).distinct() for t in ("documents", "labels")]
+    key = (spark.sparkContext.applicationId, *sorted(tuple(r.f) for r in files[0].unionByName(files[1]).collect()))
     if fresh or key not in _saved:
         path = scratch_path(spark, "nb-model")
         naive_bayes.save_nb(naive_bayes.fit_nb(with_words(labelled_docs(spark, sf)), "label", "words_arr"), path)
@@ -248,6 +251,22 @@ def q_keyword_label(spark, sf):
         "doc_id", "category", "keyword", "label")
 
 
+def _keyword_table(spark, sf) -> DataFrame:
+    """A keyword table from the documents' vocabulary: words of six characters and more that
+    stand in ``KEYWORD_DF`` documents, in categories by their language and first letter."""
+    d = _t(spark, sf, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.split("text", r"[^a-z]+"))).alias("keyword"))
+    found = d.filter(F.length("keyword") >= 6).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.collect_set("lang").alias("langs"))
+    found = found.filter(F.col("n").between(*KEYWORD_DF))
+    return found.select(F.explode("langs").alias("lang"), "keyword").select(F.concat_ws("-", "lang", F.substr("keyword", F.lit(1), F.lit(1))).alias("category"), "keyword")
+
+
+def q_keyword_table_label(spark, sf):
+    """J1 with a table of thousands of keywords: one row per document and category, with how
+    many of its keywords the document contains and the first and last of them."""
+    hits = keywords.keyword_match(_text(spark, sf, "documents", "doc_id", "text"), _keyword_table(spark, sf), ["doc_id"])
+    return hits.groupBy("doc_id", "category", "label").agg(F.count(F.lit(1)).alias("n_keywords"), F.min("keyword").alias("first_keyword"), F.max("keyword").alias("last_keyword"))
+
+
 def _candidate_users(spark, sf):
     """The given user list: all customers."""
     return (_t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("screen_name"),
@@ -448,14 +467,16 @@ def _lr_fit(spark, sf, train: DataFrame):
     train = materialize(train.select("doc_id", "label", "words_arr"), "lr-train")
     vocab = materialize(aggregate.vocabulary(train, "words_arr"), "lr-vocab")
     train_v = materialize(linear.restrict_to_vocabulary(train, "doc_id", "words_arr", vocab, carry=("label",)), "lr-train-vocab")
-    path = scratch_path(spark, "lr-model")
-    linear.save_lr(linear.fit_lr(train_v, tokens_col="vocab_words", label_col="label"), path)
-    return linear.load_lr(path), vocab
+    path = scratch_path(spark, "ngram-model")
+    ngram_model.save_ngram(ngram_model.fit_ngram(train_v, "vocab_words", "label"), path)
+    return ngram_model.load_ngram(spark, path), vocab
 
 
 def _lr_scored(model, vocab, docs: DataFrame, keys) -> DataFrame:
-    docs_v = linear.restrict_to_vocabulary(docs.select(*keys, "words", "words_arr"), keys[0], "words_arr", vocab, carry=(*keys[1:], "words"))
-    return linear.score_lr(model, docs_v, keys, words_col="words")
+    # the length of the joined words is all that scoring needs of them: texts stay out of the keys
+    docs = docs.select(*keys, F.length("words").alias("words_len"), "words_arr")
+    docs_v = linear.restrict_to_vocabulary(docs, keys[0], "words_arr", vocab, carry=(*keys[1:], "words_len"))
+    return ngram_model.score_ngram(model, docs_v, keys, "vocab_words", length_col="words_len")
 
 
 def q_lr_predict(spark, sf):
@@ -509,13 +530,15 @@ def segmented(spark, sf) -> DataFrame:
     capped newest first (L1, L4), the activity floor (A2, J7), scores (M5), the share of the
     target class (A3), the newest post's attributes (A4) and the segment (M6)."""
     d = _t(spark, sf, "documents").withColumn("user", _user())
+    # words of all documents, written once for the fit and the scores
+    words = with_words(_text(spark, sf, "documents", "doc_id", "n_chars", "lang", "text"))
+    words = materialize(words.select("doc_id", "n_chars", F.col("lang").alias("label"), F.length("words").alias("words_len"), "words_arr"), "segment-words")
     listed = filters.search_predicate(d, faves_col="n_chars", **SEARCH).select("user").distinct()
     posts = joins.user_timeline(d.select("user", "doc_id"), listed, "user")
     posts = materialize(dedupe.cap_per_key(posts, ["user"], dedupe.newest_first("doc_id"), TIMELINE_CAP), "timelines")
     active = joins.keep_keys(posts, aggregate.active_keys(posts, "user", "doc_id"), "user")
-    model = naive_bayes.fit_nb(with_words(d.select(F.col("lang").alias("label"), "text")), "label", "words_arr")
-    words = with_words(_text(spark, sf, "documents", "doc_id", "n_chars", "text").join(active, "doc_id"))
-    s = naive_bayes.score_nb(model, words, "doc_id", "words_arr", "words", carry=("user", "n_chars"))
+    model = naive_bayes.fit_nb(words, "label", "words_arr")
+    s = naive_bayes.score_nb(model, words.drop("label").join(active, "doc_id"), "doc_id", "words_arr", carry=("user", "n_chars"), length_col="words_len")
     out = segment.segment_users(s, "user", ["doc_id"], ["doc_id", "n_chars"], LANG_TARGET, followers_col="n_chars", id_col="doc_id")
     return out.select(F.col("user").alias("screen_name"), F.col("doc_id").alias("newest_tweet_id"),
                       F.col("n_chars").alias("followers"), "n_target", "n_measurable", "n_posts", "target_share", "segment")
@@ -612,6 +635,7 @@ QUERIES = {
     "list_members": q_list_members,
     "search_predicate": q_search_predicate,
     "keyword_label": q_keyword_label,
+    "keyword_table_label": q_keyword_table_label,
     "user_timeline": q_user_timeline,
     "retweeter_edges": q_retweeter_edges,
     "retweeters_json": q_retweeters_json,

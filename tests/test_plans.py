@@ -93,3 +93,18 @@ def test_checkpoint_root_needs_a_shared_folder():
         session.checkpoint_root(SimpleNamespace(sparkContext=sc, conf=conf))
     sc.master = "local[2]"
     assert session.checkpoint_root(SimpleNamespace(sparkContext=sc, conf=conf)) == session.checkpoint_root(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_the_cleaning_chain_stands_once_in_a_plan(spark):
+    for name in ("clean_documents", "nb_predict", "tokens_lexicon"):
+        df = QUERIES[name](spark, SF)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("<[^<]+?>") == 1, name
+
+
+def test_no_text_in_the_keys_of_the_vocabulary_join(spark):
+    """Scoring carries the length of the words, not the words, beside each token."""
+    from postsift.operators import linear
+    docs = spark.createDataFrame([(1, 5, ["a", "b"])], "doc_id long, words_len int, words_arr array<string>")
+    vocab = spark.createDataFrame([("a",)], "token string")
+    p = linear.restrict_to_vocabulary(docs, "doc_id", "words_arr", vocab, carry=("words_len",))._jdf.queryExecution().executedPlan().toString()
+    assert all("words_arr" not in x for x in p.split("\n") if "Exchange" in x)
