@@ -24,6 +24,13 @@ from .scratch import Scratch
 SEGMENTS = 4
 
 
+def width_of(vectors: DataFrame, vector_col: str = "embedding") -> int:
+    """Components of the longest vector, made up to full words of 64 (64 at least): with that
+    many bits a code has every component of every vector."""
+    most = vectors.agg(F.max(F.size(vector_col))).first()[0] or 0
+    return max(1, -(-most // 64)) * 64
+
+
 def code_of(vector: Column, bits: int) -> Column:
     """The code of a vector as 64-bit words, the first component being the highest bit of
     the first word.  Missing components, nulls and NaN give 0."""
@@ -64,16 +71,23 @@ def _smallest_ids(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int = SEGMENTS,
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, segments: int | None = None,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (1 to k), neighbor_id, distance: for each row of ``queries`` the k
     rows of ``vectors`` with the least Hamming distance of their codes, by id on ties.
+    ``bits`` is the length of the codes; vectors that are longer are refused, and without it
+    the data give it.  ``segments`` is by default ``SEGMENTS`` for each 64 bits.
 
     Rows with a null id or null vector are left out on both sides.  A query that is in
     ``vectors`` finds itself.  Rows that repeat an id count each in ``vectors``; a query id
     that repeats gives its rows again.  With fewer than k vectors all of them are returned,
     with none the result is empty.  Other columns are ignored."""
     spark = vectors.sparkSession
+    longest = max(width_of(vectors, vector_col), width_of(queries, vector_col))
+    if bits is not None and longest > max(64, -(-bits // 64) * 64):
+        raise ValueError(f"vectors are longer than {bits} components")
+    bits = bits or longest
+    segments = segments or SEGMENTS * max(1, bits // 64)
     scratch, width = Scratch(spark, "mih"), bits // segments
 
     def coded(df):

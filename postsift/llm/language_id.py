@@ -35,7 +35,15 @@ AMBIGUOUS_GAP = 0.1          # of the losses of the two nearest codewords
 PIECE_CHARS = 1 << 18        # n-grams are counted in pieces of a text of this length
 UNDETERMINED = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+# word characters that are no digits: letters, and signs like fractions that str.isalpha tells apart
+_candidate = re.compile(r"[^\W\d_]").finditer
+
+
+def _letter(text: str) -> bool:
+    """Whether a text has a letter."""
+    return any(m[0].isalpha() for m in _candidate(text))
+
+
 _PAD = 32
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 

@@ -35,11 +35,12 @@ FROM s
 
 OP5 = """
 WITH c AS (
-  SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS bits
+  SELECT vec_id, list_transform(range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)),
+                                lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS bits
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
 ), d AS (
   SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
-         len(list_filter(range(1, 65), lambda i: q.bits[i] <> c.bits[i]))::INTEGER AS distance
+         len(list_filter(range(1, len(q.bits) + 1), lambda i: q.bits[i] <> c.bits[i]))::INTEGER AS distance
   FROM c q, c WHERE q.vec_id % 50 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM d

@@ -16,7 +16,7 @@ SOURCE_WEIGHTS = (5, 2, 1)
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 OP11 = dict(capacity=1024, end_id=2)
 RANKED = 50
-QUERY_STEP, TOP_K, CODE_BITS = 50, 10, 64
+QUERY_STEP, TOP_K = 50, 10
 OP10 = dict(num=90, den=100)
 
 
@@ -61,7 +61,7 @@ def op9_secrets(spark, sf):
 
 def op5_topk_search(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    return binary_search.search(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0), k=TOP_K, bits=CODE_BITS)
+    return binary_search.search(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0), k=TOP_K)
 
 
 def op7_license_scan(spark, sf):

@@ -36,8 +36,9 @@ ALLOWED = (
     r"[A-Z]?[a-z]+(?:[-_/+=]+[A-Z]?[a-z]+)*[-_/+=]*",             # words in a row
     r"(?:[A-Z]?+[a-z]{2,}+)++[0-9]{0,3}+",                        # CamelCase names (of 17 letters and more, so three parts)
     r"[-_=+/0-9]+",                                               # numbers and rules
-    r".*(?:EXAMPLE|example|XXXX|xxxx|placeholder|your[-_]).*",    # samples
 )
+# Words of samples; the token that holds one is allowed, not its neighbours.
+SAMPLES = r"EXAMPLE|example|XXXX|xxxx|placeholder|your[-_]"
 ALLOWED_BEFORE = r"(?:sha(?:1|256|384|512)?|md5|crc32|commit|checksum|digest|integrity|uuid)[-\x20\"']*[:=-]?[\x20\"']*$"
 
 _assign = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -47,6 +48,8 @@ _candidate = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _hex = re.compile(r"[0-9a-f]{32,}")
 _hex_run = re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}")
 _allowed = re.compile("|".join(f"(?:{p})" for p in ALLOWED), re.DOTALL)
+_samples = re.compile(SAMPLES)
+_token = re.compile(r"[^/=]{20,}")
 _allowed_before = re.compile(ALLOWED_BEFORE, re.IGNORECASE | re.ASCII)
 _xlogx = [0.0] + [i * log2(i) for i in range(1, WINDOW + 1)]
 
@@ -100,6 +103,15 @@ def _entropy(s: str) -> list[tuple[int, int]]:
     return out
 
 
+def _judged(s: str) -> list[tuple[int, int]]:
+    """Entropy spans in a candidate.  One with the word of a sample is judged token by token
+    (its parts between / and =): the tokens with such a word are allowed, not their neighbours."""
+    if not _samples.search(s):
+        return [] if _allowed.fullmatch(s) else _entropy(s)
+    tokens = [m for m in _token.finditer(s) if not _samples.search(m[0]) and not _allowed.fullmatch(m[0])]
+    return [(m.start() + a, m.start() + b) for m in tokens for a, b in _entropy(m[0])]
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans in order.  Base spans always stay; an entropy span
     that overlaps one is left out."""
@@ -114,8 +126,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for m in _candidate.finditer(text):
         s, at = m.group(), m.start()
         base += [("hex", at + h.start(), at + h.end()) for h in _hex.finditer(s)]
-        if not _allowed.fullmatch(s) and not _allowed_before.search(text[max(0, at - 24):at]):
-            added += [("entropy", at + a, at + b) for a, b in _entropy(s)]
+        if not _allowed_before.search(text[max(0, at - 24):at]):
+            added += [("entropy", at + a, at + b) for a, b in _judged(s)]
     return ordered(base + apart(added, base), KINDS)
 
 

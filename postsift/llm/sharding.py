@@ -26,6 +26,12 @@ def _key(cols: Sequence[str]) -> Column:
                               for c in cols])
 
 
+def uniform(h: Column) -> Column:
+    """A number in (0, 1) from a 64-bit hash: 52 bits and a half, which a double holds exactly, so
+    that neither end is reached."""
+    return (F.shiftrightunsigned(h, 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def shard_of(keys: Sequence[str], weights: Sequence[float]) -> Column:
     """The shard (0, 1, ...) of a record by its key columns; all weights must be > 0."""
     if not weights or min(weights) <= 0:
@@ -33,7 +39,7 @@ def shard_of(keys: Sequence[str], weights: Sequence[float]) -> Column:
     key = F.xxhash64(_key(keys))
     scores = []
     for shard, weight in enumerate(weights):
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        u = uniform(F.xxhash64(key, F.lit(shard)))
         scores.append(F.struct((F.lit(-float(weight)) / F.log(u)).alias("score"), F.lit(-shard).alias("least")))
     best = scores[0] if len(scores) == 1 else F.greatest(*scores)
     return -best["least"]

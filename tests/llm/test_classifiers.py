@@ -51,6 +51,34 @@ def test_odd_texts(spark, docs):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_number_signs_are_no_letters(spark, docs):
+    model = language_id.fit(["en", "fr"], __import__("numpy").ones((2, language_id.BUCKETS)))
+    for text in ("½ ②", "Ⅷ ²", "12 _ !", "", None):
+        assert model.decide(text) == ("und", 0.0, True)
+    assert model.decide("½ a")[0] == "en"
+
+
+def test_decoding_is_the_plain_one(docs):
+    """Answers by loops over bits and codewords."""
+    import numpy as np
+    r = np.random.default_rng(4)
+    for k in (2, 4, 7):
+        model = language_id.fit([f"l{i}" for i in range(k)], r.integers(0, 50, (k, language_id.BUCKETS)).astype(float))
+        for text in ("the quick brown fox", "a", "les chats et les chiens " * 40):
+            counts = language_id.ngram_counts(text)
+            total, losses = counts.sum(), []
+            for word in model.code:
+                loss = 0.0
+                for bit, sign in enumerate(word):
+                    margin = language_id.SHARPNESS * sum(counts[b] * model.weights[b, bit] for b in np.flatnonzero(counts)) / total + model.bias[bit]
+                    loss += model.bit_weights[bit] * np.log1p(np.exp(-sign * margin))
+                losses.append(loss)
+            best = int(np.argmin(losses))
+            lang, score, ambiguous = model.decide(text)
+            assert lang == f"l{best}" and abs(score - 1 / sum(np.exp(losses[best] - x) for x in losses)) < 1e-9
+            assert ambiguous == (sorted(losses)[1] - losses[best] < language_id.AMBIGUOUS_GAP)
+
+
 def test_mixture_is_ambiguous(docs):
     """Half of one language and half of another: some texts are flagged, most get a low
     score; texts of one language are not flagged."""
@@ -253,6 +281,19 @@ def test_code_search(spark, bits, segments, k):
     assert out == plain_search(vectors, [v for v in vectors if v[0] is None or v[0] % 25 == 0 or v[0] >= 300], k, bits)
 
 
+@pytest.mark.parametrize("dims", [96, 128])
+def test_code_search_over_long_vectors(spark, dims):
+    """Every component counts; a width that is too small is refused."""
+    r = __import__("random").Random(dims)
+    base = [r.gauss(0, 1) for _ in range(dims)]
+    vectors = [(i, [x if j < 64 or r.random() < .7 else -x for j, x in enumerate(base)]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    out = sorted(tuple(x) for x in binary_search.search(df, df.filter("vec_id % 20 = 0"), k=5).collect())
+    assert out == plain_search(vectors, [v for v in vectors if v[0] % 20 == 0], 5, dims)
+    with pytest.raises(ValueError):
+        binary_search.search(df, df, k=5, bits=64)
+
+
 def test_code_search_of_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, -1.0]), (2, [-1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in binary_search.search(df, df, k=5, bits=8, segments=2).collect()) == [(1, 1, 1, 0), (1, 2, 2, 2), (2, 1, 2, 0), (2, 2, 1, 2)]

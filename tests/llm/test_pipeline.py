@@ -58,7 +58,7 @@ def test_columns_and_order(stages):
 def test_language_stage(spark, stages):
     before, after = stages["language_id"]
     model = language_id.learn(before.filter(~language_id.held_out()), "text", "lang")
-    want = [r for r in rows(before) if r[1] and re.search(r"[^\W\d_]", r[1]) and not model.decide(r[1])[2]]
+    want = [r for r in rows(before) if r[1] and any(map(str.isalpha, r[1])) and not model.decide(r[1])[2]]
     assert sorted(map(str, rows(after))) == sorted(map(str, want))
     assert {9000, 9001, 9002}.isdisjoint({r.doc_id for r in after.collect()})
 

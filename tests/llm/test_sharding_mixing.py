@@ -31,6 +31,35 @@ def test_shards(spark, docs):
     assert out.groupby("doc_id").shard.nunique().max() == 1
 
 
+def test_shards_are_the_best_scores(spark):
+    """Scores, winners and slots by plain arithmetic."""
+    import math
+    import struct
+
+    import xxhash
+    h = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    weights = [1.0, 2.5, 1.0, 0.5, 3.0]
+
+    def plain(i, count):
+        text = "-" if i is None else f"{len(str(i))}:{i}"
+        key = struct.pack("<Q", h(text.encode()))
+        u = [((h(struct.pack("<i", s), h(key)) >> 12) + 0.5) / 2 ** 52 for s in range(count)]
+        return max(range(count), key=lambda s: (-weights[s] / math.log(u[s]), -s))
+
+    ids = [None, 0, -5, 2**63 - 1, *range(100, 500)]
+    df = spark.createDataFrame([(i, "t") for i in ids] + [(7, "same")] * 200, "doc_id long, text string")
+    out = sharding.shard(df, weights[:4], more_weights=weights[4:]).collect()
+    assert all((r.shard, r.grown_shard) == (plain(r.doc_id, 4), plain(r.doc_id, 5)) for r in out)
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
+def test_numbers_lie_between_0_and_1(spark):
+    for h in (0, -1, 2**63 - 1, -2**63, 4095, -4096):
+        u, x = spark.range(1).select(sharding.uniform(F.lit(h).cast("long")).alias("u"), (-1 / F.log(sharding.uniform(F.lit(h).cast("long")))).alias("x")).first()
+        assert 0 < u < 1 and x > 0
+
+
 def test_shard_depends_on_key_and_count_only(spark):
     a = spark.createDataFrame([(i, str(i)) for i in range(300)], "doc_id long, text string")
     b = a.filter("doc_id % 7 = 3").select("doc_id", F.lit("other").alias("text"), F.lit(1).alias("shard"), F.lit(2).alias("id"))

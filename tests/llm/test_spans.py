@@ -147,6 +147,15 @@ def test_entropy_and_allow_list():
     assert [s[0] for s in secrets.find(f"token={key}")] == ["assign"]      # no second span over a base span
 
 
+def test_sample_words_allow_their_token_only():
+    key = "q7Rt2LmZx9Kd4VbN8sWp3HcY"
+    for text in (key, f"id={key}", f"path=/example/v1/{key}", f"your_app={key}", f"a/xxxx/{key}/placeholder"):
+        found = [s for s in secrets.find(text) if s[0] == "entropy"]
+        assert any(text[a:b] in key and b - a >= 20 or key in text[a:b] for _, a, b in found), text
+    for text in (f"EXAMPLE{key}", f"x={key}example", f"/your-{key}/"):
+        assert not secrets.find(text), text
+
+
 def test_allow_list_is_linear():
     r, old = random.Random(6), re.compile(r"(?:[A-Z]?[a-z]{2,}){3,}[0-9]{0,3}")
     new = re.compile(next(p for p in secrets.ALLOWED if p.startswith("(?:[A-Z]?+")))
