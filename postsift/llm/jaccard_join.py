@@ -16,8 +16,8 @@ components of the links without listing the pairs inside a group of copies.
 3. Rounds.  In each, a kept token's leader is the class of its largest component, and among
    these the most typical one; a class of another component is compared with one of its
    tokens' leaders, and links join components.
-4. Groups of the matrix: classes that leaders connect, cut into parts of about ``GROUP_TOKENS``
-   tokens.  The union of a group's prefix tokens is stored as rows (group, token).  A class
+4. Groups of the matrix: classes that kept tokens connect, cut into parts of about ``GROUP_TOKENS``
+   tokens, the followers of a leader together.  The union of a group's prefix tokens is stored as rows (group, token).  A class
    asks the groups that have, at a kept token, a class of a larger component (by size, then
    by key), the equi-join of its prefix tokens with the unions counts how many it can share,
    and only groups whose count reaches j are opened: their classes' tokens meet those
@@ -247,8 +247,11 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
         edges = new if edges is None else edges.unionByName(new)
         comps = scratch.keep(_with_components(near, edges, scratch), "near")
 
-    # groups: what leaders connect, in parts of bounded size; a leader with many followers is cut by class
-    families = scratch.keep(connected(first_led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch), "families")
+    # groups: what kept tokens connect, in parts of bounded size, so that a token has classes in the
+    # parts of one family only; a leader with many followers is cut by class
+    tops = near.groupBy("token").agg(F.max(F.struct("w", "cid")).alias("t"))
+    ties = near.join(tops, "token").select(F.col("cid").alias("a"), F.col("t.cid").alias("b")).filter("a <> b").distinct()
+    families = scratch.keep(connected(ties, scratch), "families")
     of = (comps.select("cid", "n", "comp", "size").distinct().join(first_led.drop("k"), "cid", "left").withColumn("leader", F.coalesce("leader", "cid"))
           .join(families.withColumnsRenamed({"node": "cid", "root": "family"}), "cid", "left").withColumn("family", F.coalesce("family", "cid")))
     of = scratch.keep(of, "of")
