@@ -172,6 +172,10 @@ def oracle_sql() -> dict[str, str]:
                          " c_name AS user_name FROM customer"),
         "search_predicate": (f"SELECT doc_id, source, n_chars FROM documents WHERE contains(text, '{Q.SEARCH['keyword']}')"
                              f" AND n_chars >= {Q.SEARCH['min_faves']} AND lang = '{Q.SEARCH['lang']}'"),
+        "stats_by_source": """
+SELECT name, count(v) AS n, round(avg(v), 6) AS mean, median(v) AS median, round(stddev_samp(v), 6) AS stddev FROM (
+  SELECT source AS name, n_chars::DOUBLE AS v FROM documents UNION ALL SELECT event_type, floor(value)::DOUBLE FROM events)
+WHERE v IS NOT NULL GROUP BY name""",
         "keyword_table_label": f"""
 WITH w AS (SELECT lang, unnest(list_distinct(regexp_split_to_array(text, '[^a-z]+'))) AS keyword FROM documents),
 kw AS (SELECT keyword, list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL) AS langs FROM w WHERE length(keyword) >= 6

@@ -520,6 +520,14 @@ def q_share_stats(spark, sf):
     return aggregate.share_stats(materialize(_shares(spark, sf), "shares"))
 
 
+def q_stats_by_source(spark, sf):
+    """A5-A7 / M7 per group: every source's documents, and all events by type with their ties."""
+    docs = aggregate.stats_by_key(_t(spark, sf, "documents"), "source", "n_chars").withColumnRenamed("source", "name")
+    events = aggregate.stats_by_key(_t(spark, sf, "events").withColumn("tied", F.floor("value")), "event_type", "tied").withColumnRenamed("event_type", "name")
+    both = docs.unionByName(events)
+    return both.select("name", "n", F.round("mean", 6).alias("mean"), "median", F.round("stddev", 6).alias("stddev"))
+
+
 def _user():
     """Stand-in for a post's author: a source and a span of ``USER_SPAN`` documents."""
     return F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / USER_SPAN).cast("string"))
@@ -668,6 +676,7 @@ QUERIES = {
     "class_split": q_class_split,
     "class_share": q_class_share,
     "share_stats": q_share_stats,
+    "stats_by_source": q_stats_by_source,
     "segment_users": q_segment_users,
     "segment_counts": q_segment_counts,
     "nfkc_documents": q_nfkc_documents,
