@@ -139,6 +139,38 @@ SELECT conv_id AS page_id, seq, NOT odd_page AS aligned, user_id, CASE WHEN NOT
 FROM f WHERE nth = 1 AND likes >= {Q.MIN_FAVES}"""
 
 
+# Least-cost words by a table of the cheapest costs of every beginning of a run of letters, one place more a step.
+LATTICE_WORDS = f"""
+WITH RECURSIVE low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+counted AS (SELECT surface, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '[a-z]+')) AS surface FROM low)
+            GROUP BY surface HAVING count(*) >= {Q.VOCAB_FLOOR}),
+total AS (SELECT CAST(coalesce(sum(n), 0) + 1 AS DOUBLE) AS total FROM counted),
+lex AS (SELECT surface, length(surface) AS len, CAST(floor(1000 * ln(total / n)) AS BIGINT) AS cost FROM counted, total),
+missing AS (SELECT CAST(floor(1000 * ln(2 * total)) AS BIGINT) AS cost FROM total),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '([a-z]+) ([a-z]+)', '\\1\\2', 'g'), '[a-z]+')) AS run FROM low),
+each AS (SELECT row_number() OVER (ORDER BY run) AS id, run FROM (SELECT DISTINCT run FROM runs)),
+starts AS (SELECT id, run, unnest(range(1, length(run) + 1)) AS pos FROM each),
+pieces AS (SELECT id, pos, unnest(range(1, length(run) - pos + 2)) AS len, run FROM starts),
+words AS (SELECT p.id, p.pos + p.len - 1 AS ending, p.len, lex.cost FROM pieces p JOIN lex ON lex.surface = substr(p.run, p.pos, p.len)),
+edges AS (SELECT id, ending, len, cost, 1 AS known FROM words
+          UNION ALL SELECT s.id, s.pos, 1, missing.cost, 0 FROM starts s, missing
+          WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.id = s.id AND w.ending = s.pos AND w.len = 1)),
+path AS (SELECT id, 0 AS pos, [CAST(0 AS BIGINT)] AS best, [CAST(0 AS BIGINT)] AS n_known, [CAST(0 AS BIGINT)] AS known_chars,
+                [CAST(0 AS BIGINT)] AS squares, [CAST(0 AS BIGINT)] AS cost FROM each
+         UNION ALL
+         SELECT id, pos + 1, list_append(best, best[pos + 2 - len] + edge), list_append(n_known, n_known[pos + 2 - len] + known),
+                list_append(known_chars, known_chars[pos + 2 - len] + known * len), list_append(squares, squares[pos + 2 - len] + known * len * len),
+                list_append(cost, cost[pos + 2 - len] + known * edge)
+         FROM (SELECT p.*, e.len, e.cost AS edge, e.known,
+                      row_number() OVER (PARTITION BY p.id ORDER BY p.best[p.pos + 2 - e.len] + e.cost, e.len DESC) AS nth
+               FROM path p JOIN edges e ON e.id = p.id AND e.ending = p.pos + 1) WHERE nth = 1),
+done AS (SELECT e.run, p.n_known[p.pos + 1] AS n_known, p.known_chars[p.pos + 1] AS known_chars, p.squares[p.pos + 1] AS squares, p.cost[p.pos + 1] AS cost
+         FROM path p JOIN each e USING (id) WHERE p.pos = length(e.run)),
+found AS (SELECT doc_id, sum(n_known) AS n_known, sum(known_chars) AS known_chars, sum(squares) AS squares, sum(cost) AS cost FROM runs JOIN done USING (run) GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"CAST(CASE WHEN d.text IS NOT NULL THEN coalesce(f.{c}, 0) END AS BIGINT) AS {c}" for c in ('n_known', 'known_chars', 'squares', 'cost'))}
+FROM documents d LEFT JOIN found f USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     seg_counts = " UNION ALL ".join(f"SELECT '{s}' AS segment" for s in SEGMENTS)
     return {
@@ -183,6 +215,7 @@ kw AS (SELECT keyword, list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL) AS la
 t AS (SELECT DISTINCT lang || '-' || substr(keyword, 1, 1) AS category, keyword FROM (SELECT unnest(langs) AS lang, keyword FROM kw))
 SELECT d.doc_id, t.category, '__label__' || t.category AS label, count(*) AS n_keywords, min(t.keyword) AS first_keyword, max(t.keyword) AS last_keyword
 FROM documents d JOIN t ON contains(d.text, t.keyword) GROUP BY d.doc_id, t.category""",
+        "lattice_words": LATTICE_WORDS,
         "keyword_label": (f"WITH {_kw_values()} SELECT d.doc_id, kw.category, kw.keyword, '__label__' || kw.category AS label"
                           " FROM documents d JOIN kw ON contains(d.text, kw.keyword)"),
         "user_timeline": (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..functions.text import clean_text, normalized, scrape_clean, tidy_text
 from ..functions.tokens import DEFAULT_LEXICON, base_forms, join_tokens, lexicon_join, tokenize
-from ..operators import aggregate, dedupe, filters, joins, keywords, linear, naive_bayes, ngram_model, segment, union
+from ..operators import aggregate, dedupe, filters, joins, keywords, lattice, linear, naive_bayes, ngram_model, segment, union
 from ..session import remove_scratch, scratch_path
 from ..sources import csv_files, html, json_posts
 from ..sinks import writers
@@ -27,6 +27,7 @@ USER_SPAN = 160                     # consecutive documents of a source that sta
 LANG_TARGET = "en"                  # target class of the segmentation (classes: languages)
 SINCE = datetime.datetime(2024, 1, 10)
 SEARCH = dict(keyword="the", min_faves=100, lang="en")
+VOCAB_FLOOR = 10                    # occurrences of a word of the segmentation's lexicon
 KEYWORD_DF = (3, 30)                # documents that hold a word of the keyword table
 MIN_FAVES = 10                      # P9 popularity floor of the scraper path
 # Stand-in dictionary for J1 on the given tables (the reference's own dictionary,
@@ -267,6 +268,26 @@ def q_keyword_table_label(spark, sf):
     return hits.groupBy("doc_id", "category", "label").agg(F.count(F.lit(1)).alias("n_keywords"), F.min("keyword").alias("first_keyword"), F.max("keyword").alias("last_keyword"))
 
 
+def q_lattice_words(spark, sf):
+    """M1 by a lexicon: the documents with every other space between two words left out, cut into words by the
+    lexicon of the documents' own words.  Per document the words of the lexicon, their characters, squared lengths
+    (which tell one segmentation from another) and costs."""
+    docs = _text(spark, sf, "documents", "doc_id", "text")
+    lower = F.translate("text", ASCII_LETTERS[:26], ASCII_LETTERS[26:])
+    tokens = docs.select(F.explode_outer(F.regexp_extract_all(lower, F.lit("[a-z]+"), 0)).alias("token"))
+    lexicon, unknown = lattice.learn_costs(tokens, "token", VOCAB_FLOOR)
+    joined = docs.select("doc_id", F.regexp_replace(lower, "([a-z]+) ([a-z]+)", "$1$2").alias("text"))
+    known = F.filter("words", lambda w: w["known"])
+
+    def total(value):
+        return F.aggregate(known, F.lit(0).cast("long"), lambda a, w: a + value(w).cast("long"))
+
+    length = lambda w: F.length(w["surface"])
+    return lattice.segment_words(joined, lexicon, unknown).select(
+        "doc_id", total(lambda w: F.lit(1)).alias("n_known"), total(length).alias("known_chars"),
+        total(lambda w: length(w) * length(w)).alias("squares"), total(lambda w: w["cost"]).alias("cost"))
+
+
 def _candidate_users(spark, sf):
     """The given user list: all customers."""
     return (_t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("screen_name"),
@@ -644,6 +665,7 @@ QUERIES = {
     "search_predicate": q_search_predicate,
     "keyword_label": q_keyword_label,
     "keyword_table_label": q_keyword_table_label,
+    "lattice_words": q_lattice_words,
     "user_timeline": q_user_timeline,
     "retweeter_edges": q_retweeter_edges,
     "retweeters_json": q_retweeters_json,
