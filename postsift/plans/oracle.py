@@ -125,6 +125,15 @@ SELECT page_id, pos, (pos + 1) % n_items AS seq, n_items, true AS aligned,
 FROM e"""
 
 
+# Straight from the table the pages were built from.
+SEARCH_CURSOR = f"""
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS i FROM events),
+seen AS (SELECT * FROM a WHERE user_id % 5 <> 0 OR i < 2 * {Q.PAGE_POSTS}),
+took AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS nth FROM seen WHERE event_type NOT IN {RT_TYPES})
+SELECT user_id AS search, nth, event_id, CAST(floor(value) AS BIGINT) AS favorites,
+       strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS created_at_raw FROM took WHERE nth <= {Q.SEARCH_TOTAL}"""
+
+
 def _scrape_posts() -> str:
     """Straight from the table the pages were built from."""
     return f"""WITH c AS (SELECT *, conv_id * 100 + turn AS n, count(*) OVER (PARTITION BY conv_id) AS n_items,
@@ -306,6 +315,8 @@ FROM documents d JOIN t ON contains(d.text, t.keyword) GROUP BY d.doc_id, t.cate
         "csv_round_trip": ("SELECT doc_id, CASE doc_id % 10 WHEN 4 THEN source || ' a+b=50%/c' WHEN 5 THEN NULL ELSE source END AS source,"
                            " CASE doc_id % 10 WHEN 1 THEN 'NA' WHEN 2 THEN '' WHEN 3 THEN '  ' || text || ' ' || chr(9) ELSE text END AS text,"
                            " n_chars FROM documents"),
+        "search_cursor_stream": SEARCH_CURSOR,
+        "search_cursor_batch": SEARCH_CURSOR,
         "stream_ingest": ("SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS favorites,"
                           " strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS created_at_raw FROM events"
                           f" WHERE event_type NOT IN {RT_TYPES}"),

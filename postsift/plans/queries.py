@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -15,7 +15,7 @@ from ..operators import aggregate, dedupe, filters, joins, keywords, lattice, li
 from ..session import remove_scratch, scratch_path
 from ..sources import csv_files, html, json_posts
 from ..sinks import writers
-from ..streaming import ingest
+from ..streaming import cursor, ingest
 from .tables import materialize, spread_for_cpu, table
 
 # Parameters of the registered queries.
@@ -649,6 +649,53 @@ def q_stream_ingest(spark, sf):
     return out.select(F.col("tweet_id").alias("event_id"), "user_id", "favorites", "created_at_raw")
 
 
+PAGE_POSTS = 5       # posts of a page of `landed_searches`
+SEARCH_TOTAL = 12    # posts that a search takes there
+
+
+def landed_searches(spark, sf) -> DataFrame:
+    """Pages (search, seq, page) of one search per user over `events`, newest first.  A page
+    begins with the last two posts of the page before; every fifth search has an empty
+    page in the place of its third one, with pages behind it."""
+    raw = event_posts_raw(spark, sf).select("event_id", F.regexp_extract("page", r"(?s)^\{\"statuses\":\[(.*)\]\}$", 1).alias("post"))
+    e = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("search")).join(raw, "event_id")
+    at = F.row_number().over(Window.partitionBy("search").orderBy(F.desc("event_id"))) - 1
+    e = e.withColumn("at", at).withColumn("own", F.floor(F.col("at") / PAGE_POSTS))
+    on = F.when(F.col("at") % PAGE_POSTS >= PAGE_POSTS - 2, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
+    e = e.select("search", F.explode(on).alias("p"), "at", "post")
+    posts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "post"))), lambda x: x["post"]), ",")
+    pages = e.groupBy("search", "p").agg(posts.alias("posts"))
+    empty = (F.col("search") % 5 == 0) & (F.col("p") >= 2)
+    pages = pages.select("search", F.explode(F.when(empty & (F.col("p") == 2), F.array(F.struct(F.lit(2).cast("bigint").alias("seq"), F.lit("").alias("posts")),
+                                                                                         F.struct(F.lit(3).cast("bigint").alias("seq"), F.col("posts"))))
+                                             .otherwise(F.array(F.struct((F.col("p") + F.when(empty, 1).otherwise(0)).cast("bigint").alias("seq"), F.col("posts"))))).alias("r"))
+    return pages.select("search", "r.seq", F.concat(F.lit('{"statuses":['), "r.posts", F.lit("]}")).alias("page"))
+
+
+def _taken(rows):
+    p = json_posts.flatten_posts(rows, "raw", keep=("search", "nth"))
+    return p.select("search", "nth", F.col("tweet_id").alias("event_id"), "favorites", "created_at_raw")
+
+
+def q_search_cursor_stream(spark, sf):
+    """S16 + W2: the pages land in two parts that interleave; the stream is stopped between
+    them and goes on from its checkpoint."""
+    pages = materialize(landed_searches(spark, sf), "searches")
+    land, out, ck = (scratch_path(spark, n) for n in ("search-land", "search-out", "search-ckpt"))
+    late = F.col("seq") % 3 == 1
+    for part in (pages.filter(~late), pages.filter(late)):
+        part.write.mode("append").parquet(land)
+        rows = ingest.follow_searches(spark, land, "search long, seq long, page string", out, ck, SEARCH_TOTAL)
+    remove_scratch(spark, land)
+    remove_scratch(spark, ck)
+    return _taken(rows)
+
+
+def q_search_cursor_batch(spark, sf):
+    """The same over the table of pages."""
+    return _taken(cursor.cursor_batch(landed_searches(spark, sf), SEARCH_TOTAL))
+
+
 QUERIES = {
     "clean_documents": q_clean_documents,
     "clean_pages": q_clean_pages,
@@ -708,4 +755,6 @@ QUERIES = {
     "partitioned_sinks": q_partitioned_sinks,
     "row_counts": q_row_counts,
     "stream_ingest": q_stream_ingest,
+    "search_cursor_stream": q_search_cursor_stream,
+    "search_cursor_batch": q_search_cursor_batch,
 }

@@ -13,11 +13,14 @@ executor only re-runs its micro-batch tasks.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import remove_scratch, scratch_path
 from ..sources import json_posts
+from .cursor import cursor_stream
 
 
 def dedup_stream(stream: DataFrame, key: str, time_col: str, delay: str = "1 day", exact: bool = True) -> DataFrame:
@@ -26,9 +29,10 @@ def dedup_stream(stream: DataFrame, key: str, time_col: str, delay: str = "1 day
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(stream: DataFrame, out_path: str, ckpt_path: str, fmt: str = "parquet") -> None:
+def run_available(stream: DataFrame, out_path: str, ckpt_path: str, fmt: str = "parquet", one_batch: bool = False) -> None:
+    trigger = {"once": True} if one_batch else {"availableNow": True}
     q = (stream.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", ckpt_path)
-         .outputMode("append").trigger(availableNow=True).start())
+         .outputMode("append").trigger(**trigger).start())
     q.awaitTermination()
 
 
@@ -42,6 +46,30 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB; the session's setting is back after."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
+def follow_searches(spark: SparkSession, land: str, schema: str, out: str, ckpt: str, total: int = 0,
+                    files_per_trigger: int = 100, ttl_ms: int | None = None) -> DataFrame:
+    """S16 + W2: takes what has landed under ``land`` (Parquet files of search, seq, page) since
+    the last call with this ``ckpt`` and appends the taken posts to ``out``.  Returns ``out``.
+    With ``ttl_ms`` a call is one micro-batch: state by processing time always asks for
+    another batch, so ``availableNow`` would not end."""
+    pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(land)
+    posts = cursor_stream(pages, total, ttl_ms)
+    with rocksdb_state(spark):
+        run_available(posts, out, ckpt, one_batch=ttl_ms is not None)
+    return spark.read.schema(posts.schema).parquet(out)
+
+
 def ingest_pages(spark: SparkSession, land: str, shape: str = "search", files_per_trigger: int = 100,
                  delay: str = "1 day", exact: bool = True) -> DataFrame:
     """Stream landed pages (one JSON page per line under ``land``): posts are flattened,
@@ -51,11 +79,7 @@ def ingest_pages(spark: SparkSession, land: str, shape: str = "search", files_pe
     posts = json_posts.flatten_posts(json_posts.explode_pages(pages.withColumnRenamed("value", "page"), "page", shape))
     posts = posts.filter(~F.col("is_retweet")).drop("page_pos").withColumn("event_time", F.col("created_at").cast("timestamp"))
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
+    with rocksdb_state(spark):
         run_available(dedup_stream(posts, "tweet_id", "event_time", delay, exact), out, ck)
-    finally:
-        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
     remove_scratch(spark, ck)
     return spark.read.schema(posts.schema).parquet(out).drop("event_time")
