@@ -148,6 +148,16 @@ SELECT conv_id AS page_id, seq, NOT odd_page AS aligned, user_id, CASE WHEN NOT
 FROM f WHERE nth = 1 AND likes >= {Q.MIN_FAVES}"""
 
 
+# Straight from the table the pages were built from.
+SCRAPE_NESTED = f"""
+WITH c AS (SELECT *, conv_id * 100 + turn AS n FROM conversations),
+r AS (SELECT conv_id, turn, 0 AS quoted, n % 37 AS user_id, n AS tweet_id, text FROM c
+      UNION ALL SELECT conv_id, turn, 1, n % 11, n + 1000000000, role FROM c WHERE turn % 3 = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, quoted) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n_items FROM r)
+SELECT conv_id AS page_id, pos, (pos + 1) % n_items AS seq, CASE WHEN quoted = 1 THEN pos - 1 END AS parent, user_id, tweet_id,
+       {sql_scrape("text")} AS text FROM p"""
+
+
 # Least-cost words by a table of the cheapest costs of every beginning of a run of letters, one place more a step.
 LATTICE_WORDS = f"""
 WITH RECURSIVE low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -295,6 +305,7 @@ FROM documents d JOIN t ON contains(d.text, t.keyword) GROUP BY d.doc_id, t.cate
         "search_since": (f"SELECT event_id, user_id, strftime(ts, {TS}) AS ts FROM events WHERE contains(props, '7') AND value >= 10"
                          f" AND ts >= TIMESTAMP '{Q.SINCE}' AND event_type = 'view'"),
         "scrape_posts": _scrape_posts(),
+        "scrape_nested": SCRAPE_NESTED,
         "row_counts": f"WITH {LAB} SELECT l.label, count(*) AS n_rows FROM documents d JOIN lab l USING (doc_id) GROUP BY l.label",
         "nb_predict": NB + "SELECT doc_id, prediction, score FROM pred",
         "nb_topk": NB + ("SELECT doc_id, rk AS rank, '__label__' || label AS label, CAST(round(score, 3) AS DOUBLE) AS score"

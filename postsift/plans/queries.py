@@ -649,6 +649,24 @@ def q_stream_ingest(spark, sf):
     return out.select(F.col("tweet_id").alias("event_id"), "user_id", "favorites", "created_at_raw")
 
 
+def q_scrape_nested(spark, sf):
+    """Scraped pages (S5) built from conversations whose posts hold plain lists, comments and
+    scripts with misleading tags, and, every third turn, a quoted post."""
+    c = _t(spark, sf, "conversations").withColumn("n", F.col("conv_id") * 100 + F.col("turn"))
+
+    def post(user, n, text, inside):
+        return F.concat(F.lit('<li class="js-stream-item"><div class="js-stream-tweet" data-name="x" data-conversation-id="'), n,
+                        F.lit('"><img src="a>b"><a class="js-account-group" data-user-id="'), user, F.lit('">u</a><p class="TweetTextSize">'),
+                        text, F.lit("</p>"), inside, F.lit("</div></li>"))
+
+    noise = F.lit('<!-- </li><li class="js-stream-item"> --><ul><li>one<li>two</li></ul><script>"</div></li>"</script><br/>')
+    quoted = F.concat(F.lit("<ol>"), post(F.col("n") % 11, F.col("n") + 1000000000, F.col("role"), noise), F.lit("</ol>"))
+    own = post(F.col("n") % 37, F.col("n"), F.col("text"), F.concat(noise, F.when(F.col("turn") % 3 == 1, quoted).otherwise("")))
+    pages = (c.groupBy(F.col("conv_id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("turn", own.alias("h")))).alias("p"))
+             .select("page_id", F.concat(F.lit("<ol>"), F.array_join(F.transform("p", lambda x: x["h"]), "\n"), F.lit("</ol>")).alias("html")))
+    return html.page_posts_nested(pages).select("page_id", "pos", "seq", "parent", "user_id", "tweet_id", "text")
+
+
 PAGE_POSTS = 5       # posts of a page of `landed_searches`
 SEARCH_TOTAL = 12    # posts that a search takes there
 
@@ -725,6 +743,7 @@ QUERIES = {
     "cap_per_search": q_cap_per_search,
     "search_since": q_search_since,
     "scrape_posts": q_scrape_posts,
+    "scrape_nested": q_scrape_nested,
     "lr_features": q_lr_features,
     "lr_holdout": q_lr_holdout,
     "nb_reload_predict": q_nb_reload_predict,

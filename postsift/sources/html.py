@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from typing import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import count_text_to_long, first_path_segment, scrape_time_to_minute
 from ..functions.text import scrape_clean, strip_tags
 from ..operators.dedupe import rotate_positions
+from .html_tree import nested_elements
 
 # One anchor element; its target and its text.
 ANCHOR_ELEMENT = r'(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'
@@ -42,7 +43,10 @@ def elements(pages: DataFrame, html_col: str, element: str, parts: Mapping[str,
     first), ``n_items`` of the page, the parts (NULL when the element lacks one), and
     ``aligned``: whether all elements of the page have all parts."""
     found = F.regexp_extract_all(F.col(html_col), F.lit(element), 0)
+    return _positions(pages, found, parts, keep)
 
+
+def _positions(pages: DataFrame, found: Column, parts: Mapping[str, tuple], keep) -> DataFrame:
     def part(e, pattern, group):
         return F.when(e.rlike(pattern), F.regexp_extract(e, pattern, group))
 
@@ -73,7 +77,19 @@ def page_posts(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> D
     """The posts of scraped search pages as the seven columns of a `posts_scrape` file
     (user_id, screen_name, user_name, favorites, created_at, text, tweet_id) with their
     order (F36, F38-F41, W3)."""
-    z = elements(pages, html_col, POST_ELEMENT, POST_PARTS, keep)
+    return _posts(elements(pages, html_col, POST_ELEMENT, POST_PARTS, keep), keep)
+
+
+def page_posts_nested(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> DataFrame:
+    """`page_posts` for pages whose posts hold lists, comments, scripts or quoted posts.  A quoted
+    post is a row of its own, behind the one it stands in; ``parent`` is that one's ``pos``."""
+    z = pages.select(*keep, nested_elements(F.col(html_col), "li", "js-stream-item").alias("items"))
+    rows = _positions(z, F.col("items.html"), POST_PARTS, [*keep, "items"])
+    parent = F.get("items.parent", F.col("pos").cast("int"))
+    return _posts(rows.withColumn("parent", parent), [*keep, "parent"])
+
+
+def _posts(z: DataFrame, keep) -> DataFrame:
     return z.select(*keep, "pos", "seq", "aligned", F.col("user_id").try_cast("bigint").alias("user_id"),
                     first_path_segment(F.col("permalink")).alias("screen_name"), strip_tags(F.col("user_name")).alias("user_name"),
                     count_text_to_long("likes").alias("favorites"), scrape_time_to_minute("title").alias("created_at"),
