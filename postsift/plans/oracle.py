@@ -318,6 +318,8 @@ FROM documents d JOIN t ON contains(d.text, t.keyword) GROUP BY d.doc_id, t.cate
         "segment_users": FLAG + "SELECT * FROM seg",
         "segment_counts": FLAG + (f", dim AS ({seg_counts}) SELECT dim.segment, coalesce(n, 0) AS n_users FROM dim LEFT JOIN"
                                 " (SELECT segment, count(*) AS n FROM seg GROUP BY segment) c USING (segment)"),
+        "batched_sinks": FLAG + (f", dim AS ({seg_counts}) SELECT dim.segment, coalesce(n, 0) AS n_users, coalesce(n, 0) AS n_observed FROM dim LEFT JOIN"
+                                " (SELECT segment, count(*) AS n FROM seg GROUP BY segment) c USING (segment)"),
         "partitioned_sinks": FLAG + "SELECT segment, count(*) AS n_users FROM seg GROUP BY segment",
         "nfkc_documents": "SELECT doc_id, text AS text_nfkc FROM documents",
         "tidy_output": f"SELECT CAST(doc_id AS VARCHAR) AS tweet_id, source AS screen_name, {sql_tidy('text')} AS text FROM documents",

@@ -14,7 +14,7 @@ from ..functions.tokens import DEFAULT_LEXICON, base_forms, join_tokens, lexicon
 from ..operators import aggregate, dedupe, filters, joins, keywords, lattice, linear, naive_bayes, ngram_model, segment, union
 from ..session import remove_scratch, scratch_path
 from ..sources import csv_files, html, json_posts
-from ..sinks import writers
+from ..sinks import batches, writers
 from ..streaming import cursor, ingest
 from .tables import materialize, spread_for_cpu, table
 
@@ -605,6 +605,20 @@ def q_partitioned_sinks(spark, sf):
     return back.groupBy("segment").agg(F.count(F.lit(1)).alias("n_users"))
 
 
+def q_batched_sinks(spark, sf):
+    """S10 + S15 + A8: the segmented users appended in three batches; the first is written
+    twice, the second first with all rows.  Counts of the table and those observed."""
+    seg = materialize(segmented(spark, sf), "segmented")
+    part = F.pmod(F.xxhash64("screen_name"), F.lit(3))
+    path = scratch_path(spark, "batches")
+    batches.write_batch(seg.filter(part == 0), path, 0)
+    batches.write_batch(seg, path, 1)
+    observed = [batches.write_batch(seg.filter(part == b), path, b) for b in range(3)]
+    sums = F.create_map(*[x for s in segment.SEGMENTS for x in (F.lit(s), F.lit(sum(o[s] for o in observed)).cast("bigint"))])
+    counts = segment.segment_counts(spark, batches.read_batches(spark, path, seg.schema))
+    return counts.select("segment", "n_users", sums[F.col("segment")].alias("n_observed"))
+
+
 def q_scrape_posts(spark, sf):
     """The seven scraped lists (S5) with P9: search pages built from conversations, one post
     per turn; every third page has a post without a permalink.  The first post per user in
@@ -772,6 +786,7 @@ QUERIES = {
     "timeline_json": q_timeline_json,
     "csv_round_trip": q_csv_round_trip,
     "partitioned_sinks": q_partitioned_sinks,
+    "batched_sinks": q_batched_sinks,
     "row_counts": q_row_counts,
     "stream_ingest": q_stream_ingest,
     "search_cursor_stream": q_search_cursor_stream,

@@ -9,7 +9,7 @@ from postsift.plans.queries import QUERIES, SEARCH_CAP, TRAINING_CAP
 
 SF = "/root/testdata/sf0.001"
 # queries that write or stream while being built are covered by test_oracle
-SKIP = {"timeline_json", "csv_round_trip", "partitioned_sinks", "stream_ingest", "search_cursor_stream", "training_corpus", "lr_predict", "lr_holdout",
+SKIP = {"timeline_json", "csv_round_trip", "partitioned_sinks", "batched_sinks", "stream_ingest", "search_cursor_stream", "training_corpus", "lr_predict", "lr_holdout",
         "share_stats", "segment_users", "segment_counts", "ngram_counts", "lr_features"}
 
 
