@@ -6,15 +6,17 @@ overlapping hits.  A code point that is no word is an edge of its own with the c
 unknown one.  The words of the cheapest path are the segmentation; of equal paths the one
 whose last word is longer wins, and so on backwards.
 
-A lexicon has any size: it is cut into parts (``keywords.keyword_parts``), and a text passes through
-the tasks' automata one part after another, in one stage, with the edges found so far beside it.
-Nothing is shuffled.  Time and memory grow with the text and its edges.
+A lexicon has any size: it is cut into parts (``keywords.keyword_parts``), and a slice of texts passes
+through the automata of its task one after another, in one stage.  A task holds one automaton at a time
+and the edges of one slice, whatever the number of rows.  Nothing is shuffled.  Time grows with the
+text and its edges.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from .keywords import automaton, keyword_parts
 
 SCALE = 1000        # costs are thousandths of a natural logarithm
+TEXT_CHARS = 4 << 20        # characters of the texts whose edges a task holds
+OUT_WORDS = 50_000          # words that leave a task together, but for the last text's
 
 
 def learn_costs(tokens: DataFrame, token_col: str = "token", floor: int = 10) -> tuple[DataFrame, int]:
@@ -83,31 +87,90 @@ def path_words(text: str, edges: np.ndarray, unknown: int) -> list[tuple[str, bo
     return out
 
 
-def _part(words: list, costs: list, unknown: int, last: bool, names: list, text_at: int):
-    """Function of Arrow batches: adds the edges of one part of the lexicon, or, with the last part, gives the words."""
-    lengths = [len(w) for w in words]
-    struct = pa.struct([("surface", pa.string()), ("known", pa.bool_()), ("cost", pa.int64())])
+def _pieces(batch: pa.RecordBatch, text_at: int, chars: int):
+    """``batch`` in slices of at most about ``chars`` characters, one row at least."""
+    at = size = 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(text_at)), 0).to_pylist()):
+        if i > at and size + n > chars:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
+
+def _segmenter(parts: list, unknown: int, names: list, text_at: int):
+    """Function of Arrow batches: the words of each text by all ``parts`` (surfaces, costs) of the lexicon.
+
+    A task holds one automaton at a time, the edges of a slice of texts, and the words of a part of that slice."""
     def run(batches):
-        made = automaton(words) if words else None
+        first = np.cumsum([0, *[len(w) for w, _ in parts]])
+        lengths = np.concatenate([pc.utf8_length(w).to_numpy(zero_copy_only=False) for w, _ in parts]).astype(np.int64)
+        costs = np.concatenate([c.to_numpy(zero_copy_only=False) for _, c in parts]).astype(np.int64)
+        filled = [p for p, (w, _) in enumerate(parts) if len(w)]
+        made, held = None, None
         for b in batches:
-            out = []
-            for text, so_far in zip(b.column(text_at), b.column(text_at + 1)):
-                text = text.as_py()
-                if text is None:
-                    out.append(None)
-                    continue
-                hits = [(end + 1, lengths[i], costs[i]) for end, i in made.iter(text)] if made else []
-                edges = np.array(hits, np.int64).reshape(-1, 3)
-                if so_far.is_valid:
-                    edges = np.concatenate([np.frombuffer(so_far.as_py(), np.int64).reshape(-1, 3), edges])
-                out.append([dict(zip(("surface", "known", "cost"), w)) for w in path_words(text, edges, unknown)] if last else edges.tobytes())
-            kept = [b.column(i) for i in range(text_at + (0 if last else 1))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(struct) if last else pa.binary())], names)
+            for piece in _pieces(b, text_at, TEXT_CHARS):
+                texts = piece.column(text_at).to_pylist()
+                hits: list = [[] for _ in texts]
+                # the part whose automaton is there comes first
+                for p in sorted(filled, key=lambda p: p != held):
+                    if p != held:
+                        made = None
+                        made, held = automaton(parts[p][0].to_pylist()), p
+                    for found, text in zip(hits, texts):
+                        if text:
+                            ends = np.fromiter((x for hit in made.iter(text) for x in hit), np.int32).reshape(-1, 2)
+                            found.append(ends + np.array([1, first[p]], np.int32))
+                out = _Words(piece.select(range(text_at)), names)
+                for row, (text, found) in enumerate(zip(texts, hits)):
+                    hits[row] = None
+                    if text is None:
+                        out.add(None)
+                        continue
+                    ends = np.concatenate(found) if found else np.empty((0, 2), np.int32)
+                    out.add(path_words(text, np.column_stack([ends[:, 0].astype(np.int64), lengths[ends[:, 1]], costs[ends[:, 1]]]), unknown))
+                    if out.size >= OUT_WORDS:
+                        yield out.batch()
+                if out.rows > out.done:
+                    yield out.batch()
 
     return run
 
 
+class _Words:
+    """The words of consecutive rows as columns."""
+
+    def __init__(self, kept: pa.RecordBatch, names: list):
+        self.kept, self.names, self.done, self.rows = kept, names, 0, 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.offsets, self.null, self.surfaces, self.known, self.costs = [0], [], [], [], []
+
+    @property
+    def size(self) -> int:
+        return len(self.costs)
+
+    def add(self, words: list | None) -> None:
+        for surface, known, cost in words or ():
+            self.surfaces.append(surface)
+            self.known.append(known)
+            self.costs.append(cost)
+        self.offsets.append(len(self.costs))
+        self.null.append(words is None)
+        self.rows += 1
+
+    def batch(self) -> pa.RecordBatch:
+        struct = pa.StructArray.from_arrays([pa.array(self.surfaces, pa.string()), pa.array(self.known, pa.bool_()), pa.array(self.costs, pa.int64())],
+                                            ["surface", "known", "cost"])
+        words = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), struct, mask=pa.array(self.null, pa.bool_()))
+        kept = self.kept.slice(self.done, self.rows - self.done)
+        self.done = self.rows
+        self._clear()
+        return pa.RecordBatch.from_arrays([*kept.columns, words], self.names)
+
+
 def segment_words(posts: DataFrame, lexicon: DataFrame, unknown: int, text_col: str = "text", out_col: str = "words",
                   part_bytes: int | None = None, part_rows: int | None = None) -> DataFrame:
     """``posts`` with ``out_col``: array of (surface, known, cost), the words of each whole text in order.
@@ -117,22 +180,20 @@ def segment_words(posts: DataFrame, lexicon: DataFrame, unknown: int, text_col:
     * an empty lexicon leaves unknown words only; an empty table gives an empty result.
     * repeated rows are each kept; a column ``out_col`` of ``posts`` is replaced, other columns may have any name.
 
-    The parts of the lexicon reach the tasks through the driver, which holds one of them at a time."""
+    The lexicon reaches the tasks through the driver, as Arrow columns of its parts."""
     cost = F.min("cost").cast("string")
     cheapest = lexicon.filter(F.col("cost").isNotNull()).groupBy("surface").agg(cost.alias("cost"))
     table, parts = keyword_parts(cheapest.select(F.col("surface").alias("keyword"), F.col("cost").alias("category")), part_bytes, part_rows)
     keep = [c for c in posts.columns if c != out_col]
     fields = [T.StructField(f"k{i}", posts.schema[c].dataType) for i, c in enumerate(keep)]
-    at = len(keep)
-    rows = posts.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"),
-                        F.lit(None).cast("binary").alias("edges"))
+    rows = posts.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     word = T.StructType([T.StructField("surface", T.StringType()), T.StructField("known", T.BooleanType()), T.StructField("cost", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("words", T.ArrayType(word))])
+    have = []
     for part in range(parts):
-        have = table.filter(F.col("part") == part).select("keyword", "categories").collect()     # bounded by part_bytes and part_rows
-        last = part == parts - 1
-        tail = [T.StructField("words", T.ArrayType(word))] if last else [T.StructField("text", T.StringType()), T.StructField("edges", T.BinaryType())]
-        schema = T.StructType([*fields, *tail])
-        rows = rows.mapInArrow(_part([r.keyword for r in have], [int(r.categories[0]) for r in have], unknown, last, schema.names, at), schema)
+        t = table.filter(F.col("part") == part).select("keyword", F.col("categories")[0].cast("long").alias("cost")).toArrow().combine_chunks()
+        have.append(tuple(pa.concat_arrays([x.cast(kind) for x in t.column(name).chunks]) if len(t) else pa.array([], kind) for name, kind in (("keyword", pa.string()), ("cost", pa.int64()))))
+    rows = rows.mapInArrow(_segmenter(have, unknown, schema.names, len(keep)), schema)
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("words").alias(out_col))
 
 

@@ -94,3 +94,21 @@ def test_no_text_is_shuffled(spark):
     df = spark.createDataFrame([(1, "ab")], "id int, text string")
     plan = lattice.segment_words(df, lexicon, 9)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_a_task_holds_few_texts_at_a_time(spark, monkeypatch):
+    """A batch of many texts leaves the task in slices, by several parts of the lexicon too."""
+    import pyarrow as pa
+    monkeypatch.setattr(lattice, "TEXT_CHARS", 1000)
+    monkeypatch.setattr(lattice, "OUT_WORDS", 200)
+    made = []
+    monkeypatch.setattr(lattice, "automaton", lambda words, f=lattice.automaton: made.append(words) or f(words))
+    parts = [(pa.array(["ab"]), pa.array([1])), (pa.array(["c"]), pa.array([2])), (pa.array([], pa.string()), pa.array([], pa.int64()))]
+    texts = ["abc" * 20, None, ""] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["id", "text"])
+    out = list(lattice._segmenter(parts, 9, ["id", "words"], 1)(iter([batch])))
+    assert max(pa.compute.list_flatten(b.column(1)).__len__() for b in out) <= 240 and len(out) > 15
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(300))
+    words = [w for b in out for w in b.column(1).to_pylist()]
+    want = [{"surface": "ab", "known": True, "cost": 1}, {"surface": "c", "known": True, "cost": 2}] * 20
+    assert words == [want, None, []] * 100 and 2 < len(made) < 20
