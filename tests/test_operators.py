@@ -1,6 +1,7 @@
 """Operator semantics on literal rows."""
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from postsift.functions import parse
@@ -308,3 +309,24 @@ def test_union_fill_cast_strict(spark):
     bad = union.cast_columns(spark.createDataFrame([(None,)], "user_id string"), {"user_id": "bigint"}, strict=True)
     with pytest.raises(Exception):
         bad.collect()
+
+
+def test_scores_do_not_depend_on_what_is_sent_to_the_tasks(spark):
+    """A model of which only the head is sent gives the scores of one sent whole; no token that the head has is joined."""
+    train = spark.createDataFrame([("a", ["x"] * 40 + ["y"] * 20 + [f"r{i}" for i in range(60)]), ("b", ["y"] * 30 + ["z"] * 25 + [f"r{i}" for i in range(30, 90)])], "label string, w array<string>")
+    m = fit_nb(train, "label", "w")
+    rows = [(1, ["x", "y", "r1", "r1", "r70", "new"], "s"), (1, ["x", "y", "r1", "r1", "r70", "new"], "s"), (None, ["z"] * 9, None), (2, [], "s"), (2, None, "s"), (3, ["r5", None, "r80", "r6"], "t")]
+    docs = spark.createDataFrame(rows, "id long, w array<string>, source string")
+
+    def scores(**more):
+        return sorted(str((r.id, r.source, r.ranked, r.prediction, r.score)) for r in score_nb(m, docs, "id", "w", carry=("source",), **more).collect())
+
+    whole = scores()
+    assert len(whole) == len(rows) and whole == scores(head_bytes=1 << 20) == scores(head_bytes=400) == scores(head_bytes=1)
+    plan = score_nb(m, docs, "id", "w", head_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    by_hand = {t: [float(v) for v in lp] for t, *lp in m.table.collect()}
+    got = {r.id: {x.name: float(x.score) for x in r.ranked} for r in score_nb(m, docs, "id", "w").filter("id = 3").collect()}[3]
+    prior = [0.5, 0.5]
+    for i, c in enumerate(m.classes):
+        assert abs(got[c] - (np.log(prior[i]) + sum(by_hand[t][i] for t in ("r5", "r80", "r6")))) < 1e-6
