@@ -330,3 +330,17 @@ def test_scores_do_not_depend_on_what_is_sent_to_the_tasks(spark):
     prior = [0.5, 0.5]
     for i, c in enumerate(m.classes):
         assert abs(got[c] - (np.log(prior[i]) + sum(by_hand[t][i] for t in ("r5", "r80", "r6")))) < 1e-6
+
+
+def test_a_vocabulary_is_looked_up_in_place(spark, monkeypatch):
+    from postsift.operators import lookup
+    from postsift.operators.linear import restrict_to_vocabulary
+    monkeypatch.setattr(lookup, "PART_BYTES", 40)
+    vocab = spark.createDataFrame([(f"v{i}",) for i in range(50)] + [("v1",), (None,), ("",)], "token string")
+    rows = [(1, ["v3", "n", "v49", None, "v3", ""], "s"), (1, ["v3", "n", "v49", None, "v3", ""], "s"), (None, [], None), (2, None, "s"), (None, ["n", "v0"], None)]
+    docs = spark.createDataFrame(rows, "id long, w array<string>, source string")
+    here = restrict_to_vocabulary(docs, "id", "w", vocab, carry=("source",))
+    joined = restrict_to_vocabulary(docs, "id", "w", vocab, carry=("source",), vocab_bytes=0)
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString() and here.columns == joined.columns
+    assert sorted(map(str, here.collect())) == sorted(map(str, joined.collect()))
+    assert sorted(str(r.vocab_words) for r in here.collect()) == sorted(map(str, [["v3", "v49", "v3", ""]] * 2 + [[], [], ["v0"]]))
