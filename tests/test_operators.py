@@ -344,3 +344,18 @@ def test_a_vocabulary_is_looked_up_in_place(spark, monkeypatch):
     assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString() and here.columns == joined.columns
     assert sorted(map(str, here.collect())) == sorted(map(str, joined.collect()))
     assert sorted(str(r.vocab_words) for r in here.collect()) == sorted(map(str, [["v3", "v49", "v3", ""]] * 2 + [[], [], ["v0"]]))
+
+
+def test_a_lexicon_is_looked_up_in_place(spark, monkeypatch):
+    """In place and by the join: dropped and unknown tokens, repeated and NULL ids, and no shuffle of rows."""
+    from postsift.functions import tokens
+    lex = spark.createDataFrame([("a", "determiner", "*"), ("is", "verb", "be"), ("is", "adverb", "x"), ("cat", None, None), (None, "noun", "q"), ("was", "verb", "be")], "surface string, pos string, base string")
+    docs = spark.createDataFrame([(1, ["a", "cat", "is", "new", "!"]), (1, ["a", "cat", "is", "new", "!"]), (None, ["a"]), (None, []), (2, None), (3, ["was"])], "id long, t array<string>")
+    for keep in (None, ["verb"], ["noun", "verb"]):
+        here = tokens.lexicon_join(docs, "t", lex, keep)
+        assert ("Exchange" in here._jdf.queryExecution().executedPlan().toString()) == (keep == ["noun", "verb"])
+        got = sorted(map(str, here.collect()))
+        monkeypatch.setattr(tokens, "LEXICON_BYTES", 0)
+        assert got == sorted(map(str, tokens.lexicon_join(docs, "t", lex, keep).collect())) and len(got) == 6
+        monkeypatch.undo()
+    assert {tuple(r.words) for r in tokens.lexicon_join(docs, "t", lex).collect()} == {("cat", "be", "new", "!"), (), ("be",)}
