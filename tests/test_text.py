@@ -47,3 +47,17 @@ def test_tidy_keeps_null(spark):
     df = spark.createDataFrame([(1, " a\r\nb 　"), (2, None)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", tidy_text("t").alias("c")).collect()}
     assert got == {1: "a\nb", 2: None}
+
+
+def test_nfkc_of_arrow_batches(monkeypatch):
+    import unicodedata
+
+    import pyarrow as pa
+
+    from postsift.functions import text
+    monkeypatch.setattr(text, "NFKC_ROWS", 3)
+    plain = pa.array(["abc", None, "", "é", "ü ß", "x"])
+    assert text._nfkc(plain) is plain              # no copy of normal texts
+    rows = ["abc", None, "ﬁ", "e\u0301", "", "Ａ１", "가", "ok", None, "½"]
+    assert text._nfkc(pa.array(rows)).to_pylist() == [None if t is None else unicodedata.normalize("NFKC", t) for t in rows]
+    assert text._nfkc(pa.array([], pa.string())).to_pylist() == []
