@@ -13,16 +13,19 @@ components of the links without listing the pairs inside a group of copies.
    one class only can meet nothing; classes with no other tokens, or with fewer than j that
    another class has, are finished.  So a passage
    that many documents share is dropped everywhere, and only near copies go on.
-3. Rounds.  In each, a kept token's leader is the class of its largest component, and among
+3. Candidates.  Linked classes share at least j of the prefix tokens that several classes have.
+   These lists are some tenth of the token sets, so pairs are tried on them first; whole sets are
+   made only of classes that are in a pair that passes, when they are compared.
+4. Rounds.  In each, a kept token's leader is the class of its largest component, and among
    these the most typical one; a class of another component is compared with one of its
    tokens' leaders, and links join components.
-4. Groups of the matrix: classes that kept tokens connect, cut into parts of about ``GROUP_TOKENS``
+5. Groups of the matrix: classes that kept tokens connect, cut into parts of about ``GROUP_TOKENS``
    tokens, the followers of a leader together.  The union of a group's prefix tokens is stored as rows (group, token).  A class
    asks the groups that have, at a kept token, a class of a larger component (by size, then
    by key), the equi-join of its prefix tokens with the unions counts how many it can share,
-   and only groups whose count reaches j are opened: their classes' tokens meet those
-   of the asking classes, dealt in parts.
-5. Components of all links (``components.connected``).
+   and only groups whose count reaches j are opened: their classes' prefix tokens meet those
+   of the asking classes, dealt in parts, and then the sets of the classes that this leaves.
+6. Components of all links (``components.connected``).
 
 A hot key costs nothing extra at any step: counts, minima and maxima are partial
 aggregates, joins are split by AQE, and groups and their queries are of bounded size.  Near
@@ -136,6 +139,43 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
     return out
 
 
+def _by_token(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of the lists in order, and the place of the list that each is of."""
+    tokens = np.concatenate([np.asarray(t) for t in lists])
+    owner = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], owner[order]
+
+
+def _owners(tokens: np.ndarray, owner: np.ndarray, lo: np.ndarray, seen: np.ndarray, count: int) -> np.ndarray:
+    """How many of the stretches of ``tokens`` (from ``lo``, ``seen`` long) each of ``count`` lists has."""
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(seen)[:-1]]), seen) + np.arange(seen.sum())
+    return np.bincount(owner[at], minlength=count)
+
+
+def meet_group(num: int, den: int):
+    """Function of one group's classes and a part of its queries, both with their prefix tokens: the
+    classes and the queries that are in a pair of other components that shares enough of them."""
+    def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        met, asking = np.zeros(len(members), bool), np.zeros(len(queries), bool)
+        if len(members) and len(queries):
+            sizes, least, stars = (members[c].to_numpy() for c in ("n", "least", "star"))
+            tokens, owner = _by_token(members["tokens"])
+            for i, (star, n, enough, own) in enumerate(zip(queries["xstar"], queries["xn"], queries["xleast"], queries["xtokens"])):
+                own = np.asarray(own)
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                both = _owners(tokens, owner, lo, hi - lo, len(sizes))
+                fits = (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num) & (stars != star)
+                hits = fits & (both >= np.maximum(least, enough))
+                met |= hits
+                asking[i] = hits.any()
+        cid = np.concatenate([members["cid"].to_numpy()[met], queries["x"].to_numpy()[asking]]).astype("int64")
+        at = {c: np.full(len(cid), k, "int64") for c, k in zip(("gl", "gp", "deal"), key)}
+        return pd.DataFrame({**at, "cid": cid, "asking": np.arange(len(cid)) >= met.sum()})
+
+    return run
+
+
 def open_group(num: int, den: int):
     """Function of one group's classes and a part of its queries: edges that join the
     stars of linked classes (a spanning forest of them)."""
@@ -144,10 +184,7 @@ def open_group(num: int, den: int):
         if len(members) and len(queries):
             sizes = members["n"].to_numpy()
             cids, stars = members["cid"].to_numpy(), members["star"].to_numpy()
-            tokens = np.concatenate([np.asarray(t) for t in members["tokens"]])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
+            tokens, owner = _by_token(members["tokens"])
             for x, star, n, own in zip(queries["x"], queries["xstar"], queries["xn"], queries["xtokens"]):
                 own = np.asarray(own)
                 lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
@@ -157,8 +194,7 @@ def open_group(num: int, den: int):
                 if den * np.count_nonzero(others > 0) < num * n:
                     continue
                 lo, seen = lo[seen > 0], seen[seen > 0]
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(seen)[:-1]]), seen) + np.arange(seen.sum())
-                both = np.bincount(owner[at], minlength=len(sizes))
+                both = _owners(tokens, owner, lo, seen, len(sizes))
                 links = (den * both >= num * (sizes + n - both)) & (stars != star)
                 linked = np.unique(stars[links])
                 stars_a.append(np.full(len(linked), star))
@@ -200,6 +236,19 @@ def _leaders(near: DataFrame, num: int, den: int) -> DataFrame:
     return best.select("cid", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
 
 
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """cid, tokens and n of the classes ``wanted``.  One document of each gives the token set; the id
+    only narrows the texts down, the set itself says which class it is."""
+    who = scratch.keep(rows.filter("cid is not null").join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n")), "who")
+    with runtime_filters(docs.sparkSession):
+        ids = who.filter("n > 0").select("wid")
+        texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
+        once = token_sets(texts, width).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+        sets = scratch.keep(once.join(who.drop("wid"), "cid"), "sets")
+    scratch.drop(who)
+    return sets
+
+
 def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
     spark = docs.sparkSession
@@ -222,28 +271,27 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
     near = scratch.keep(near, "near")
     near = scratch.keep(near.join(near.groupBy("cid").agg(F.count(F.lit(1)).alias("w")), "cid"), "near")
 
-    # one document of each class that goes on gives the token set; the id only narrows the texts
-    # down, the set itself says which class it is
+    # what the classes that go on have in common with any other: enough to leave most pairs out
     going = near.select("cid").distinct()
-    who = scratch.keep(rows.filter("cid is not null").join(going, "cid", "left_semi").groupBy("cid").agg(F.min("id").alias("wid"), F.max("n").alias("n")), "who")
-    with runtime_filters(spark):
-        ids = who.filter("n > 0").select("wid")
-        texts = docs.join(ids, docs["id"].eqNullSafe(ids["wid"]), "left_semi")
-        once = token_sets(texts, width).groupBy("cid").agg(F.first("tokens").alias("tokens"))
-        sets = scratch.keep(once.join(who.drop("wid"), "cid"), "sets")
-    scratch.drop(who)
+    lists = scratch.keep(met.join(going, "cid", "left_semi").groupBy("cid").agg(F.max("least").alias("least"), F.sort_array(F.collect_list("token")).alias("tokens")), "lists")
 
     # rounds: classes that link with a leader join its component
     edges, first_led, comps = None, None, _with_components(near, None, scratch)
     for _ in range(ROUNDS):
         led = scratch.keep(_leaders(comps, num, den), "led")
         first_led = first_led if first_led is not None else led
-        leads = sets.select(F.col("cid").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lead"))
         asks = led.filter("k > 0")
-        tried = asks.join(sets, "cid").join(leads, "leader").filter(_linked(F.col("n"), F.col("tokens"), F.col("ln"), F.col("lead"), num, den))
+        leads = lists.select(F.col("cid").alias("leader"), F.col("least").alias("enough"), F.col("tokens").alias("lead"))
+        shared = F.size(F.array_intersect("tokens", "lead"))
+        with runtime_filters(spark):
+            asks = scratch.keep(asks.join(lists, "cid").join(leads, "leader").filter(shared >= F.greatest("least", "enough")).select("cid", "leader", "k"), "tries")
+        sets = _sets(docs, rows, asks.select("cid").unionByName(asks.select(F.col("leader").alias("cid"))).distinct(), scratch, width)
+        leads = sets.select(F.col("cid").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lead"))
+        tried = asks.filter("k > 0").join(sets, "cid").join(leads, "leader").filter(_linked(F.col("n"), F.col("tokens"), F.col("ln"), F.col("lead"), num, den))
         new = tried.select(F.col("cid").alias("a"), F.col("leader").alias("b"))
         with runtime_filters(spark):
             new = scratch.keep(new, "edges")
+        scratch.drop(asks, sets)
         edges = new if edges is None else edges.unionByName(new)
         comps = scratch.keep(_with_components(near, edges, scratch), "near")
 
@@ -279,18 +327,31 @@ def _classes_linked(docs: DataFrame, signed: DataFrame, rows: DataFrame, scratch
     asks = scratch.keep(shares.groupBy("cid", "gl", "gp").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
                         .filter("k >= least").select("cid", "gl", "gp").join(place.select("cid", "n"), "cid"), "asks")
     loads = scratch.keep(asks.groupBy("gl", "gp").agg(F.ceil(F.sum("n") / QUERY_TOKENS).alias("deals")), "loads")
-    known = place.select("cid", "gl", "gp", F.col("comp").alias("star")).join(sets, "cid")
+    known = place.select("cid", "gl", "gp", F.col("comp").alias("star"), "n").join(lists, "cid")
     with runtime_filters(spark):
         q = (asks.filter("n > 0").select("cid", "gl", "gp").join(known.drop("gl", "gp"), "cid").join(loads, ["gl", "gp"])
-             .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "tokens"))
+             .select("gl", "gp", F.pmod(F.xxhash64("cid"), F.col("deals")).alias("deal"), "cid", "star", "n", "least", "tokens"))
         m = (known.join(loads.filter("deals > 0"), ["gl", "gp"])
-             .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "tokens"))
-        found = scratch.keep(_opened(m, q, num, den), "found")
+             .select("gl", "gp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "cid", "star", "n", "least", "tokens"))
+        picked = scratch.keep(_met(m, q, num, den), "picked")
+    sets = _sets(docs, rows, picked.select("cid").distinct(), scratch, width)
+    with runtime_filters(spark):
+        full = (picked.join(place.select("cid", F.col("comp").alias("star")), "cid").join(sets, "cid")
+                .select("gl", "gp", "deal", "cid", "star", "n", "tokens", "asking"))
+        found = scratch.keep(_opened(full.filter("not asking").drop("asking"), full.filter("asking").drop("asking"), num, den), "found")
     out = scratch.keep(connected(edges.unionByName(found), scratch), "roots")
     scratch.drop_others(out, rows)
     return out
 
 
+def _met(m: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
+    """gl, gp, deal, cid and asking: in each part of a group's queries, the classes and queries that are compared."""
+    m = m.toDF("ml", "mp", "md", "cid", "star", "n", "least", "tokens")
+    q = q.toDF("ql", "qp", "qd", "x", "xstar", "xn", "xleast", "xtokens")
+    return (m.groupBy("ml", "mp", "md").cogroup(q.groupBy("ql", "qp", "qd"))
+            .applyInPandas(meet_group(num, den), "gl long, gp long, deal long, cid long, asking boolean"))
+
+
 def _opened(m: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
     """Edges of all groups with the queries that meet them."""
     m = m.toDF("ml", "mp", "md", "cid", "star", "n", "tokens")

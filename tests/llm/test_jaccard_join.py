@@ -222,3 +222,24 @@ def test_components(spark):
     out = [tuple(r) for r in connected(df, Scratch(spark, "t")).collect()]
     assert set(out) == want and len(out) == len(want)
     assert connected(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_sets_are_made_of_classes_that_may_link(spark, monkeypatch):
+    """Every text shares most of its shingles with some other, but only the copies share many with one."""
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice("abcdefghijklmn") for _ in range(100))) for i in range(200)]
+    rows += [(1000 + i, t + " z") for i, t in rows[:5]]
+    made, plain = [], jj.token_sets
+    monkeypatch.setattr(jj, "token_sets", lambda docs, width: made.append(docs.count()) or plain(docs, width))
+    assert got(frame(spark, rows)) == order(brute(rows))
+    assert 10 <= sum(made) <= 30, made
+
+
+def test_met_pairs_share_enough():
+    import pandas as pd
+    lists = [[1, 2, 3, 4], [1, 2, 3, 9], [5, 6, 7, 8], [1, 2, 7, 8]]
+    part = lambda at, x: pd.DataFrame({f"{x}n": [40, 40, 40, 40], f"{x}least": [2, 3, 2, 2], f"{x}star": [0, 1, 2, 0], f"{x}tokens": lists, "x" if x else "cid": [0, 1, 2, 3]}).iloc[at]
+    found = jj.meet_group(90, 100)((7, -1, 3), part([0, 1, 2, 3], ""), part([1, 2, 3], "x"))
+    # 1 with 0 (3 tokens, 3 needed) but not with 3; 2 with 3; not within one star
+    assert [tuple(x) for x in found.itertuples(index=False)] == [(7, -1, 3, c, a) for c, a in ((0, False), (2, False), (3, False), (1, True), (2, True), (3, True))]
+    assert len(jj.meet_group(90, 100)((7, -1, 3), part([0], ""), part([], "x"))) == 0
