@@ -36,6 +36,7 @@ from ..sources.json_posts import SHAPES
 POST = "struct<id:bigint,is_retweet:boolean,raw:string>"
 PAGE = "ids array<bigint>, retweets array<boolean>, raws array<string>"     # as the state holds it
 OUT = "seq bigint, pos bigint, nth bigint, raw string"
+HELD_CHARS = 1 << 20        # of early pages of one search that a task holds before they go to the state
 
 
 def _posts(page: Column) -> Column:
@@ -55,7 +56,11 @@ def _requests(pages: DataFrame, search: str, seq: str, page: str) -> DataFrame:
 
 
 class SearchCursor(StatefulProcessor):
-    """Takes the pages of one search in the order of their requests."""
+    """Takes the pages of one search in the order of their requests.
+
+    A call of the state is a message to the JVM.  Early pages are held while the rows of a
+    trigger pass, and the map is asked only where it can have something: what lands out of order
+    within a trigger, and a search that has ended, cost no messages."""
 
     def __init__(self, total: int = 0, ttl_ms: int | None = None):
         self.total = total
@@ -68,14 +73,23 @@ class SearchCursor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         start = self.at.get()
         nxt, max_id, taken, ended = start if start else (0, None, 0, False)
+        if ended:
+            if self.ttl_ms is not None:         # the search had a page: it is not forgotten yet
+                self.at.update(tuple(start))
+            return
+        held, chars, stored = {}, 0, start is not None     # stored: the map may have pages of this search
         for row in rows:
             if ended:
                 break
+            page = row.ids, row.retweets, row.raws
             if row.seq > nxt:
-                self.early.updateValue((row.seq,), (row.ids, row.retweets, row.raws))
+                chars += sum(map(len, row.raws)) - sum(map(len, held[row.seq][2] if row.seq in held else ()))
+                held[row.seq] = page
+                if chars > HELD_CHARS:
+                    self._store(held)
+                    held, chars, stored = {}, 0, True
             if row.seq != nxt:
                 continue
-            page = row.ids, row.retweets, row.raws
             while page is not None:
                 least = max_id
                 for pos, (pid, is_retweet, raw) in enumerate(zip(*page)):
@@ -88,12 +102,23 @@ class SearchCursor(StatefulProcessor):
                         yield Row(search=key[0], seq=nxt, pos=pos, nth=taken, raw=raw)
                 max_id, nxt, ended = least, nxt + 1, ended or len(page[0]) == 0
                 page = None
-                if not ended and self.early.containsKey((nxt,)):
-                    page = self.early.getValue((nxt,))
-                    self.early.removeKey((nxt,))
-        if ended:
+                if not ended:
+                    page = held.pop(nxt, None)
+                    if page is not None:
+                        chars -= sum(map(len, page[2]))
+                    if stored and (page is not None or self.early.containsKey((nxt,))):
+                        page = page if page is not None else self.early.getValue((nxt,))
+                        self.early.removeKey((nxt,))
+        if not ended:
+            self._store(held)
+        elif stored:
             self.early.clear()
-        self.at.update((nxt, max_id, taken, ended))
+        if start is None or self.ttl_ms is not None or (nxt, max_id, taken, ended) != tuple(start):
+            self.at.update((nxt, max_id, taken, ended))
+
+    def _store(self, held: dict) -> None:
+        for seq, page in held.items():
+            self.early.updateValue((seq,), page)
 
     def close(self) -> None:
         pass

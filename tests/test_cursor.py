@@ -96,3 +96,76 @@ def test_empty_and_forgotten(spark):
     page = json.dumps({"statuses": [{"id": 3}, {"id": 2}]})
     spark.createDataFrame([("a", 0, page)], SCHEMA).write.mode("append").parquet(d + "/land")
     assert plain(ingest.follow_searches(spark, d + "/land", SCHEMA, d + "/out", d + "/ck", 3, ttl_ms=3_600_000)) == [("a", 0, 0, 1, 3), ("a", 0, 1, 2, 2)]
+
+
+class Value:
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, run):
+        self.calls += 1
+        return run()
+
+    def get(self):
+        return self._call(lambda: self.held.get("at"))
+
+    def update(self, value):
+        self._call(lambda: self.held.update(at=value))
+
+    def containsKey(self, key):
+        return self._call(lambda: key in self.held)
+
+    def getValue(self, key):
+        return self._call(lambda: self.held.get(key))
+
+    def updateValue(self, key, value):
+        self._call(lambda: self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._call(lambda: self.held.pop(key, None))
+
+    def clear(self):
+        self._call(self.held.clear)
+
+
+class Handle:
+    def getValueState(self, *_):
+        self.at = Value()
+        return self.at
+
+    def getMapState(self, *_):
+        self.early = Value()
+        return self.early
+
+
+def one_search(total, triggers):
+    """nth of the posts that a search takes from triggers of (seq, ids), and its states."""
+    from pyspark.sql.types import Row
+    handle, taker = Handle(), cursor.SearchCursor(total)
+    taker.init(handle)
+    out = []
+    for rows in triggers:
+        rows = [Row(seq=s, ids=ids, retweets=[False] * len(ids), raws=[str(i) for i in ids]) for s, ids in rows]
+        out += [(r.seq, r.pos, r.nth, r.raw) for r in taker.handleInputRows(("k",), iter(rows), None)]
+    return out, handle
+
+
+def test_order_within_a_trigger_needs_no_messages():
+    pages = [(s, [100 - 2 * s, 99 - 2 * s]) for s in range(6)]
+    out, h = one_search(9, [pages[::-1], pages, pages])
+    assert [r[2] for r in out] == list(range(1, 10)) and [r[0] for r in out] == [0, 0, 1, 1, 2, 2, 3, 3, 4]
+    assert h.early.calls == 0 and h.at.calls == 4          # read in each trigger, written once
+
+
+@pytest.mark.parametrize("held", [0, 5, 1 << 20])
+def test_pages_of_later_triggers_and_held_ones_that_overflow(monkeypatch, held):
+    monkeypatch.setattr(cursor, "HELD_CHARS", held)
+    pages = [(s, [100 - 2 * s, 99 - 2 * s]) for s in range(9)]
+    rnd = random.Random(held)
+    for total in (0, 7):
+        for _ in range(20):
+            landed = pages + rnd.sample(pages, 3)
+            rnd.shuffle(landed)
+            out, h = one_search(total, [landed[:4], landed[4:5], landed[5:]])
+            assert [int(r[3]) for r in out] == list(range(100, 82, -1))[:total or 18]
+            assert not h.early.held
