@@ -112,3 +112,40 @@ def test_a_task_holds_few_texts_at_a_time(spark, monkeypatch):
     words = [w for b in out for w in b.column(1).to_pylist()]
     want = [{"surface": "ab", "known": True, "cost": 1}, {"surface": "c", "known": True, "cost": 2}] * 20
     assert words == [want, None, []] * 100 and 2 < len(made) < 20
+
+
+@pytest.mark.parametrize("step_runs,step_chars", [(32, 64), (1, 1), (3, 2), (10**6, 0)])
+def test_runs_that_step_together_are_as_alone(monkeypatch, step_runs, step_chars):
+    """Paths of many runs at once, of a few long ones one by one, and of costs beyond 64 bits."""
+    import pyarrow as pa
+    monkeypatch.setattr(lattice, "STEP_RUNS", step_runs)
+    monkeypatch.setattr(lattice, "STEP_CHARS", step_chars)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abc猫1- ") for _ in range(n))
+    lexicon = {w: c for w, c in {w.replace(" ", ""): r.randint(0, 5) for w in (word(r.randint(1, 4)) for _ in range(25))}.items() if w}
+    texts = [word(r.randint(0, 9)) for _ in range(150)]
+    for scale in (1, 10**16):
+        parts = [(pa.array(list(lexicon)), pa.array([c * scale for c in lexicon.values()], pa.int64()))]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+        out = [w for b in lattice._segmenter(parts, 4 * scale, ["id", "words"], 1)(iter([batch])) for w in b.column(1).to_pylist()]
+        for text, got in zip(texts, out):
+            assert [(w["surface"], w["known"], w["cost"] // scale) for w in got] == brute(text, lexicon, 4), text
+
+
+def test_equal_runs_are_cut_once(monkeypatch):
+    """Texts of the same words: one path a distinct run, and no path in Python for the short ones."""
+    import pyarrow as pa
+    seen = []
+    monkeypatch.setattr(lattice, "_paths", lambda lengths, *a, f=lattice._paths: seen.append(len(lengths)) or f(lengths, *a))
+    monkeypatch.setattr(lattice, "least_path", lambda *a: 1 / 0)
+    parts = [(pa.array(["the", "cat", "sat"]), pa.array([1, 2, 3]))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["thecat sat, thecat 12x"] * 500)], ["id", "text"])
+    out = [w for b in lattice._segmenter(parts, 9, ["id", "words"], 1)(iter([batch])) for w in b.column(1).to_pylist()]
+    assert seen == [2] and len(out) == 500
+    assert {tuple((x["surface"], x["known"], x["cost"]) for x in w) for w in out} == {(("the", True, 1), ("cat", True, 2), ("sat", True, 3), (",", False, 9), ("the", True, 1), ("cat", True, 2), ("12x", False, 27))}
+
+
+def test_ascii_letters_only(spark):
+    from postsift.functions.text import ascii_lower
+    df = spark.createDataFrame([(1, "AZaz Äİ\u212a[`{"), (2, None), (3, "")], "i int, t string")
+    assert {r.i: r.c for r in df.select("i", ascii_lower("t").alias("c")).collect()} == {1: "azaz Äİ\u212a[`{", 2: None, 3: ""}
