@@ -228,18 +228,19 @@ def _segmenter(parts: list, unknown: int, names: list, text_at: int):
         for p in filled:
             alphabet[_codes(parts[p][0])] = True
         outside = chr(np.flatnonzero(~alphabet)[0])
-        made, held = None, None
+        # what is built for one automaton only is worth no large slice
+        chars, made, held = TEXT_CHARS if len(filled) > 1 else -(-TEXT_CHARS // 4), None, None
 
         def find(text):
             nonlocal made, held
-            found = [np.empty((0, 2), np.int64)]
+            found = [np.empty((0, 2), np.int32)]
             # the part whose automaton is there comes first
             for p in sorted(filled if text else [], key=lambda p: p != held):
                 if p != held:
                     made = None
                     made, held = automaton(parts[p][0].to_pylist()), p
-                found.append(np.fromiter(chain.from_iterable(made.iter(text)), np.int64).reshape(-1, 2) + np.array([1, first[p]]))
-            end, word = np.concatenate(found).T
+                found.append(np.fromiter(chain.from_iterable(made.iter(text)), np.int32).reshape(-1, 2) + np.array([1, first[p]], np.int32))
+            end, word = np.concatenate(found).T.astype(np.int64)
             size, step = lengths[word], np.diff(end)
             if not ((step > 0) | ((step == 0) & (np.diff(size) < 0))).all():       # one automaton's hits are in order
                 order = np.lexsort((-size, end))
@@ -247,7 +248,7 @@ def _segmenter(parts: list, unknown: int, names: list, text_at: int):
             return end, size, costs[word]
 
         for b in batches:
-            for piece in _pieces(b, text_at, TEXT_CHARS):
+            for piece in _pieces(b, text_at, chars):
                 texts = piece.column(text_at)
                 counts, surface, known, cost = _cut(pc.fill_null(texts, ""), alphabet, outside, find, unknown)
                 null = texts.is_null().to_numpy(zero_copy_only=False)
